@@ -1,0 +1,15 @@
+"""Registered queries of the scanner."""
+
+from __future__ import annotations
+
+
+def entry(spark, sf_dir):
+    raise NotImplementedError
+
+
+def queries() -> dict:
+    return {}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {}
