@@ -35,6 +35,23 @@ def op4_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return codec.round_trip(docs).select("doc_id", F.col("coded.*"))
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document that lie in windows of ten benchmark words."""
+    from vigil.llm.decontaminate import find_passages
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = find_passages(spark, docs, table(spark, sf_dir, "benchmark"))
+    hit = F.aggregate("leaks.hits", F.lit(0).cast("long"), lambda a, s: a + s["word_end"] - s["word"])
+    return found.select(
+        "doc_id",
+        F.col("leaks.n_words").alias("n_words"),
+        hit.alias("n_hit"),
+        F.size("leaks.items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("leaks.items", ","), 256).alias("items_sha256"),
+        (F.size("leaks.hits") > 0).alias("contaminated"),
+    )
+
+
 def queries() -> dict:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 
