@@ -52,6 +52,14 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Write all documents' ids to token files and read them back."""
+    from vigil.llm.token_files import token_files
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return token_files(spark, docs, vocabulary("byte_bpe_50k.json"), end_id=2)
+
+
 def queries() -> dict:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 
