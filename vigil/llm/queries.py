@@ -26,6 +26,29 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Write every page as a WARC record and read the archive back."""
+    from vigil.llm.warc import archive_round_trip
+
+    found = archive_round_trip(spark, table(spark, sf_dir, "pages"))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+OP1_SQL = """
+WITH p AS (
+  SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages
+), q AS (
+  SELECT page_id, octet_length(payload) AS n, sha1(payload) AS d, payload FROM p
+), r AS (
+  SELECT page_id, n, d, max(page_id) OVER (PARTITION BY d, n) AS keeper FROM q
+)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, d AS payload_digest,
+       CASE WHEN n >= 1000 AND page_id <> keeper THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN n >= 1000 AND page_id <> keeper THEN keeper END AS refers_to
+FROM r
+"""
+
+
 def op4_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encode every document by byte-level BPE ranks and decode the ids again."""
     from vigil.llm.bpe import ByteBPE
@@ -65,4 +88,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_warc": OP1_SQL}
