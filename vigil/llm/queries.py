@@ -49,6 +49,22 @@ FROM r
 """
 
 
+def fold(doc_id, count: int):
+    """Which of ``count`` folds a row is in, by the CRC-32 of its id as text."""
+    return F.crc32(doc_id.cast("string").cast("binary")) % count
+
+
+def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document by code lengths under per-language models."""
+    from vigil.llm.ppm import LanguageIdentifier
+
+    docs = table(spark, sf_dir, "documents")
+    model = LanguageIdentifier.fit(spark, docs.where(fold(F.col("doc_id"), 5) != 0), key="doc_id")
+    found = model.predict(docs.select("doc_id", "text"), out="language")
+    held_out = F.coalesce(fold(F.col("doc_id"), 5) == 0, F.lit(False))
+    return found.select("doc_id", held_out.alias("held_out"), "language.lang_pred", "language.score")
+
+
 def op4_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encode every document by byte-level BPE ranks and decode the ids again."""
     from vigil.llm.bpe import ByteBPE
@@ -58,6 +74,14 @@ def op4_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return codec.round_trip(docs).select("doc_id", F.col("coded.*"))
 
 
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of every document and the verdict of risk-controlled rules."""
+    from vigil.llm.quality_rules import apply_rules
+
+    found = apply_rules(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of every document that lie in windows of ten benchmark words."""
     from vigil.llm.decontaminate import find_passages
@@ -75,6 +99,18 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document, learnt from positives and unlabelled texts."""
+    from vigil.llm.pu_quality import QualityClassifier
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    learn = fold(F.col("doc_id"), 4) != 2
+    model = QualityClassifier.fit(spark, docs.where(learn), table(spark, sf_dir, "labels").where(learn))
+    held_out = F.coalesce(fold(F.col("doc_id"), 4) == 2, F.lit(False))
+    found = model.score(docs).withColumn("held_out", held_out)
+    return found.select("doc_id", "held_out", "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Write all documents' ids to token files and read them back."""
     from vigil.llm.token_files import token_files
