@@ -111,6 +111,14 @@ def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of documents whose word pairs are at least 0.8 similar."""
+    from vigil.llm.near_duplicates import NearDuplicates
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return NearDuplicates(spark, shingle=2, similarity=0.8).find(docs)
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Write all documents' ids to token files and read them back."""
     from vigil.llm.token_files import token_files
