@@ -41,6 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vigil.llm import bitfilter
 from vigil.llm.components import components
 from vigil.llm.kernels import NOT_SPACE, mix, owner, shards, text_buffers, words
 from vigil.session import materialize, ship_package
@@ -185,28 +186,18 @@ class NearDuplicates:
         filter of bounded size first, which lets a few others through."""
         n, parts = self.shingle, self.parts
         ids = pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct()
-        count = ids.count()
-        size = 1 << min(20, max(8, (count // 4).bit_length()))  # words of 64 bits
-        hashed = F.xxhash64("id")
-        slot = F.pmod(hashed, F.lit(size))
-        bit = F.expr("shiftleft(1L, cast(pmod(shiftright(xxhash64(id), 40), 64) AS INT))")
-        rows = ids.select(slot.alias("slot"), bit.alias("bit")).groupBy("slot").agg(F.bit_or("bit").alias("bits")).collect()
-        flags = np.zeros(size, np.int64)
-        for r in rows:  # at most ``size`` rows
-            flags[r["slot"]] = r["bits"]
-        sent = self.spark.sparkContext.broadcast(flags)
+        sent = bitfilter.build(self.spark, ids.select(F.xxhash64("id").alias("hash")), "hash")
         schema = pa.schema([("id", pa.int64()), ("set", pa.binary())])
 
         def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                at, shift = batch.column("slot").to_numpy(), batch.column("place").to_numpy()
-                some = batch.filter(pa.array((sent.value[at] >> shift) & 1 == 1))
+                some = batch.filter(pa.array(bitfilter.passes(sent.value, batch.column("hash").to_numpy())))
                 for part in shards(some, "body"):
                     value, bounds = shingle_sets(*text_buffers(part.column("body")), n)
                     made = [value[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:])]
                     yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(made, pa.binary())], schema=schema)
 
-        read = docs.where(F.col("id").isNotNull()).withColumns({"slot": slot, "place": F.pmod(F.shiftright(hashed, 40), F.lit(64))})
+        read = docs.where(F.col("id").isNotNull()).withColumn("hash", F.xxhash64("id"))
         members = read.mapInArrow(sets, "id long, set binary")
 
         def similar(left: pa.Array, right: pa.Array) -> pa.Array:

@@ -65,6 +65,23 @@ def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "language.lang_pred", "language.score")
 
 
+def _joined(spans: str):
+    parts = F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["stop"].cast("string")))
+    return F.array_join(parts, ",")
+
+
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of every document: base patterns and induced contexts."""
+    from vigil.llm.pii import KINDS, Extractor
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = Extractor(spark).find(docs)
+    count = lambda kind: F.size(F.filter("found.base", lambda s: s["kind"] == kind)).cast("long")
+    return found.select(
+        "doc_id", *[count(k).alias(f"n_{k}") for k in KINDS], F.sha2(_joined("found.base"), 256).alias("base_sha256"), _joined("found.spans").alias("spans")
+    )
+
+
 def op4_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encode every document by byte-level BPE ranks and decode the ids again."""
     from vigil.llm.bpe import ByteBPE
