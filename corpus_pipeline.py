@@ -1,12 +1,80 @@
-"""From raw documents to token ids: five stages, each one operator of vigil.llm."""
+"""From raw documents to token ids: five stages, each one operator of vigil.llm.
+
+Every stage takes (spark, docs, sf_dir) and returns a DataFrame that is written
+as Parquet and read again as the next stage's docs. All but the last return the
+columns of ``documents``; texts that a stage changes get a new ``n_chars``.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from vigil.llm import queries as q
+from vigil.session import materialize
+
+
+def _counted(docs: DataFrame) -> DataFrame:
+    """Bring n_chars in line with the text, where there is such a column."""
+    if "n_chars" not in docs.columns:
+        return docs
+    kind = dict(docs.dtypes)["n_chars"]
+    return docs.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text").cast(kind)).otherwise(F.col("n_chars")))
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the positive-unlabelled classifier doesn't reject."""
+    from vigil.llm.pu_quality import QualityClassifier
+
+    learn = q.fold(F.col("doc_id"), 4) != 2
+    model = QualityClassifier.fit(spark, docs.where(learn), q.table(spark, sf_dir, "labels").where(learn))
+    return model.score(docs, out="_score").where(F.col("_score") >= 0.7).select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates."""
+    from vigil.llm.near_duplicates import NearDuplicates
+
+    return NearDuplicates(spark, shingle=5, similarity=0.8).keep_one(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the passages they share with the benchmark."""
+    from vigil.llm.decontaminate import remove_passages
+
+    return _counted(remove_passages(spark, docs, q.table(spark, sf_dir, "benchmark")))
+
+
+def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with personal data replaced by the name of its kind."""
+    from vigil.llm.pii import Extractor
+
+    return _counted(Extractor(spark).mask(docs))
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Byte-level BPE ids of every document."""
+    from vigil.llm.bpe import ByteBPE
+
+    codec = ByteBPE(spark, q.vocabulary("byte_bpe_multi_50k.tiktoken"), q.split_pattern())
+    coded = codec.encode(docs.select("doc_id", "text"))
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids")
+
+
+STAGES = [
+    ("quality_classifier", quality),
+    ("near_duplicates", near_duplicates),
+    ("decontamination", decontamination),
+    ("pii", pii),
+    ("byte_level_bpe", tokens),
+]
 
-STAGES: list = []
+#: SQL can't express the classifier, the similarity groups or the merges.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    docs = q.table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = materialize(spark, stage(spark, docs, sf_dir), name)
+    return docs

@@ -144,6 +144,21 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files(spark, docs, vocabulary("byte_bpe_50k.json"), end_id=2)
 
 
+#: Tools that chats may call, and the schemas of their arguments.
+TOOLS = {
+    "search": {"type": "object", "properties": {"query": {"type": "string", "minLength": 1}, "limit": {"type": "integer", "minimum": 1}}, "required": ["query"], "additionalProperties": False},
+    "read": {"type": "object", "properties": {"url": {"type": "string"}}, "required": ["url"], "additionalProperties": False},
+    "calculate": {"type": "object", "properties": {"expression": {"type": "string"}}, "required": ["expression"]},
+}
+
+
+def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every message as canonical JSON, with tool calls linked and ordered."""
+    from vigil.llm.chat import ChatFormatter
+
+    return ChatFormatter(spark, TOOLS).format(table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 
