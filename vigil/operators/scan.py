@@ -57,9 +57,10 @@ def scan(entries: DataFrame, rules: list[tuple] | None = None, threshold: float
     live = live.select(*own, candidates(command, registry).alias("_candidates"))
     live = live.select(*own, scored(first_by_token(F.col("_candidates")), threshold).cast(FOUND).alias("_scored"))
     live = live.select(*own, F.concat("_scored", rule_findings(command, F.col("_scored"), check).cast(FOUND)).alias("_found"))
-    live = live.where(F.size("_found") > 0)
-    rows = live.select(*own, F.transform("_found", lambda f: f["token"]).alias("_tokens"), F.posexplode("_found").alias("ord", "_f"))
-    rows = rows.select(*own, "_tokens", "ord", "_f.*")
+    # The outer form, as the plain one would let the optimizer push a test of the
+    # array's size below the projections and work everything out many times over.
+    rows = live.select(*own, F.transform("_found", lambda f: f["token"]).alias("_tokens"), F.posexplode_outer("_found").alias("ord", "_f"))
+    rows = rows.where(F.col("ord").isNotNull()).select(*own, "_tokens", "ord", "_f.*")
     at = first_place(command, F.col("token"))
     there = (F.col("token") != "") & (at >= 0)
     rows = rows.withColumns(

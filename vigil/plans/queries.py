@@ -59,7 +59,7 @@ _B = "[ \\t\\n\\x0B\\f\\r]"
 _IGNORED = " OR ".join(f"starts_with(command, '{r.removeprefix('prefix:')}')" for r in fixed.IGNORE_RULES)
 _PREFIXES = [p for p, _ in fixed.PREFIX_HINTS]
 
-BASE_CTE = f"cmds AS ({COMMANDS}), live AS (SELECT * FROM cmds WHERE NOT ({_IGNORED}))"
+BASE_CTE = f"cmds AS MATERIALIZED ({COMMANDS}), live AS MATERIALIZED (SELECT * FROM cmds WHERE NOT ({_IGNORED}))"
 ASSIGN_CTE = f"""
 raw_assign AS (
   SELECT key, unnest(regexp_extract_all(command, '(?:^|[ \\t\\n\\x0B\\f\\r"''(\\[{{?&;])([A-Za-z0-9_-]+=(?:"[^"]*"?|''[^'']*''?|[^ \\t\\n\\x0B\\f\\r"''&#]+))', 1)) AS m,
@@ -115,7 +115,7 @@ key_hit AS (
   FROM live WHERE coalesce({_MARKER}, {_ALGORITHM}) IS NOT NULL
 )"""
 SCORE_CTE = """
-hits AS (
+hits AS MATERIALIZED (
   SELECT * FROM key_hit UNION ALL SELECT * FROM assign_hit UNION ALL SELECT * FROM auth_hit UNION ALL SELECT * FROM user_hit
   UNION ALL SELECT * FROM flag_hit UNION ALL SELECT * FROM url_hit UNION ALL SELECT * FROM known_hit
 ), first_hits AS (
@@ -125,7 +125,7 @@ hits AS (
 ), points AS (
   SELECT *, CAST(kw AS INT) * 3 + CAST(e >= 3.5 - 1e-9 AS INT) * 3 + CAST(CASE WHEN det_type = 'ssh_key' THEN 20 ELSE strlen(token) END >= 20 AS INT) * 2
     + CAST(hdr AS INT) * 2 + CAST(url AS INT) * 2 + CAST(known AS INT) * 4 + CAST(pk AS INT) * 6 - CAST(search AS INT) * 2 - CAST(ph AS INT) * 3 AS score FROM bits
-), scored AS (
+), scored AS MATERIALIZED (
   SELECT *, CASE WHEN score <= 2 THEN 0 WHEN score <= 4 THEN 1 WHEN score <= 6 THEN 2 ELSE 3 END AS rank FROM points
 )"""
 _CHECKS = "(VALUES " + ", ".join(f"({i}, '{p}')" for i, p in enumerate(fixed.MATCH_RULES)) + ") r(ord, pattern)"
@@ -138,7 +138,7 @@ rule_raw AS (
 ), rule_hit AS (
   SELECT key, 100 + ord AS stage, token, 'config_check' AS det_type, 0.0 AS e, 7 AS score, 3 AS rank FROM rule_raw
   WHERE NOT EXISTS (SELECT 1 FROM scored s WHERE s.key = rule_raw.key AND s.token = rule_raw.token AND s.rank = 3)
-), findings AS (
+), findings AS MATERIALIZED (
   SELECT key, stage, token, det_type, e, score, rank FROM scored UNION ALL SELECT * FROM rule_hit
 )"""
 SCAN = "WITH " + ", ".join([BASE_CTE, ASSIGN_CTE, FLAG_CTE, KNOWN_CTE, KEY_CTE, SCORE_CTE, RULE_CTE])
@@ -214,9 +214,9 @@ _RULE_SQL = "(VALUES " + ", ".join(f"({i}, '{m}', '{p}')" for i, (m, p) in enume
 
 @query(
     f"""WITH {BASE_CTE}, hit AS (
-  SELECT key, rule_ord, pattern, command, CASE match_kind WHEN 'substring' THEN strpos(command, pattern) ELSE 1 END AS at
+  SELECT key, rule_ord, pattern, command, CASE match_kind WHEN 'substring' THEN strpos(command, pattern) ELSE 1 END AS place
   FROM live JOIN {_RULE_SQL} ON CASE match_kind WHEN 'exact' THEN command = pattern WHEN 'prefix' THEN starts_with(command, pattern) ELSE contains(command, pattern) END
-) SELECT key, CAST(rule_ord AS BIGINT) AS rule_ord, regexp_extract(substr(command, 1, at - 1), '{_CHARS}$') || pattern || regexp_extract(substr(command, at + length(pattern)), '^{_CHARS}') AS token FROM hit"""
+) SELECT key, CAST(rule_ord AS BIGINT) AS rule_ord, regexp_extract(substr(command, 1, place - 1), '{_CHARS}$') || pattern || regexp_extract(substr(command, place + length(pattern)), '^{_CHARS}') AS token FROM hit"""
 )
 def match_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A row for each command and matching rule, with the grown token."""
@@ -510,7 +510,7 @@ def deep_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""{SCAN.replace("cmds AS (", "cmds0 AS (", 1).replace("live AS (SELECT * FROM cmds WHERE", "cmds AS (SELECT key, command || CASE key % 5 WHEN 0 THEN ' # allow' WHEN 1 THEN ' # deny' ELSE '' END AS command FROM cmds0), live AS (SELECT * FROM cmds WHERE", 1)}
+    f"""{SCAN.replace("cmds AS MATERIALIZED (", "cmds0 AS MATERIALIZED (", 1).replace("live AS MATERIALIZED (SELECT * FROM cmds WHERE", "cmds AS MATERIALIZED (SELECT key, command || CASE key % 5 WHEN 0 THEN ' # allow' WHEN 1 THEN ' # deny' ELSE '' END AS command FROM cmds0), live AS MATERIALIZED (SELECT * FROM cmds WHERE", 1)}
 SELECT c.key, CASE WHEN command LIKE '%# allow' THEN TRUE WHEN command LIKE '%# deny' THEN FALSE ELSE NOT EXISTS (SELECT 1 FROM findings f WHERE f.key = c.key AND rank >= 2) END AS allowed FROM cmds c"""
 )
 def hook_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
