@@ -50,7 +50,7 @@ def over(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     """Run SQL over the tables it names, without registering views that last."""
     names = ("orders", "conversations", "pages", "documents", "events")
     used = {n: spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in names if f"FROM {n}" in sql}
-    text = sql
+    text = sql.replace("{", "{{").replace("}", "}}")
     for n in used:
         text = text.replace(f"FROM {n}", f"FROM {{{n}}}")
     return spark.sql(text, **used)
