@@ -85,7 +85,7 @@ class Model:
     def fit(cls, languages: list[str], lang: np.ndarray, gram: np.ndarray, n: np.ndarray, depth: int, max_cells: int = MAX_CELLS, min_count: int = MIN_COUNT) -> Model:
         """From counts: arrays of language index, gram and count."""
         size = 256
-        seen = np.unique(gram & 255) if len(gram) else np.zeros(0, np.int64)
+        seen = np.unique(np.concatenate([(gram >> 8 * k) & 255 for k in range(depth + 1)]))  # in any place
         symbol = np.zeros(size, np.int64)
         symbol[seen] = np.arange(1, len(seen) + 1)
         width, many = len(seen) + 1, max(1, len(languages))
