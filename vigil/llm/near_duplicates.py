@@ -21,7 +21,10 @@ No group is expanded into all its pairs:
    which also pairs each member with the entry's least member; each document
    keeps its least hub within reach, the full sets confirm, and confirmed
    links make first components. A group of near copies collapses here.
-3. Entries whose members lie in one component have nothing left to find. The
+3. Twice, each document with bucket mates within reach in other components tries
+   the nearest of them, which is one pair a document; confirmed links merge
+   components. Documents without such mates are done.
+4. Entries whose members lie in one component have nothing left to find. The
    others are compared inside a worker, across components only, in blocks of
    bounded size (a larger entry is split into pairs of blocks); pairs within
    reach are confirmed on full sets. So every pair that shares an entry is
@@ -50,6 +53,8 @@ SYMBOLS, CHUNKS = 128, 16
 WIDTH = SYMBOLS // CHUNKS
 #: Signatures that differ in more symbols are taken as less than 0.8 similar.
 FAR = 50
+#: Rounds in which every document tries the nearest one of another component.
+ROUNDS = 2
 #: Members of an entry that a worker compares at once.
 BLOCK = 4096
 
@@ -220,8 +225,9 @@ class NearDuplicates:
         both = pairs.join(one, "u").join(two, "v")
         return both.where(F.arrow_udf(similar, "boolean")("su", "sv")).select("u", "v")
 
-    def _across(self, crowded: DataFrame, reps: DataFrame, labels: DataFrame) -> DataFrame:
-        """Pairs (u, v) of one entry and two components, within reach."""
+    def _across(self, crowded: DataFrame, reps: DataFrame, labels: DataFrame, nearest: bool) -> DataFrame:
+        """Pairs (u, v) of one entry and two components, within reach: all of
+        them, or for each u only the nearest v."""
         of = labels.select(F.col("node").alias("id"), "component")
         placed = crowded.select("entry", "id").join(of, "id", "left").withColumn("component", F.coalesce("component", "id"))
         mixed = placed.groupBy("entry").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("n")).where("x <> y")
@@ -230,22 +236,35 @@ class NearDuplicates:
         own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
         rows = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         rows = rows.select("entry", "id", "component", "signature", "own", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
-        schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
+        schema = pa.schema([("u", pa.int64()), ("v", pa.int64()), ("far", pa.int32())])
 
         def compare(ids: np.ndarray, component: np.ndarray, signature: np.ndarray, own: np.ndarray, low: int, high: int) -> pa.RecordBatch:
-            left = own == low
-            right = left if low == high else own == high
-            found = []
-            step = max(1, (32 << 20) // (SYMBOLS * max(1, int(right.sum()))))
-            chosen = np.flatnonzero(left)
-            for at in range(0, len(chosen), step):
-                i = chosen[at : at + step]
+            left = np.flatnonzero(own == low)
+            right = left if low == high else np.flatnonzero(own == high)
+            step = max(1, (32 << 20) // (SYMBOLS * max(1, len(right))))
+            found, best, best_at = [np.zeros((0, 3), np.int64)], np.full(len(right), FAR + 1), np.zeros(len(right), np.int64)
+            for at in range(0, len(left) if len(right) else 0, step):
+                i = left[at : at + step]
                 far = (signature[i][:, None, :] != signature[right][None]).sum(2)
-                x, y = np.nonzero((far <= FAR) & (component[i][:, None] != component[right][None]))
-                found.append(np.stack((ids[i][x], ids[right][y]), 1))
-            pairs = np.concatenate(found) if found else np.zeros((0, 2), np.int64)
-            pairs = np.unique(np.sort(pairs, 1), axis=0)
-            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 1]), pa.array(pairs[:, 0])], schema=schema)
+                far[component[i][:, None] == component[right][None]] = FAR + 1
+                if nearest:
+                    x = np.arange(len(i))
+                    y = far.argmin(1)
+                    least, least_at = far.min(0), i[far.argmin(0)]
+                    best_at = np.where(least < best, least_at, best_at)
+                    best = np.minimum(least, best)
+                    keep = far[x, y] <= FAR
+                    x, y = x[keep], y[keep]
+                else:
+                    x, y = np.nonzero(far <= FAR)
+                found.append(np.stack((ids[i][x], ids[right][y], far[x, y]), 1))
+            if nearest and low != high:
+                y = np.flatnonzero(best <= FAR)
+                found.append(np.stack((ids[right][y], ids[best_at[y]], best[y]), 1))
+            rows = np.concatenate(found)
+            if not nearest:
+                rows = rows[rows[:, 0] > rows[:, 1]] if low == high else np.column_stack((rows[:, :2].max(1), rows[:, :2].min(1), rows[:, 2]))
+            return pa.RecordBatch.from_arrays([pa.array(rows[:, k].astype(np.int64 if k < 2 else np.int32)) for k in range(3)], schema=schema)
 
         def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held: list = []
@@ -270,7 +289,10 @@ class NearDuplicates:
 
         partitions = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
         ordered = rows.repartition(partitions, "entry", "low", "high").sortWithinPartitions("entry", "low", "high", "id")
-        return ordered.mapInArrow(pairs, "u long, v long").distinct()
+        found = ordered.mapInArrow(pairs, "u long, v long, far int")
+        if nearest:
+            return found.groupBy("u").agg(F.min_by("v", F.struct("far", "v")).alias("v"))
+        return found.select("u", "v").distinct()
 
     def find(self, docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
         """(doc_id, n_shingles, component_id, kept) of every row of ``docs``."""
@@ -288,9 +310,17 @@ class NearDuplicates:
         stars = materialize(spark, stars.groupBy("u").agg(F.min("v").alias("v")), "stars")
         first = materialize(spark, self._confirmed(stars, docs), "links")
         labels = materialize(spark, components(spark, first), "labels")
-        across = materialize(spark, self._across(crowded, reps, labels), "across")
-        second = materialize(spark, self._confirmed(across, docs), "links")
-        found = components(spark, first.unionByName(second))
+        links = first
+        for _ in range(ROUNDS):
+            near = materialize(spark, self._across(crowded, reps, labels, nearest=True), "near")
+            new = materialize(spark, self._confirmed(near, docs), "links")
+            # Who has no candidate now won't have one later: components only grow.
+            crowded = crowded.join(near.select(F.col("u").alias("id")), "id", "left_semi")
+            links = links.unionByName(new)
+            labels = materialize(spark, components(spark, links), "labels")
+        across = materialize(spark, self._across(crowded, reps, labels, nearest=False), "across")
+        last = materialize(spark, self._confirmed(across, docs), "links")
+        found = components(spark, links.unionByName(last))
 
         leads = classes.join(found.select(F.col("node").alias("rep"), "component"), "rep", "left").select("a", "b", F.coalesce("component", "rep").alias("lead"))
         # An id may have several sets: each row follows its own set.
