@@ -17,6 +17,7 @@ import base64
 import hashlib
 from heapq import heappop, heappush
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,7 +28,7 @@ from vigil.session import ship_package
 #: A vocabulary is broadcast, so its file may not be larger than this.
 MAX_VOCABULARY_BYTES = 64 << 20
 #: Pre-tokens remembered by a worker before it forgets them all.
-REMEMBERED = 1_000_000
+REMEMBERED = 800_000
 
 
 #: Bits of one bitmap word; ranks up to 2**16 then take two levels of 2**8 bits,
@@ -142,7 +143,7 @@ class _Worker:
         ranks = {base64.b64decode(a): int(b) for a, b in (x.split() for x in vocabulary.splitlines() if x)}
         self.pairs = BytePairs(ranks, pattern)
         merge = self.pairs.merge
-        self.ids = _Remembered(lambda p: merge(p.encode("utf-8", "surrogatepass")))
+        self.packed = _Remembered(lambda p: np.array(merge(p.encode("utf-8", "surrogatepass")), np.int32).tobytes())
         self.decimal = _Remembered(lambda p: ",".join(map(str, merge(p.encode("utf-8", "surrogatepass")))))
         decode = self.pairs.decode
         self.decoded = _Remembered(lambda ids: decode(map(int, ids.split(","))))
@@ -154,8 +155,9 @@ class _Worker:
             cls.kept[key] = cls(vocabulary, pattern)
         return cls.kept[key]
 
-    def encode(self, text: str | None) -> list[int]:
-        return [i for part in map(self.ids.__getitem__, self.pairs.split(text or "")) for i in part]
+    def encode(self, text: str | None) -> bytes:
+        """Ids as 32-bit integers; a text's ids are never Python objects."""
+        return b"".join(map(self.packed.__getitem__, self.pairs.split(text or "")))
 
     def round_trip(self, text: str | None) -> tuple[int, str, str]:
         """(number of ids, SHA-256 of the decimal ids, SHA-256 of the bytes
@@ -186,7 +188,9 @@ class ByteBPE:
 
         def encode(column: pa.Array) -> pa.Array:
             worker = _Worker.get(vocabulary.value, pattern)
-            return pa.array([worker.encode(x) for x in column.to_pylist()], pa.list_(pa.int32()))
+            made = [worker.encode(x.as_py()) for x in column]
+            ends = np.cumsum([0, *(len(x) // 4 for x in made)])
+            return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(made), np.int32)))
 
         return df.withColumn(out, F.arrow_udf(encode, "array<int>")(F.col(text).cast("string")))
 
