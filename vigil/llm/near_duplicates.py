@@ -21,14 +21,16 @@ No group is expanded into all its pairs:
    which also pairs each member with the entry's least member; each document
    keeps its least hub within reach, the full sets confirm, and confirmed
    links make first components. A group of near copies collapses here.
-3. Twice, each document with bucket mates within reach in other components tries
+3. Once or more (ROUNDS), each document with bucket mates within reach in other components tries
    the nearest of them, which is one pair a document; confirmed links merge
    components. Documents without such mates are done.
-4. Entries whose members lie in one component have nothing left to find. The
-   others are compared inside a worker, across components only, in blocks of
-   bounded size (a larger entry is split into pairs of blocks); pairs within
-   reach are confirmed on full sets. So every pair that shares an entry is
-   either in one component already or has been checked.
+4. Entries whose members lie in one component have nothing left to find. In the
+   others a worker compares signatures across components only, in blocks of
+   bounded size (a larger entry is split into pairs of blocks), and notes which
+   documents of a smaller component are within reach of which larger one. Each
+   is then held against all members of that component by full sets, block by
+   block inside a worker. So every pair that shares an entry is either in one
+   component already or has been checked, and pairs never become rows.
 
 Null or wordless texts have an empty set (n_shingles 0) and link with nothing.
 Rows without doc_id are not linked: component_id null, kept. Rows that repeat a
@@ -54,7 +56,9 @@ WIDTH = SYMBOLS // CHUNKS
 #: Signatures that differ in more symbols are taken as less than 0.8 similar.
 FAR = 50
 #: Rounds in which every document tries the nearest one of another component.
-ROUNDS = 2
+ROUNDS = 1
+#: Documents on either side of a block whose full sets a worker compares.
+SIDE = 256
 #: Members of an entry that a worker compares at once.
 BLOCK = 4096
 
@@ -185,12 +189,10 @@ class NearDuplicates:
         both = pairs.join(one, "u").join(two, "v")
         return both.where(F.arrow_udf(distance, "int")("su", "sv") <= FAR).select("u", "v")
 
-    def _confirmed(self, pairs: DataFrame, docs: DataFrame) -> DataFrame:
-        """Pairs (u, v) whose full sets are similar enough. Only the sets of
-        documents in pairs leave the workers that read the texts: those pass a
-        filter of bounded size first, which lets a few others through."""
-        n, parts = self.shingle, self.parts
-        ids = pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct()
+    def _sets(self, ids: DataFrame, docs: DataFrame) -> DataFrame:
+        """(id, set) of the documents with these ids and a few others. Only they
+        leave the workers that read the texts, by a filter of bounded size."""
+        n = self.shingle
         sent = bitfilter.build(self.spark, ids.select(F.xxhash64("id").alias("hash")), "hash")
         schema = pa.schema([("id", pa.int64()), ("set", pa.binary())])
 
@@ -203,7 +205,12 @@ class NearDuplicates:
                     yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(made, pa.binary())], schema=schema)
 
         read = docs.where(F.col("id").isNotNull()).withColumn("hash", F.xxhash64("id"))
-        members = read.mapInArrow(sets, "id long, set binary")
+        return read.mapInArrow(sets, "id long, set binary")
+
+    def _confirmed(self, pairs: DataFrame, docs: DataFrame) -> DataFrame:
+        """Pairs (u, v) whose full sets are similar enough."""
+        parts = self.parts
+        members = self._sets(pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct(), docs)
 
         def similar(left: pa.Array, right: pa.Array) -> pa.Array:
             out = []
@@ -226,19 +233,22 @@ class NearDuplicates:
         return both.where(F.arrow_udf(similar, "boolean")("su", "sv")).select("u", "v")
 
     def _across(self, crowded: DataFrame, reps: DataFrame, labels: DataFrame, nearest: bool) -> DataFrame:
-        """Pairs (u, v) of one entry and two components, within reach: all of
-        them, or for each u only the nearest v."""
-        of = labels.select(F.col("node").alias("id"), "component")
-        placed = crowded.select("entry", "id").join(of, "id", "left").withColumn("component", F.coalesce("component", "id"))
+        """What entries hold across components, within reach: for each document
+        u the nearest v (u, v), or else every component that a document of a
+        smaller one should be held against (u, target)."""
+        sizes = labels.groupBy("component").agg(F.count("*").alias("members"))
+        of = labels.join(sizes, "component").select(F.col("node").alias("id"), "component", "members")
+        placed = crowded.select("entry", "id").join(of, "id", "left")
+        placed = placed.withColumns({"component": F.coalesce("component", "id"), "members": F.coalesce("members", F.lit(1))})
         mixed = placed.groupBy("entry").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("n")).where("x <> y")
         blocks = F.ceil(F.col("n") / BLOCK).cast("int")
         rows = placed.join(mixed.select("entry", blocks.alias("blocks")), "entry").join(reps.select("id", "signature"), "id")
         own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
         rows = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        rows = rows.select("entry", "id", "component", "signature", "own", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
+        rows = rows.select("entry", "id", "component", "members", "signature", "own", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
         schema = pa.schema([("u", pa.int64()), ("v", pa.int64()), ("far", pa.int32())])
 
-        def compare(ids: np.ndarray, component: np.ndarray, signature: np.ndarray, own: np.ndarray, low: int, high: int) -> pa.RecordBatch:
+        def compare(ids: np.ndarray, component: np.ndarray, members: np.ndarray, signature: np.ndarray, own: np.ndarray, low: int, high: int) -> pa.RecordBatch:
             left = np.flatnonzero(own == low)
             right = left if low == high else np.flatnonzero(own == high)
             step = max(1, (32 << 20) // (SYMBOLS * max(1, len(right))))
@@ -255,15 +265,17 @@ class NearDuplicates:
                     best = np.minimum(least, best)
                     keep = far[x, y] <= FAR
                     x, y = x[keep], y[keep]
+                    found.append(np.stack((ids[i][x], ids[right][y], far[x, y]), 1))
                 else:
                     x, y = np.nonzero(far <= FAR)
-                found.append(np.stack((ids[i][x], ids[right][y], far[x, y]), 1))
+                    x, y = i[x], right[y]
+                    swap = (members[x] > members[y]) | ((members[x] == members[y]) & (component[x] > component[y]))
+                    x, y = np.where(swap, y, x), np.where(swap, x, y)
+                    found.append(np.unique(np.stack((ids[x], component[y], np.zeros(len(x), np.int64)), 1), axis=0))
             if nearest and low != high:
                 y = np.flatnonzero(best <= FAR)
                 found.append(np.stack((ids[right][y], ids[best_at[y]], best[y]), 1))
             rows = np.concatenate(found)
-            if not nearest:
-                rows = rows[rows[:, 0] > rows[:, 1]] if low == high else np.column_stack((rows[:, :2].max(1), rows[:, :2].min(1), rows[:, 2]))
             return pa.RecordBatch.from_arrays([pa.array(rows[:, k].astype(np.int64 if k < 2 else np.int32)) for k in range(3)], schema=schema)
 
         def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -285,14 +297,77 @@ class NearDuplicates:
             (_, low, high), parts = held[0], held[1:]
             join = lambda c: np.concatenate([p.column(c).to_numpy(zero_copy_only=False) for p in parts])
             binary = b"".join(x for p in parts for x in p.column("signature").to_pylist())
-            return compare(join("id"), join("component"), np.frombuffer(binary, np.uint8).reshape(-1, SYMBOLS), join("own"), low, high)
+            return compare(join("id"), join("component"), join("members"), np.frombuffer(binary, np.uint8).reshape(-1, SYMBOLS), join("own"), low, high)
 
         partitions = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
         ordered = rows.repartition(partitions, "entry", "low", "high").sortWithinPartitions("entry", "low", "high", "id")
         found = ordered.mapInArrow(pairs, "u long, v long, far int")
         if nearest:
             return found.groupBy("u").agg(F.min_by("v", F.struct("far", "v")).alias("v"))
-        return found.select("u", "v").distinct()
+        return found.select("u", F.col("v").alias("target")).distinct()
+
+    def _held_against(self, targets: DataFrame, labels: DataFrame, docs: DataFrame) -> DataFrame:
+        """Links (u, v) of documents u with members v of their target components,
+        by their full sets. Both sides meet in blocks of SIDE documents, inside a
+        worker, so pairs never become rows; one link of a u and a block is enough."""
+        parts = self.parts
+        wanted = targets.select("target").distinct()
+        grown = labels.select(F.col("component").alias("target"), F.col("node").alias("id")).join(wanted, "target", "left_semi")
+        alone = wanted.join(grown.select("target").distinct(), "target", "left_anti").select("target", F.col("target").alias("id"))
+        members = grown.unionByName(alone)
+        blocks = lambda n: F.ceil(F.col(n) / SIDE).cast("int")
+        shape = targets.groupBy("target").agg(F.count("*").alias("u")).join(members.groupBy("target").agg(F.count("*").alias("v")), "target")
+        shape = shape.select("target", blocks("u").alias("us"), blocks("v").alias("vs"))
+        both = targets.select("target", F.col("u").alias("id"), F.lit(0).alias("side")).unionByName(members.select("target", "id", F.lit(1).alias("side")))
+        both = both.join(self._sets(both.select("id").distinct(), docs), "id").join(shape, "target")
+        first = F.col("side") == 0
+        own = F.pmod(F.xxhash64("id"), F.when(first, F.col("us")).otherwise(F.col("vs"))).cast("int")
+        both = both.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.when(first, F.col("vs")).otherwise(F.col("us")) - 1)))
+        rows = both.select("target", F.when(first, F.col("own")).otherwise(F.col("other")).alias("ub"), F.when(first, F.col("other")).otherwise(F.col("own")).alias("vb"), "side", "id", "set")
+        schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
+
+        def check(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+            side = np.concatenate([p.column("side").to_numpy() for p in held])
+            ids = np.concatenate([p.column("id").to_numpy() for p in held])
+            sets = [np.frombuffer(x, np.uint64) for p in held for x in p.column("set").to_pylist()]
+            full = np.array([len(x) > 0 for x in sets])
+            one, two = np.flatnonzero((side == 0) & full), np.flatnonzero((side == 1) & full)
+            out = []
+            if len(one) and len(two):
+                values, code = np.unique(np.concatenate([sets[k] for k in (*one, *two)]), return_inverse=True)
+                size = np.array([len(sets[k]) for k in (*one, *two)])
+                ends = np.cumsum(size)
+                split = ends[len(one) - 1]
+                theirs, starts, n = code[split:], ends[len(one) :] - size[len(one) :] - split, size[len(one) :]
+                flags = np.zeros(len(values), bool)
+                for k, at in enumerate(one):
+                    mine = code[ends[k] - size[k] : ends[k]]
+                    flags[mine] = True
+                    common = np.add.reduceat(flags[theirs], starts, dtype=np.int64)
+                    flags[mine] = False
+                    fit = np.flatnonzero(100 * common >= parts * (size[k] + n - common))
+                    if len(fit):
+                        out.append((ids[at], ids[two[fit[0]]]))
+            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], schema=schema)
+
+        def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held: list = []
+            last = None
+            for batch in batches:
+                key = np.stack([batch.column(c).to_numpy() for c in ("target", "ub", "vb")], 1)
+                starts = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]).any(1)))) if len(key) else []
+                for a, b in zip(starts, [*starts[1:], len(key)]):
+                    if held and tuple(key[a]) != last:
+                        yield check(held)
+                        held = []
+                    last = tuple(key[a])
+                    held.append(batch.slice(a, b - a))
+            if held:
+                yield check(held)
+
+        partitions = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        ordered = rows.repartition(partitions, "target", "ub", "vb").sortWithinPartitions("target", "ub", "vb")
+        return ordered.mapInArrow(links, "u long, v long")
 
     def find(self, docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
         """(doc_id, n_shingles, component_id, kept) of every row of ``docs``."""
@@ -319,7 +394,7 @@ class NearDuplicates:
             links = links.unionByName(new)
             labels = materialize(spark, components(spark, links), "labels")
         across = materialize(spark, self._across(crowded, reps, labels, nearest=False), "across")
-        last = materialize(spark, self._confirmed(across, docs), "links")
+        last = materialize(spark, self._held_against(across, labels, docs), "links")
         found = components(spark, links.unionByName(last))
 
         leads = classes.join(found.select(F.col("node").alias("rep"), "component"), "rep", "left").select("a", "b", F.coalesce("component", "rep").alias("lead"))
