@@ -299,14 +299,38 @@ SELECT s.key, left(command, strpos(command, token) - 1) || {_mask('token')} || C
 WHERE strpos(substr(command, strpos(command, token) + length(token)), token) = 0"""
 )
 def redact_command(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Masked commands that hold one secret; the model in the tests covers
-    commands with several."""
+    """Masked commands that hold one secret, once: all that this SQL states.
+    ``redact_findings`` has the rows of every command with findings."""
     found = scan(commands(spark, sf_dir))
     again = F.contains(F.substring("command", F.col("match_start") + F.col("match_len") + 1, F.length("command")), F.col("token"))
     one = found.groupBy("key").agg(F.count_distinct("token").alias("n"), F.min("redacted").alias("redacted"), F.min("redacted_start").alias("start"), F.max(again).alias("again"))
     return one.where("n = 1 AND NOT again").select("key", "redacted", "start")
 
 
+@query(
+    f"""{SCAN}, cut AS (
+  SELECT t.key, length(token) AS n, string_split(command, token) AS parts FROM (SELECT DISTINCT key, token FROM findings WHERE token <> '') t JOIN live l ON l.key = t.key
+), spot AS (SELECT key, n, parts, unnest(range(1, len(parts))) AS k FROM cut),
+span AS (SELECT key, length(array_to_string(parts[1:k], '')) + (k - 1) * n AS a, length(array_to_string(parts[1:k], '')) + k * n AS b FROM spot),
+marked AS (SELECT *, CASE WHEN a <= max(b) OVER (PARTITION BY key ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS opens FROM span),
+island AS (
+  SELECT key, min(a) AS a, max(b) AS b FROM (SELECT *, sum(opens) OVER (PARTITION BY key ORDER BY a, b ROWS UNBOUNDED PRECEDING) AS island FROM marked) GROUP BY key, island
+), gap AS (SELECT *, coalesce(lag(b) OVER (PARTITION BY key ORDER BY a), 0) AS done FROM island),
+piece AS (SELECT g.key, a, b, command, substr(command, done + 1, a - done) AS before, substr(command, a + 1, b - a) AS t FROM gap g JOIN live l ON l.key = g.key),
+shown AS (SELECT *, {_mask('t')} AS m FROM piece),
+placed AS (SELECT *, sum(length(before) + length(m)) OVER (PARTITION BY key ORDER BY a) - length(m) AS at FROM shown),
+whole AS (SELECT key, string_agg(before || m, '' ORDER BY a) || CASE WHEN max(b) < max(length(command)) THEN '...' ELSE '' END AS redacted FROM shown GROUP BY key)
+SELECT f.key, f.det_type, f.token, coalesce(w.redacted, l.command) AS redacted, CAST(coalesce(p.at, 0) AS INT) AS start, CAST(coalesce(length(p.m), 0) AS INT) AS length
+FROM findings f JOIN live l ON l.key = f.key LEFT JOIN whole w ON w.key = f.key
+LEFT JOIN placed p ON p.key = f.key AND f.token <> '' AND strpos(l.command, f.token) > p.a AND strpos(l.command, f.token) <= p.b"""
+)
+def redact_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The masked command of every finding, ignored ones too: all occurrences
+    of all tokens of the command, and where the finding's own mask is."""
+    found = scan(commands(spark, sf_dir))
+    return found.select("key", "det_type", "token", "redacted", F.col("redacted_start").alias("start"), F.col("redacted_len").alias("length"))
+
+
 @query(
     """WITH t AS (SELECT doc_id, text, length(text) AS n, strpos(text, 'the') - 1 AS p FROM documents WHERE strpos(text, 'the') > 0),
 w AS (SELECT *, greatest(p - 60, 0) AS a, least(p + 3 + 60, n) AS b FROM t)
