@@ -14,7 +14,7 @@ from vigil.operators import deep, fix, lines
 from vigil.operators.rules import of_kind
 from vigil.operators.scan import scan, severity_counts, visible
 from vigil.schema import SEVERITIES
-from vigil.sources import discover, files
+from vigil.sources import discover, files, parsers
 
 
 def parser() -> argparse.ArgumentParser:
@@ -100,17 +100,19 @@ def run_deep(spark, args, rules, env, out) -> int:
 
 def run_fix(spark, args, rules, env, out) -> int:
     paths = discover.explicit(args.path, env) if args.path else discover.histories([p for _, p in of_kind(rules, "path")], env)
-    paths = [p for p in paths if not p.endswith(".jsonl")]
     total = 0
     for path in paths:  # each file is rewritten on its own
         snapshot = fix.Snapshot.take(path)
         text = snapshot.data.decode("utf-8", "replace")
         rows = spark.createDataFrame([(path, text)], "file string, text string")
         physical = lines.physical_lines(rows)
-        fish = "fish_history" in path
-        spans = fix.fish_spans(physical) if fish else fix.shell_spans(physical)
-        entries = lines.fish_entries(physical) if fish else lines.shell_entries(physical)
-        found = visible(scan(entries.withColumn("entry_seq", F.lit(0)), rules), args.level)
+        kind = parsers.history_kind(path)
+        spans = fix.fish_spans(physical) if kind == "fish" else fix.shell_spans(physical)
+        if kind in ("fish", "shell"):
+            entries = (lines.fish_entries(physical) if kind == "fish" else lines.shell_entries(physical)).withColumn("entry_seq", F.lit(0))
+        else:  # JSON: several entries may come from one line
+            entries = files.history_text(spark, path, snapshot.data)
+        found = visible(scan(entries, rules), args.level)
         removed = []
         for c in fix.removal_candidates(found, spans).orderBy("span_start").toLocalIterator():
             total += 1

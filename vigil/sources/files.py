@@ -135,3 +135,9 @@ def stream_text(spark: SparkSession, data: bytes, file: str = "<stdin>") -> Data
     """Entries of standard input, which is read on the driver."""
     rows = [(file, 0, n, i, ts, raw, c, None if c is not None else "oversized") for i, (n, ts, raw, c) in enumerate(parsers.shell(data))]
     return spark.createDataFrame(rows, ENTRIES)
+
+
+def history_text(spark: SparkSession, path: str, data: bytes) -> DataFrame:
+    """Entries of a history whose bytes the driver holds, by its path's kind."""
+    rows = [(path, 0, n, i, ts, raw, c, None if c is not None else "oversized") for i, (n, ts, raw, c) in enumerate(parsers.entries(path, data))]
+    return spark.createDataFrame(rows, ENTRIES)
