@@ -10,8 +10,10 @@ loss, plus the unlabelled texts' loss as negatives less what positives among
 them are expected to add, held at zero or above.
 
 Features are shares of byte classes and counts of words, lines and repeats
-over whole texts. The fit uses a hash sample of at most about ``sample``
-documents, which is a parameter; scoring covers every text.
+over whole texts. The fit uses two hash samples, whose sizes are parameters:
+of all documents, as the unlabelled texts, about ``sample`` at most, and of
+the documents labelled 1 about ``positives`` at most, so that all of them
+serve however few they are beside the corpus. Scoring covers every text.
 
 Null texts count as empty, and an empty text gets the score of its features.
 Labels that are null, or that belong to no document, are ignored; a document
@@ -29,8 +31,10 @@ from pyspark.sql import functions as F
 from vigil.llm.kernels import NOT_SPACE, mix, owner, shards, text_buffers, words
 from vigil.session import ship_package
 
-#: Documents of the hash sample that the fit reads, about.
+#: Documents of the hash sample that the fit reads as unlabelled, about.
 SAMPLE = 12_000
+#: Documents labelled 1 that the fit reads, about.
+POSITIVES = 12_000
 HIDDEN = 16
 
 _CLASSES = ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789", " \t", "\n\r", ".,;:", "!", "?", "'\"`", "()[]{}", "#$%&*", "|", "<>", "=+-/_@\\^~")
@@ -205,26 +209,31 @@ class QualityClassifier:
 
     @classmethod
     def fit(
-        cls, spark: SparkSession, docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", sample: int = SAMPLE
+        cls, spark: SparkSession, docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", sample: int = SAMPLE,
+        positives: int = POSITIVES,
     ) -> QualityClassifier:
         """docs: texts to learn from (all unlabelled); labels: (key, label)
         of the rows whose labels may be used. Only label 1 is."""
         ship_package(spark)
-        share = min(1.0, sample / max(1, docs.count()))
-        draw = F.pmod(F.xxhash64(F.lit("quality sample"), F.col(key)), F.lit(1 << 30)) / float(1 << 30)
-        chosen = docs.select(F.col(key), F.col(text)).where(F.col(key).isNotNull() & (draw < share))
+        draw = lambda salt, of: F.pmod(F.xxhash64(F.lit(salt), F.col(of)), F.lit(1 << 30)) / float(1 << 30)
+        share = lambda wanted, count: F.lit(min(1.0, wanted / max(1, count)))
         marked = labels.select(F.col(key).alias("_key"), F.col(label).alias("_label")).where(F.col("_label").isNotNull())
-        marked = marked.groupBy("_key").agg(F.min("_label").alias("_label"))
-        rows = chosen.select(F.col(key), feature_column(F.col(text)).alias("x"))
-        got = rows.join(marked, F.col(key) == F.col("_key"), "left").select("x", F.coalesce(F.col("_label") == 1, F.lit(False)).alias("good")).toArrow()
+        marked = marked.groupBy("_key").agg(F.min("_label").alias("_label")).where("_label = 1").select("_key")
+        # Labels without a document don't count towards the bound.
+        marked = marked.join(docs.select(key), F.col("_key") == F.col(key), "left_semi")
+        marked = marked.where(draw("quality positives", "_key") < share(positives, marked.count()))
+        own = docs.select(F.col(key), F.col(text), (draw("quality sample", key) < share(sample, docs.count())).alias("_drawn")).where(F.col(key).isNotNull())
+        # Keys of about ``positives`` documents.
+        got = own.join(F.broadcast(marked), F.col(key) == F.col("_key"), "left").withColumn("good", F.col("_key").isNotNull())
+        got = got.where(F.col("_drawn") | F.col("good")).select("good", "_drawn", feature_column(F.col(text)).alias("x")).toArrow()
         x = np.array(got.column("x").combine_chunks().flatten()).reshape(-1, FEATURES)
-        good = got.column("good").to_numpy()
+        good, drawn = got.column("good").to_numpy(), got.column("_drawn").to_numpy()
         # Rows in one order whatever the partitions, so that a fit can be repeated.
-        order = np.lexsort((good, *x.T))
-        x, good = x[order], good[order]
+        order = np.lexsort((drawn, good, *x.T))
+        x, good, drawn = x[order], good[order], drawn[order]
         if not good.any():
             return cls(spark, None, 0.5)
-        network, prior = fit(x[good], x)
+        network, prior = fit(x[good], x[drawn])
         return cls(spark, network, prior)
 
     def score(self, df: DataFrame, text: str = "text", out: str = "score") -> DataFrame:
