@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -10,7 +12,7 @@ from pyspark.sql import functions as F
 from vigil.functions.text import single_line, window
 
 BADGES = {3: "[!!!]", 2: "[!! ]", 1: "[!  ]", 0: "[   ]"}
-PROMPT_HISTORIES = ("/.codex/history.jsonl", "/.claude/history.jsonl")
+PROMPT_HISTORIES = ("/.codex/history.jsonl", "/.claude/history.jsonl", "/.ollama/history", "/.aider.input.history")
 ORDER = ("source_ord", "file_ord", "file", "line", "entry_seq", "ord")
 
 
@@ -81,7 +83,8 @@ def summary(high: int, medium: int, low: int) -> str:
 
 
 def from_prompt_history(file: Column) -> Column:
-    return F.contains(file, F.lit(PROMPT_HISTORIES[0])) | F.contains(file, F.lit(PROMPT_HISTORIES[1]))
+    ends = [e for p in PROMPT_HISTORIES for e in (p, p.replace("/", "\\"))]
+    return reduce(or_, [F.endswith(file, F.lit(e)) for e in ends])
 
 
 def needs_transcript_warning(findings: DataFrame) -> bool:
