@@ -195,6 +195,13 @@ def entropy_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orders.select(F.col("o_orderkey").alias("key"), F.round(entropy(token), 6).alias("bits"))
 
 
+@query("SELECT doc_id, CASE WHEN strlen(text) > 0 THEN round(list_entropy(regexp_extract_all(hex(encode(text)), '..')), 6) ELSE 0.0 END AS bits FROM documents")
+def entropy_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shannon entropy of the bytes of every whole document."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return docs.select("doc_id", F.round(entropy(F.col("text")), 6).alias("bits"))
+
+
 @query(f"WITH {BASE_CTE}, {ASSIGN_CTE} SELECT key, name, value FROM assign")
 def assign_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every name=value of the commands, sensitive or not."""
@@ -482,6 +489,14 @@ def json_leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
     return string_leaves(over(spark, sf_dir, _NESTED).where("record IS NOT NULL"), "record", ["conv_id", "turn"]).select("conv_id", "turn", "leaf")
 
 
+@query("SELECT event_id, json_extract_string(atom, '$') AS leaf FROM (SELECT event_id, t.atom FROM events, json_tree(CASE WHEN json_valid(props) THEN props END) t WHERE t.type = 'VARCHAR') WHERE json_extract_string(atom, '$') <> ''")
+def json_leaves_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """String leaves of the events' properties; numbers aren't leaves."""
+    from vigil.operators.json_tree import string_leaves
+
+    return string_leaves(spark.read.parquet(f"{sf_dir}/events.parquet"), "props", ["event_id"])
+
+
 _EVENTS = "SELECT o_orderkey AS key, ['user.typed', 'prompt.x', 'assistant.reasoning', 'assistant.said', 'tool.start', 'tool.request', 'tool.done', 'session'][1 + o_orderkey % 8] AS kind FROM orders"
 
 
