@@ -22,15 +22,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigil.llm.pretokens import splitter
+from vigil.llm.pretokens import Remembered, splitter
 from vigil.session import ship_package
 
 #: A vocabulary is broadcast, so its file may not be larger than this.
 MAX_VOCABULARY_BYTES = 64 << 20
-#: Pre-tokens remembered by a worker before it forgets them all.
-REMEMBERED = 800_000
-
-
 #: Bits of one bitmap word; ranks up to 2**16 then take two levels of 2**8 bits,
 #: and the upper word has a bit more for every further 256 ranks.
 _SHIFT, _MASK = 8, 255
@@ -121,19 +117,6 @@ class BytePairs:
         return b"".join(map(self.token.__getitem__, ids))
 
 
-class _Remembered(dict):
-    """Results by pre-token, made on first use."""
-
-    def __init__(self, make):
-        self.make = make
-
-    def __missing__(self, piece):
-        if len(self) >= REMEMBERED:
-            self.clear()
-        out = self[piece] = self.make(piece)
-        return out
-
-
 class _Worker:
     """What one Python worker keeps for a vocabulary, across its tasks."""
 
@@ -143,10 +126,10 @@ class _Worker:
         ranks = {base64.b64decode(a): int(b) for a, b in (x.split() for x in vocabulary.splitlines() if x)}
         self.pairs = BytePairs(ranks, pattern)
         merge = self.pairs.merge
-        self.packed = _Remembered(lambda p: np.array(merge(p.encode("utf-8", "surrogatepass")), np.int32).tobytes())
-        self.decimal = _Remembered(lambda p: ",".join(map(str, merge(p.encode("utf-8", "surrogatepass")))))
+        self.packed = Remembered(lambda p: np.array(merge(p.encode("utf-8", "surrogatepass")), np.int32).tobytes())
+        self.decimal = Remembered(lambda p: ",".join(map(str, merge(p.encode("utf-8", "surrogatepass")))))
         decode = self.pairs.decode
-        self.decoded = _Remembered(lambda ids: decode(map(int, ids.split(","))))
+        self.decoded = Remembered(lambda ids: decode(map(int, ids.split(","))))
 
     @classmethod
     def get(cls, vocabulary: bytes, pattern: str) -> _Worker:
@@ -188,9 +171,11 @@ class ByteBPE:
 
         def encode(column: pa.Array) -> pa.Array:
             worker = _Worker.get(vocabulary.value, pattern)
-            made = [worker.encode(x.as_py()) for x in column]
-            ends = np.cumsum([0, *(len(x) // 4 for x in made)])
-            return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(made), np.int32)))
+            ids, ends = bytearray(), [0]
+            for text in column:
+                ids += worker.encode(text.as_py())
+                ends.append(len(ids) // 4)
+            return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.Array.from_buffers(pa.int32(), ends[-1], [None, pa.py_buffer(ids)]))
 
         return df.withColumn(out, F.arrow_udf(encode, "array<int>")(F.col(text).cast("string")))
 

@@ -12,7 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 1 << 20
 
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _BASE_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
@@ -65,20 +65,25 @@ ALNUM[48:58] = ALNUM[97:123] = True
 ALNUM[128:] = True
 
 
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    up, down = np.full(n, _BASE), np.full(n, _BASE_INVERSE)
+    up[0] = down[0] = 1
+    return np.cumprod(up), np.cumprod(down)
+
+
 class Powers:
-    """Powers of the hash base and of its inverse modulo 2**64, grown on demand."""
+    """Powers of the hash base and of its inverse modulo 2**64. A worker keeps
+    those of one shard; a longer text's are made for it and let go again."""
 
-    forward = np.ones(1, np.uint64)
-    backward = np.ones(1, np.uint64)
+    kept: tuple[np.ndarray, np.ndarray] | None = None
 
     @classmethod
     def upto(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(cls.forward) < n:
-            size = max(n, 2 * len(cls.forward))
-            up, down = np.full(size, _BASE), np.full(size, _BASE_INVERSE)
-            up[0] = down[0] = 1
-            cls.forward, cls.backward = np.cumprod(up), np.cumprod(down)
-        return cls.forward, cls.backward
+        if n > SHARD_BYTES + 1:
+            return _powers(n)
+        if cls.kept is None:
+            cls.kept = _powers(SHARD_BYTES + 1)
+        return cls.kept
 
 
 def mix(x: np.ndarray) -> np.ndarray:

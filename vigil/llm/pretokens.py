@@ -33,3 +33,25 @@ def splitter(pattern: str) -> Callable[[str], list[str]]:
     quick = re.compile(plain).findall
     other = re.compile(f"[^\x00-{chr(_STABLE - 1)}]").search
     return lambda text: full(text) if other(text) else quick(text)
+
+
+class Remembered(dict):
+    """Results by pre-token, made on first use. What is kept is bounded by
+    bytes: pre-tokens over LONGEST characters are worked out each time, and
+    when BUDGET is reached all are forgotten."""
+
+    #: Bytes of keys and results, with ROOM for the objects and their table slot.
+    BUDGET, ROOM, LONGEST = 64 << 20, 208, 64
+
+    def __init__(self, make: Callable):
+        self.make, self.used = make, 0
+
+    def __missing__(self, piece):
+        out = self.make(piece)
+        if len(piece) <= self.LONGEST:
+            if self.used > self.BUDGET:
+                self.clear()
+                self.used = 0
+            self[piece] = out
+            self.used += len(piece) + len(out) + self.ROOM
+        return out
