@@ -40,6 +40,7 @@ doc_id count as one node. Ties need no rule, as the least doc_id decides.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -61,6 +62,10 @@ ROUNDS = 1
 SIDE = 256
 #: Members of an entry that a worker compares at once.
 BLOCK = 4096
+#: Parity bits of a set at most. Larger sets pass the bound more often; it stays a bound.
+PARITY_BITS = 8192
+#: Pairs whose parities a worker compares at once.
+PAIRS = 1 << 15
 
 _DRAW = np.random.default_rng(20240501)
 _FACTOR = (_DRAW.integers(0, 1 << 32, SYMBOLS, np.uint32) | np.uint32(1)).astype(np.uint32)
@@ -103,26 +108,81 @@ def signatures(value: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return out
 
 
-def entries(signature: np.ndarray) -> np.ndarray:
-    """Index entries of each signature: one for every chunk and omitted symbol."""
+def entries(signature: np.ndarray, errors: int = 1) -> np.ndarray:
+    """Index entries of each signature: one for every chunk and ``errors`` omitted symbols."""
     parts = signature.reshape(len(signature), CHUNKS, WIDTH).astype(np.uint64)
     weights = mix(np.arange(1, WIDTH + 1, dtype=np.uint64) * np.uint64(0xA24BAED4963EE407))
     each = mix(parts * np.uint64(257) + weights) * weights
-    total = each.sum(2, keepdims=True)
-    place = np.arange(SYMBOLS, dtype=np.uint64).reshape(1, CHUNKS, WIDTH) << np.uint64(8)
-    return mix((total - each) ^ mix(place + np.uint64(1))).reshape(len(signature), SYMBOLS)
+    omitted = np.array(list(combinations(range(WIDTH), errors)))
+    left = each.sum(2, keepdims=True) - each[:, :, omitted].sum(3)
+    place = np.arange(CHUNKS * len(omitted), dtype=np.uint64).reshape(1, CHUNKS, -1) << np.uint64(8)
+    return mix(left ^ mix(place + np.uint64(1))).reshape(len(signature), -1)
+
+
+def parities(value: np.ndarray, bounds: np.ndarray) -> list[bytes]:
+    """For every set the parities of its elements by slot: a power of two of
+    slots, twice the elements or more up to PARITY_BITS."""
+    size = np.diff(bounds)
+    bits = np.clip(1 << np.ceil(np.log2(np.maximum(2 * size, 1))).astype(np.int64), 64, PARITY_BITS)
+    ends = np.cumsum(bits)
+    text = owner(bounds)
+    slot = (value & (bits[text] - 1).astype(np.uint64)).astype(np.int64) + (ends - bits)[text]
+    odd = np.packbits((np.bincount(slot, minlength=int(ends[-1]) if len(ends) else 0) & 1).astype(np.uint8), bitorder="little").tobytes()
+    return [odd[(b - w) // 8 : b // 8] for b, w in zip(ends, bits)]
+
+
+class Bound:
+    """Tells pairs of sets apart that can't be similar enough, from their sizes
+    and parities. Folding a longer row of parities in halves gives the shorter
+    row of the same set, so sets with different numbers of slots compare."""
+
+    def __init__(self, n: np.ndarray, parity: list[bytes], parts: int):
+        self.n, self.parity, self.parts = n, parity, parts
+        self.width = np.array([len(x) for x in parity], np.int64)
+        self.rows: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+    def _folded(self, width: int) -> tuple[np.ndarray, np.ndarray]:
+        """(rows of ``width`` bytes, row of each set)."""
+        if width not in self.rows:
+            own = np.flatnonzero(self.width == width)
+            made, where = [np.frombuffer(b"".join(self.parity[i] for i in own), np.uint64).reshape(len(own), width // 8)], [own]
+            if (self.width > width).any():
+                rows, at = self._folded(2 * width)
+                longer = np.flatnonzero(self.width > width)
+                half = width // 8
+                made.append(rows[at[longer], :half] ^ rows[at[longer], half:])
+                where.append(longer)
+            at = np.full(len(self.n), -1)
+            at[np.concatenate(where)] = np.arange(sum(map(len, where)))
+            self.rows[width] = np.concatenate(made), at
+        return self.rows[width]
+
+    def passes(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Which of the pairs of sets (x[k], y[k]) may be similar enough."""
+        parts, n = self.parts, self.n
+        out = 100 * np.minimum(n[x], n[y]) >= parts * np.maximum(n[x], n[y])
+        width = np.minimum(self.width[x], self.width[y])
+        for w in np.unique(width[out]):
+            rows, at = self._folded(int(w))
+            some = np.flatnonzero(out & (width == w))
+            for k in range(0, len(some), PAIRS):
+                i = some[k : k + PAIRS]
+                apart = np.bitwise_count(rows[at[x[i]]] ^ rows[at[y[i]]]).sum(1, dtype=np.int64)
+                out[i] = (100 + parts) * apart <= (100 - parts) * (n[x[i]] + n[y[i]])
+        return out
 
 
 class NearDuplicates:
-    def __init__(self, spark: SparkSession, shingle: int = 5, similarity: float = 0.8):
+    def __init__(self, spark: SparkSession, shingle: int = 5, similarity: float = 0.8, errors: int = 1):
+        """errors: symbols of a chunk that an index entry may leave out."""
         ship_package(spark)
-        self.spark, self.shingle = spark, shingle
+        self.spark, self.shingle, self.errors = spark, shingle, errors
         self.parts = round(similarity * 100)
 
     def _signed(self, docs: DataFrame) -> DataFrame:
-        """(id, n, a, b, signature) of every document: n shingles; a and b hash the set."""
+        """(id, n, a, b, signature, parity) of every document: n shingles; a and b hash the set."""
         n = self.shingle
-        schema = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("signature", pa.binary())])
+        schema = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("signature", pa.binary()), ("parity", pa.binary())])
 
         def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -136,21 +196,24 @@ class NearDuplicates:
                         b[full] = np.add.reduceat(mix(value ^ np.uint64(0x5851F42D4C957F2D)), bounds[:-1][full])
                     rows = iter(signatures(value, bounds))
                     binary = pa.array([next(rows).tobytes() if f else None for f in full], pa.binary())
-                    yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(size, pa.int64()), pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), binary], schema=schema)
+                    columns = [part.column("id"), pa.array(size, pa.int64()), pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), binary, pa.array(parities(value, bounds), pa.binary())]
+                    yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
-        return docs.mapInArrow(sign, "id long, n long, a long, b long, signature binary")
+        return docs.mapInArrow(sign, "id long, n long, a long, b long, signature binary, parity binary")
 
     def _crowded(self, reps: DataFrame) -> DataFrame:
         """(entry, id, hub): entries that several representatives share; hub is
         the least of them. Entries stream by in order, one batch at a time."""
+        errors = self.errors
 
         def enter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for at in range(0, batch.num_rows, 2048):
                     part = batch.slice(at, 2048)
                     rows = np.frombuffer(b"".join(part.column("signature").to_pylist()), np.uint8).reshape(-1, SYMBOLS)
-                    ids = np.repeat(part.column("id").to_numpy(), SYMBOLS)
-                    yield pa.RecordBatch.from_arrays([pa.array(entries(rows).view(np.int64).ravel()), pa.array(ids)], ["entry", "id"])
+                    listed = entries(rows, errors).view(np.int64)
+                    ids = np.repeat(part.column("id").to_numpy(), listed.shape[1])
+                    yield pa.RecordBatch.from_arrays([pa.array(listed.ravel()), pa.array(ids)], ["entry", "id"])
 
         def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             last = hub = None  # the entry that may go on, and its least id
@@ -178,16 +241,21 @@ class NearDuplicates:
         return materialize(self.spark, ordered.mapInArrow(runs, "entry long, id long, hub long"), "entries", "lz4")
 
     def _near(self, pairs: DataFrame, reps: DataFrame) -> DataFrame:
-        """Pairs (u, v) whose signatures are within reach."""
+        """Pairs (u, v) whose signatures are within reach and whose sets may be similar."""
+        parts = self.parts
 
-        def distance(left: pa.Array, right: pa.Array) -> pa.Array:
+        def reach(left: pa.Array, right: pa.Array, n: pa.Array, m: pa.Array, odd: pa.Array, even: pa.Array) -> pa.Array:
             read = lambda x: np.frombuffer(b"".join(x.to_pylist()), np.uint8).reshape(-1, SYMBOLS)
-            return pa.array((read(left) != read(right)).sum(1), pa.int32())
-
-        one = reps.select(F.col("id").alias("u"), F.col("signature").alias("su"))
-        two = reps.select(F.col("id").alias("v"), F.col("signature").alias("sv"))
+            out = (read(left) != read(right)).sum(1) <= FAR
+            x = np.flatnonzero(out)
+            bound = Bound(np.concatenate((n.to_numpy(), m.to_numpy())), odd.to_pylist() + even.to_pylist(), parts)
+            out[x] = bound.passes(x, x + len(out))
+            return pa.array(out)
+
+        one = reps.select(F.col("id").alias("u"), F.col("signature").alias("su"), F.col("n").alias("nu"), F.col("parity").alias("pu"))
+        two = reps.select(F.col("id").alias("v"), F.col("signature").alias("sv"), F.col("n").alias("nv"), F.col("parity").alias("pv"))
         both = pairs.join(one, "u").join(two, "v")
-        return both.where(F.arrow_udf(distance, "int")("su", "sv") <= FAR).select("u", "v")
+        return both.where(F.arrow_udf(reach, "boolean")("su", "sv", "nu", "nv", "pu", "pv")).select("u", "v")
 
     def _sets(self, ids: DataFrame, docs: DataFrame) -> DataFrame:
         """(id, set) of the documents with these ids and a few others. Only they
@@ -242,13 +310,15 @@ class NearDuplicates:
         placed = placed.withColumns({"component": F.coalesce("component", "id"), "members": F.coalesce("members", F.lit(1))})
         mixed = placed.groupBy("entry").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("n")).where("x <> y")
         blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-        rows = placed.join(mixed.select("entry", blocks.alias("blocks")), "entry").join(reps.select("id", "signature"), "id")
+        rows = placed.join(mixed.select("entry", blocks.alias("blocks")), "entry").join(reps, "id")
         own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
         rows = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        rows = rows.select("entry", "id", "component", "members", "signature", "own", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
+        rows = rows.select("entry", "id", "component", "members", "n", "signature", "parity", "own", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
         schema = pa.schema([("u", pa.int64()), ("v", pa.int64()), ("far", pa.int32())])
 
-        def compare(ids: np.ndarray, component: np.ndarray, members: np.ndarray, signature: np.ndarray, own: np.ndarray, low: int, high: int) -> pa.RecordBatch:
+        parts = self.parts
+
+        def compare(ids: np.ndarray, component: np.ndarray, members: np.ndarray, signature: np.ndarray, bound: Bound, own: np.ndarray, low: int, high: int) -> pa.RecordBatch:
             left = np.flatnonzero(own == low)
             right = left if low == high else np.flatnonzero(own == high)
             step = max(1, (32 << 20) // (SYMBOLS * max(1, len(right))))
@@ -257,6 +327,9 @@ class NearDuplicates:
                 i = left[at : at + step]
                 far = (signature[i][:, None, :] != signature[right][None]).sum(2)
                 far[component[i][:, None] == component[right][None]] = FAR + 1
+                x, y = np.nonzero(far <= FAR)
+                fit = bound.passes(i[x], right[y])
+                far[x[~fit], y[~fit]] = FAR + 1
                 if nearest:
                     x = np.arange(len(i))
                     y = far.argmin(1)
@@ -267,8 +340,7 @@ class NearDuplicates:
                     x, y = x[keep], y[keep]
                     found.append(np.stack((ids[i][x], ids[right][y], far[x, y]), 1))
                 else:
-                    x, y = np.nonzero(far <= FAR)
-                    x, y = i[x], right[y]
+                    x, y = i[x[fit]], right[y[fit]]
                     swap = (members[x] > members[y]) | ((members[x] == members[y]) & (component[x] > component[y]))
                     x, y = np.where(swap, y, x), np.where(swap, x, y)
                     found.append(np.unique(np.stack((ids[x], component[y], np.zeros(len(x), np.int64)), 1), axis=0))
@@ -294,10 +366,11 @@ class NearDuplicates:
                 yield close(held)
 
         def close(held: list) -> pa.RecordBatch:
-            (_, low, high), parts = held[0], held[1:]
-            join = lambda c: np.concatenate([p.column(c).to_numpy(zero_copy_only=False) for p in parts])
-            binary = b"".join(x for p in parts for x in p.column("signature").to_pylist())
-            return compare(join("id"), join("component"), join("members"), np.frombuffer(binary, np.uint8).reshape(-1, SYMBOLS), join("own"), low, high)
+            (_, low, high), batches = held[0], held[1:]
+            join = lambda c: np.concatenate([p.column(c).to_numpy(zero_copy_only=False) for p in batches])
+            every = lambda c: [x for p in batches for x in p.column(c).to_pylist()]
+            signature = np.frombuffer(b"".join(every("signature")), np.uint8).reshape(-1, SYMBOLS)
+            return compare(join("id"), join("component"), join("members"), signature, Bound(join("n"), every("parity"), parts), join("own"), low, high)
 
         partitions = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
         ordered = rows.repartition(partitions, "entry", "low", "high").sortWithinPartitions("entry", "low", "high", "id")
@@ -377,8 +450,8 @@ class NearDuplicates:
         linked = signed.where("n > 0 and id is not null")
         classes = linked.groupBy("a", "b").agg(F.min("id").alias("rep"))
         classes = materialize(spark, classes, "classes")
-        reps = linked.join(classes.select(F.col("rep").alias("id"), "a", "b"), ["id", "a", "b"]).select("id", "a", "b", "signature").dropDuplicates(["id", "a", "b"])
-        reps = materialize(spark, reps.select("id", "signature"), "representatives")
+        reps = linked.join(classes.select(F.col("rep").alias("id"), "a", "b"), ["id", "a", "b"]).dropDuplicates(["id", "a", "b"])
+        reps = materialize(spark, reps.select("id", "n", "signature", "parity"), "representatives")
 
         crowded = self._crowded(reps)
         stars = self._near(crowded.where("id <> hub").select(F.col("id").alias("u"), F.col("hub").alias("v")).distinct(), reps)
