@@ -3,23 +3,32 @@
 Base spans: leftmost non-overlapping matches of one pattern per kind, then a
 check (address parts, Luhn sum, digit count) that drops a match for good.
 
-Bootstrapping: the base spans are the seed entities. The words before a seed
-(one, and the last two) are its lexical patterns. Candidates are identifier-
-like tokens: five characters or more with a digit, outside base spans. Spark
+Bootstrapping: the base spans are the seed entities. A fifth kind, secret, has
+seeds but no base spans: quoted values of 20 characters or more behind a
+credential's name and = or : (SECRET), which count only where an induced
+pattern finds them. The words before a seed (one, and the last two) are its
+lexical patterns; opening quotes and brackets before the seed belong to its own
+token. Candidates are identifier-like tokens: five characters or more with a
+digit, without edge punctuation, outside base spans. Spark
 scores the bipartite graph of patterns and instances (seeds and candidates)
 iteratively: a pattern's confidence is the sum of the scores of the instances
 it precedes over the number of all tokens it precedes in the corpus, so common
 words, which precede everything, earn nothing; an instance's score is
 1 - product(1 - confidence) over its patterns, seeds staying at 1. What a
 pattern itself (or one that ends with the same word) lends to an instance
-doesn't count for that pattern, so patterns can't confirm themselves. Patterns
-that reach ``confidence`` and precede at least ``support`` distinct seeds of
-one kind discover further spans of that kind: candidates that follow them.
+doesn't count for that pattern, so patterns can't confirm themselves. Rounds
+end when no confidence moves by more than SETTLED. Patterns that reach
+``confidence`` and precede at least ``support`` distinct seeds of one kind
+discover further spans of that kind: candidates that follow them.
 
 Pattern totals are counted over all documents; tokens enter Spark as hashes,
-counted within workers first. Patterns reach the workers in blocks of bounded
-size. Null texts count as empty, repeated rows are handled one by one, and
-without seeds nothing is added. Offsets are code points, ends exclusive.
+counted within workers first. A pattern is the more certain of its kinds (the
+one with more distinct seeds, then the later name); of two patterns before one
+candidate the longer decides. Induced patterns number at most two for every
+``support`` distinct seeds and reach the workers in broadcasts of bounded size.
+Null texts count as empty, repeated rows are handled one by one, and without
+seeds nothing is added. A column named like ``out`` is replaced; other columns
+stay. Offsets are code points, ends exclusive.
 """
 
 from __future__ import annotations
@@ -38,24 +47,27 @@ from vigil.llm.kernels import NOT_SPACE, mix, shards, text_buffers, words
 from vigil.session import materialize, ship_package
 
 KINDS = ("email", "ip", "card", "phone")
+#: Kinds that only patterns find come after the base kinds.
+SPAN_KINDS = (*KINDS, "secret")
 # Fixed patterns.
 EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
 IP = r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}"  # a match can only begin where a run of digits does
 CARD = r"[0-9](?:[\x20-]?[0-9])+"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
+SECRET = r"""(?i)(?:token|secret|password|passwd|api[_-]?key)[\x20]*[=:][\x20]*["']([A-Za-z0-9_+/=-]{20,})["']"""
 
 #: A pattern must precede this many distinct seeds of its kind, and reach this
 #: confidence, before it may discover anything.
 SUPPORT, CONFIDENCE = 8, 0.75
-ROUNDS = 3
-#: Characters before a token that its pattern must fit in; longer words are no patterns.
-LOOK_BACK = 200
-#: Patterns that one pass over the documents carries.
+#: Rounds of scoring at most, and the change of a confidence that ends them.
+ROUNDS, SETTLED = 20, 0.001
+#: Patterns in one broadcast.
 PATTERN_BLOCK = 100_000
 #: Distinct pattern hashes a worker counts before it hands them on.
 COUNTED = 1 << 20
 
 _find = {"ip": re.compile(IP).finditer, "card": re.compile(CARD).finditer, "phone": re.compile(PHONE).finditer}
+_secrets = re.compile(SECRET).finditer
 _blank = re.compile(r"[\x20\x09-\x0D]").search
 _digit = re.compile(r"[0-9]").search
 _BLANK = " \t\n\x0b\x0c\r"
@@ -115,6 +127,14 @@ def _hash(text: str) -> int:
     return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
 
+def secret_seeds(text: str, spans: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
+    """Values that credentials' names introduce, outside the spans and with a digit."""
+    if '"' not in text and "'" not in text:
+        return []
+    found = [m.span(1) for m in _secrets(text) if _digit(m.group(1))]
+    return [(a, b, "secret") for a, b in found if not any(s[0] < b and a < s[1] for s in spans)]
+
+
 def candidates(text: str, spans: list[tuple[int, int, str]]) -> list[tuple[int, int]]:
     """Identifier-like tokens outside the spans, without edge punctuation."""
     out, at = [], 0
@@ -177,7 +197,9 @@ def graph_edges(docs: DataFrame, text: str) -> DataFrame:
                 if not body or not _digit(body) and "@" not in body:
                     continue
                 spans = base_spans(body)
-                for a, b, kind in spans + [(a, b, None) for a, b in candidates(body, spans)]:
+                spans += secret_seeds(body, spans)
+                seeds = sorted(spans)
+                for a, b, kind in seeds + [(a, b, None) for a, b in candidates(body, seeds)]:
                     instance = _hash(body[a:b].lower())
                     for pattern in contexts(body, a):
                         key = (pattern, instance, kind)
@@ -194,15 +216,23 @@ def graph_edges(docs: DataFrame, text: str) -> DataFrame:
 
 def contexts(text: str, start: int) -> list[str]:
     """Patterns of the place ``start``: the word before it and the two before,
-    A-Z lowered. White space must part them from what starts there."""
-    head = text[max(0, start - LOOK_BACK) : start]
-    if not head or head[-1] not in _BLANK:
+    A-Z lowered, however long. White space, or edge punctuation behind white
+    space, must part them from what starts there."""
+    at = start
+    while at > 0 and text[at - 1] in _edge:
+        at -= 1
+    if at == 0 or text[at - 1] not in _BLANK:
         return []
-    before = re.findall(r"[^\x20\x09-\x0D]+", head)
-    if start > LOOK_BACK and head[0] not in _BLANK:
-        before = before[1:]  # it may have begun earlier
-    before = before[-2:]
-    before = [_ascii_lower(w) for w in before]
+    before: list[str] = []
+    while len(before) < 2:
+        while at > 0 and text[at - 1] in _BLANK:
+            at -= 1
+        end = at
+        while at > 0 and text[at - 1] not in _BLANK:
+            at -= 1
+        if at == end:
+            break
+        before.insert(0, _ascii_lower(text[at:end]))
     return [" ".join(before[-n:]) for n in (1, 2) if len(before) >= n]
 
 
@@ -246,6 +276,21 @@ def _family():
     return F.substring_index("pattern", " ", -1)
 
 
+def all_spans_of(text: str, patterns: list[dict]) -> tuple[list, list]:
+    """(base spans, base spans and what the patterns find) of one text. The
+    longest pattern before a candidate decides, then the most confident."""
+    own = base_spans(text)
+    added = []
+    if any(patterns):
+        for a, b in candidates(text, own):
+            hits = [found for p in contexts(text, a) for block in patterns if (found := block.get(p))]
+            if hits:
+                added.append((a, b, max(hits)[2]))
+    if not added:
+        return own, own
+    return own, sorted(own + added, key=lambda s: (s[0], SPAN_KINDS.index(s[2])))
+
+
 class Extractor:
     def __init__(self, spark: SparkSession, support: int = SUPPORT, confidence: float = CONFIDENCE, rounds: int = ROUNDS):
         ship_package(spark)
@@ -272,9 +317,15 @@ class Extractor:
         graph = materialize(spark, edges.join(patterns.select("pattern", "of", "total"), "pattern").where("kind is null or kind = of"), "graph")
         score = F.when(F.col("kind").isNotNull(), 1.0).otherwise(0.0)
         scored = graph.select("pattern", "of", "total", "instance", "kind", "n", score.alias("score"))
+        before = None
         for _ in range(self.rounds):
             confidence = scored.groupBy("pattern", "of").agg(F.least(F.sum(F.col("score") * F.col("n")) / F.max("total"), F.lit(1.0)).alias("confidence"))
             confidence = materialize(spark, confidence, "confidence")
+            if before is not None:
+                moved = confidence.join(before.withColumnRenamed("confidence", "old"), ["pattern", "of"]).agg(F.max(F.abs(F.col("confidence") - F.col("old")))).first()[0]
+                if (moved or 0.0) <= SETTLED:
+                    break
+            before = confidence
             joined = graph.where("kind is null").join(confidence, ["pattern", "of"]).select("instance", "of", _family().alias("family"), "confidence")
             miss = F.sum(F.log(F.greatest(1 - F.col("confidence"), F.lit(1e-9))))
             own = joined.groupBy("instance", "of", "family").agg(miss.alias("own"))
@@ -285,67 +336,54 @@ class Extractor:
             )
         return confidence.where(F.col("confidence") >= self.confidence).select("pattern", F.col("of").alias("kind"), "confidence")
 
+    def _patterns(self, docs: DataFrame, text: str) -> list:
+        """Broadcasts of {pattern: (words, confidence, kind)}, streamed in blocks."""
+        blocks, block = [], {}
+        for row in self.induce(docs, text).toLocalIterator():
+            block[row["pattern"]] = (row["pattern"].count(" ") + 1, row["confidence"], row["kind"])
+            if len(block) == PATTERN_BLOCK:
+                blocks.append(self.spark.sparkContext.broadcast(block))
+                block = {}
+        if block:
+            blocks.append(self.spark.sparkContext.broadcast(block))
+        return blocks
+
     def find(self, docs: DataFrame, text: str = "text", out: str = "found") -> DataFrame:
         """``docs`` with a struct column ``out``: base and spans, arrays of
         (start, stop, kind) by start and kind; spans holds the base and what
-        the induced patterns add. Patterns come in blocks, one pass each."""
+        the induced patterns add."""
         kind = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32()), ("kind", pa.string())]))
         whole = "struct<base:array<struct<start:int,stop:int,kind:string>>,spans:array<struct<start:int,stop:int,kind:string>>>"
+        blocks = self._patterns(docs, text)
 
-        def spans_of(texts: pa.Array, patterns: dict, earlier: pa.Array | None = None) -> pa.Array:
+        def spans_of(texts: pa.Array) -> pa.Array:
+            patterns = [x.value for x in blocks]
+            pack = lambda spans: [{"start": a, "stop": b, "kind": k} for a, b, k in spans]
             base, every = [], []
-            for i, value in enumerate(texts):
-                body = value.as_py() or ""
-                own = base_spans(body)
-                added = []
-                if patterns:
-                    for a, b in candidates(body, own):
-                        hits = [patterns[p] for p in contexts(body, a) if p in patterns]
-                        if hits:
-                            added.append((a, b, hits[-1]))
-                if earlier is not None:
-                    old = [(s["start"], s["stop"], s["kind"]) for s in earlier[i].as_py()["spans"]]
-                    taken = {s[:2] for s in old}
-                    added = [s for s in added if s[:2] not in taken] + [s for s in old if s not in own]
-                order = lambda s: (s[0], KINDS.index(s[2]))
-                pack = lambda spans: [{"start": a, "stop": b, "kind": k} for a, b, k in spans]
+            for value in texts:
+                own, all_spans = all_spans_of(value.as_py() or "", patterns)
                 base.append(pack(own))
-                every.append(pack(sorted(own + added, key=order)))
+                every.append(pack(all_spans))
             return pa.StructArray.from_arrays([pa.array(base, kind), pa.array(every, kind)], ["base", "spans"])
 
-        body = F.col(text).cast("string")
-        found, block, first = self.induce(docs, text), {}, True
-        blocks: list = []
-        for row in found.toLocalIterator():
-            block[row["pattern"]] = row["kind"]
-            if len(block) == PATTERN_BLOCK:
-                blocks.append(self.spark.sparkContext.broadcast(block))
-                block = {}
-        if block or not blocks:
-            blocks.append(self.spark.sparkContext.broadcast(block))
-        for sent in blocks:
-            if first:
-                docs = docs.withColumn(out, F.arrow_udf(lambda t, sent=sent: spans_of(t, sent.value), whole)(body))
-            else:
-                docs = docs.withColumn(out, F.arrow_udf(lambda t, e, sent=sent: spans_of(t, sent.value, e), whole)(body, F.col(out)))
-            first = False
-        return docs
+        return docs.withColumn(out, F.arrow_udf(spans_of, whole)(F.col(text).cast("string")))
 
     def mask(self, docs: DataFrame, text: str = "text") -> DataFrame:
-        """``docs`` with every span replaced by its kind in brackets."""
+        """``docs`` with every span replaced by its kind in brackets; texts
+        without spans (nulls as well) stay as they are. Of overlapping spans
+        the first is named."""
+        blocks = self._patterns(docs, text)
 
-        def masked(texts: pa.Array, found: pa.Array) -> pa.Array:
+        def masked(texts: pa.Array) -> pa.Array:
+            patterns = [x.value for x in blocks]
             out = []
-            for value, spans in zip(texts, found):
+            for value in texts:
                 body, parts, at = value.as_py(), [], 0
-                for s in spans.as_py()["spans"] if body else ():
-                    if s["start"] >= at:
-                        parts += [body[at : s["start"]], f"[{s['kind'].upper()}]"]
-                    at = max(at, s["stop"])
-                out.append("".join([*parts, body[at:]]) if body else body)
+                for a, b, kind in all_spans_of(body, patterns)[1] if body else ():
+                    if a >= at:
+                        parts += [body[at:a], f"[{kind.upper()}]"]
+                    at = max(at, b)
+                out.append("".join([*parts, body[at:]]) if parts else body)
             return pa.array(out, pa.string())
 
-        columns = docs.columns
-        found = self.find(docs, text, "_found")
-        some = F.size("_found.spans") > 0
-        return found.withColumn(text, F.when(some, F.arrow_udf(masked, "string")(F.col(text), F.col("_found"))).otherwise(F.col(text))).select(*columns)
+        return docs.withColumn(text, F.arrow_udf(masked, "string")(F.col(text).cast("string"))).select(*docs.columns)

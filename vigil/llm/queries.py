@@ -78,7 +78,11 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = Extractor(spark).find(docs)
     count = lambda kind: F.size(F.filter("found.base", lambda s: s["kind"] == kind)).cast("long")
     return found.select(
-        "doc_id", *[count(k).alias(f"n_{k}") for k in KINDS], F.sha2(_joined("found.base"), 256).alias("base_sha256"), _joined("found.spans").alias("spans")
+        "doc_id",
+        *[count(k).alias(f"n_{k}") for k in KINDS],
+        F.sha2(_joined("found.base"), 256).alias("base_sha256"),
+        _joined("found.spans").alias("spans"),
+        F.size("found.spans").cast("long").alias("n_spans"),
     )
 
 
