@@ -1,19 +1,31 @@
 """Quality rules with risk-controlled thresholds, in native expressions only.
 
-Each rule rejects texts whose statistic exceeds a cutoff. Cutoffs are chosen
-for each stratum on labelled rows: a cutoff may be used only if an exact
-binomial (Clopper-Pearson) bound shows, at the corrected confidence, that it
-rejects at most ``risk / rules`` of the good texts. Cutoffs of a rule are
-tested from the loosest on and testing ends at the first that fails (a fixed
-sequence needs no correction); strata and rules share ``error`` by
-Bonferroni. So with probability 1 - ``error`` no stratum loses more than
-``risk`` of its good texts to all rules together. Among the certified cutoffs
-the one is taken that rejects most bad texts, good ones counting
-``good_weight`` times; a rule with no certified or no useful cutoff is off.
-
-Nulls: a null text has no words and fails the base rules. A null stratum is a
-stratum of its own. Labels that are null are ignored; where a document has
-several, the least counts. Empty tables give empty results.
+Four statistics (shares of symbols, duplicate lines, repeated words, capitals)
+are binned. Labelled rows are dealt in two by the CRC-32 of their key: a third,
+the tuning rows, say how much likelier each bin and those above it are among
+bad texts than among good ones; a text's score is the highest such log ratio
+over the rules. The other two thirds, the holdout, certify cutoffs of the
+score for each stratum: a cutoff may be used only if an exact binomial
+(Clopper-Pearson) bound shows, at the corrected confidence, that it rejects at
+most ``risk`` of the stratum's good texts that pass the base rules. Cutoffs
+are tested from the highest on and testing ends at the first that fails (a
+fixed sequence needs no correction); strata share ``error`` by Bonferroni. So
+with probability 1 - ``error`` no stratum loses more than ``risk`` of these
+texts. Among the certified cutoffs the one is taken that rejects most bad
+texts, good ones counting ``good_weight`` times; if none is useful, none is
+used.
+
+A cutoff that rejects no good holdout text takes log(error / strata) /
+log(1 - risk) of them: 217 for four strata. Strata with fewer than LEAST good
+labelled rows, and all beyond the STRATA with most rows, are one stratum
+together ("the rest", which the smallest other stratum joins where it is too small
+itself), certified as such; so the driver and the plan hold a
+bounded number of strata however many values the column has.
+
+Nulls: a null text has no words and fails the base rules. A null stratum
+belongs to the rest. Labels that are null are ignored; where a document has
+several, the least counts. Empty tables give empty results. Repeated rows are
+handled one by one; equal scores share their verdict.
 """
 
 from __future__ import annotations
@@ -29,8 +41,10 @@ from vigil.session import materialize
 #: probability that this fails anywhere.
 RISK, ERROR = 0.02, 0.05
 GOOD_WEIGHT = 20.0
-#: Cutoffs of every rule, loosest first.
-CUTOFFS = [round(1 - 0.02 * k, 2) for k in range(1, 50)] + [0.01]
+#: Bins of a statistic's square root.
+BINS = 50
+#: Strata of their own at most, and the good labelled rows that it takes to be one.
+STRATA, LEAST = 256, 350
 WINDOW = 5
 _SYMBOLS = "#*$%&|<>"
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -128,64 +142,111 @@ def certified(rejected: int, good: int, risk: float, error: float) -> bool:
     return good > 0 and binomial_cdf(rejected, good, risk) <= error
 
 
-def choose(cells: list[tuple], risk: float = RISK, error: float = ERROR, good_weight: float = GOOD_WEIGHT) -> dict[str | None, dict[str, float]]:
-    """Cutoffs by stratum and rule, from cells (stratum, rule, how many of
-    CUTOFFS the statistic exceeds, label is good, rows)."""
+def likelihood(good: list[int], bad: list[int]) -> list[float]:
+    """For each bin the log ratio of the shares of bad and of good texts that
+    lie there or above, never falling, from counts by bin."""
+    out, best = [], -math.inf
+    for k in range(len(good)):
+        share = lambda x: (sum(x[k:]) + 0.5) / (sum(x) + 1)
+        best = max(best, math.log(share(bad) / share(good)))
+        out.append(round(best, 6))
+    return out
+
+
+def choose(cells: list[tuple], risk: float = RISK, error: float = ERROR, good_weight: float = GOOD_WEIGHT) -> dict:
+    """Cutoff by stratum, from holdout cells (stratum, score, label is good,
+    rows): texts that score the cutoff or more are rejected."""
     strata = {c[0] for c in cells}
-    level = error / max(1, len(strata) * len(RULES))
-    out: dict[str | None, dict[str, float]] = {}
+    out = {}
     for stratum in strata:
-        for rule in RULES:
-            tally = {True: [0] * (len(CUTOFFS) + 1), False: [0] * (len(CUTOFFS) + 1)}
-            for s, r, index, is_good, n in cells:
-                if s == stratum and r == rule:
-                    tally[is_good][index] += n
-            total = {k: sum(v) for k, v in tally.items()}
-            best, gain = None, 0.0
-            for k, cutoff in enumerate(CUTOFFS):
-                # A statistic exceeds the k-th cutoff if it exceeds as many as come from there on.
-                lost = {is_good: sum(v[len(CUTOFFS) - k :]) for is_good, v in tally.items()}
-                if not certified(lost[True], total[True], risk / len(RULES), level):
-                    break
-                value = lost[False] / max(1, total[False]) - good_weight * lost[True] / total[True]
-                if value > gain:
-                    best, gain = cutoff, value
-            if best is not None:
-                out.setdefault(stratum, {})[rule] = best
+        own = [c for c in cells if c[0] == stratum]
+        total = {is_good: sum(n for *_, g, n in own if g == is_good) for is_good in (True, False)}
+        lost = {True: 0, False: 0}
+        gain = 0.0
+        for cutoff in sorted({c[1] for c in own if c[1] > 0}, reverse=True):
+            for _, score, is_good, n in own:
+                if score == cutoff:
+                    lost[is_good] += n
+            if not certified(lost[True], total[True], risk, error / len(strata)):
+                break
+            value = lost[False] / max(1, total[False]) - good_weight * lost[True] / total[True]
+            if value > gain:
+                gain, out[stratum] = value, cutoff
     return out
 
 
+def bin_of(rule: str) -> Column:
+    """The bin of a rule's statistic, 1 to BINS + 1."""
+    return F.width_bucket(F.sqrt(statistic(rule)), F.lit(0.0), F.lit(1.0), F.lit(BINS)).cast("int")
+
+
 class QualityRules:
-    def __init__(self, cutoffs: dict[str | None, dict[str, float]]):
-        self.cutoffs = cutoffs
+    """tables: log ratios by stratum and rule; cutoffs: by stratum; REST stands
+    for all strata that aren't named."""
+
+    REST = "\x00rest"
+
+    def __init__(self, spark: SparkSession, tables: dict[str, dict[str, list[float]]], cutoffs: dict[str, float]):
+        self.spark, self.tables, self.cutoffs = spark, tables, cutoffs
 
     @classmethod
     def fit(cls, measured: DataFrame, labels: DataFrame, stratum: str = "lang", key: str = "doc_id", label: str = "quality", risk: float = RISK, error: float = ERROR) -> QualityRules:
         """measured: what ``measure`` returned, with the key and the stratum."""
+        spark = measured.sparkSession
         marked = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(F.col(key).alias("_key")).agg((F.min(label) == 1).alias("_good"))
-        exceeded = lambda rule: sum((statistic(rule) > F.lit(c)).cast("int") for c in CUTOFFS)
-        slim = measured.where(~base_failed()).select(F.col(key).alias("_own"), F.col(stratum).cast("string").alias("_stratum"), *[exceeded(r).alias(r) for r in RULES])
-        rows = slim.join(marked, F.col("_own") == F.col("_key"))
-        long = rows.select("_stratum", "_good", F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), F.col(r).alias("index")) for r in RULES])).alias("x"))
-        cells = long.groupBy("_stratum", "x.rule", "x.index", "_good").count()
-        # At most strata x rules x cutoffs x 2 rows, whatever the input.
-        found = [(r["_stratum"], r["rule"], r["index"], r["_good"], r["count"]) for r in cells.collect()]
-        return cls(choose(found, risk, error))
-
-    def kept(self, stratum: Column) -> Column:
-        """Whether a measured row passes the base rules and its stratum's cutoffs."""
-        bad = base_failed()
-        for name, rules in self.cutoffs.items():
-            own = stratum.eqNullSafe(F.lit(name))
-            for rule, cutoff in rules.items():
-                bad = bad | (own & (statistic(rule) > F.lit(cutoff)))
-        return ~bad
+        slim = measured.where(~base_failed()).select(F.col(key).alias("_own"), F.col(stratum).cast("string").alias("_stratum"), *[bin_of(r).alias(r) for r in RULES])
+        tuning = (F.crc32(F.concat(F.lit("tune"), F.col("_key").cast("string")).cast("binary")) % 3 == 0).alias("_tuning")
+        rows = materialize(spark, slim.join(marked, F.col("_own") == F.col("_key")).select("_stratum", "_good", tuning, *RULES), "labelled")
+        known = rows.where("_good and _stratum is not null").groupBy("_stratum").count().where(F.col("count") >= LEAST)
+        sizes = known.orderBy(F.desc("count"), "_stratum").limit(STRATA).collect()
+        named = [r["_stratum"] for r in sizes]
+        rest = rows.where("_good").count() - sum(r["count"] for r in sizes)
+        while named and 0 < rest < LEAST:  # too few to certify anything: joined by the smallest other
+            named.pop()
+            rest += sizes[len(named)]["count"]
+        rows = rows.withColumn("_stratum", cls._name(F.col("_stratum"), named))
+        tune = rows.where("_tuning").select("_stratum", "_good", F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), F.col(r).alias("bin")) for r in RULES])).alias("x"))
+        tables: dict = {n: {r: {True: [0] * (BINS + 1), False: [0] * (BINS + 1)} for r in RULES} for n in (*named, cls.REST)}
+        # At most strata x rules x bins x 2 rows, whatever the input.
+        for r in tune.groupBy("_stratum", "x.rule", "x.bin", "_good").count().collect():
+            tables[r["_stratum"]][r["rule"]][r["_good"]][r["bin"] - 1] += r["count"]
+        tables = {n: {rule: likelihood(x[True], x[False]) for rule, x in own.items()} for n, own in tables.items()}
+        rules = cls(spark, tables, {})
+        cells = rules.scored(rows.where("not _tuning"), {r: F.col(r) for r in RULES}).groupBy("_stratum", "_score", "_good").count()
+        # At most strata x rules x bins x 2 rows as well.
+        rules.cutoffs = choose([tuple(r) for r in cells.collect()], risk, error)
+        return rules
+
+    @classmethod
+    def _name(cls, stratum: Column, named: list[str]) -> Column:
+        return F.coalesce(F.when(stratum.isin(named), stratum), F.lit(cls.REST)) if named else F.lit(cls.REST)
+
+    def scored(self, rows: DataFrame, bins: dict[str, Column]) -> DataFrame:
+        """``rows`` (with a named ``_stratum``) and their ``_score`` and ``_cutoff``.
+        The table of strata has STRATA + 1 rows at most and is broadcast."""
+        score = F.greatest(*[F.element_at(f"_t_{r}", bins[r]) for r in RULES])
+        drop = [f"_t_{r}" for r in RULES]
+        if len(self.tables) == 1:
+            found = rows.withColumns({f"_t_{r}": F.lit(x) for r, x in self.tables[self.REST].items()} | {"_cutoff": F.lit(self.cutoffs.get(self.REST)).cast("double")})
+            return found.withColumn("_score", score).drop(*drop)
+        kind = f"_stratum string, _cutoff double, {', '.join(f'_t_{r} array<double>' for r in RULES)}"
+        table = self.spark.createDataFrame([(n, self.cutoffs.get(n), *[own[r] for r in RULES]) for n, own in self.tables.items()], kind)
+        return rows.join(F.broadcast(table), "_stratum").withColumn("_score", score).drop(*drop)
+
+    def verdicts(self, measured: DataFrame, stratum: str) -> DataFrame:
+        """``measured`` with base_failed and kept (passes the base rules and
+        scores below its stratum's cutoff)."""
+        named = [n for n in self.tables if n != self.REST]
+        own = measured.columns
+        found = self.scored(measured.withColumn("_stratum", self._name(F.col(stratum), named)), {r: bin_of(r) for r in RULES})
+        bad = base_failed() | F.coalesce(F.col("_score") >= F.col("_cutoff"), F.lit(False))
+        return found.select(*[c for c in own if c not in ("base_failed", "kept", "_stratum")], base_failed().alias("base_failed"), (~bad).alias("kept"))
 
 
 def apply_rules(spark: SparkSession, docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", stratum: str = "lang") -> DataFrame:
-    """Counts and verdicts (base_failed, kept) of every document. Texts are
-    read once: their counts go to a table in the shared folder."""
-    slim = docs.select(F.col(key), F.col(stratum).cast("string").alias("_stratum"), F.col(text).alias("_text"))
+    """Key, counts and verdicts (base_failed, kept) of every document; other
+    columns are left out. Texts are read once: their counts go to a table in
+    the shared folder."""
+    slim = docs.select(F.col(key), F.col(stratum).cast("string").alias("_of"), F.col(text).alias("_text"))
     measured = materialize(spark, measure(slim, "_text").drop("_text"), "quality")
-    rules = QualityRules.fit(measured, labels, "_stratum", key)
-    return measured.withColumns({"base_failed": base_failed(), "kept": rules.kept(F.col("_stratum"))})
+    return QualityRules.fit(measured, labels, "_of", key).verdicts(measured, "_of").drop("_of")
