@@ -74,3 +74,44 @@ def test_linking_and_order(spark):
 def test_empty_table(spark):
     none = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
     assert ChatFormatter(spark, SCHEMAS).format(none).count() == 0
+
+
+def test_levels_agree_with_brute_force(spark):
+    import random
+
+    draw = random.Random(11)
+    needs = {(1, f"c{i}"): [f"c{i - 1}"] if i else [] for i in range(300)}  # one long chain
+    for conv in range(2, 8):  # random graphs, some with cycles and unknown ids
+        for i in range(40):
+            pool = [f"c{j}" for j in range(i)] + (["gone", f"c{draw.randrange(40)}"] if conv > 4 and draw.random() < 0.1 else [])
+            needs[conv, f"c{i}"] = draw.sample(pool, min(len(pool), draw.randint(0, 3)))
+    needs |= {(9, "a"): ["b"], (9, "b"): ["c"], (9, "c"): ["a"], (9, "d"): ["a", "e"], (9, "e"): []}
+
+    def level(key, seen=()):
+        if key not in needs or key in seen:
+            return None
+        below = [level((key[0], n), (*seen, key)) for n in needs[key]]
+        return None if None in below else 1 + max(below, default=-1)
+
+    order = sorted(needs)
+    draw.shuffle(order)
+    rows = [(conv, turn, "assistant", call((i, "add", {"a": [{"$ref": n} for n in needs[conv, i]]}))) for turn, (conv, i) in enumerate(order)]
+    messages = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = {(r.conv_id, r.call_id): r.level for r in ChatFormatter(spark, SCHEMAS).link(messages).collect()}
+    known = {k: lv for k, lv in got.items() if k[0] == 1}
+    assert known == {(1, f"c{i}"): i for i in range(300)}
+    assert {k: v for k, v in got.items() if k[0] > 1} == {k: level(k) for k in needs if k[0] > 1}
+
+
+def test_derived_calls_reach_the_method(spark):
+    from vigil.llm.chat import dialogue_calls
+
+    rows = [(1, 0, "system", "x"), (1, 1, "user", "a b"), (1, 2, "assistant", "c"), (1, 3, "user", ""), (1, 5, "user", "y"), (1, 6, "assistant", None), (2, 0, "user", None), (None, None, "user", "n")]
+    tools = {"search": {"properties": {"query": {"type": "string", "minLength": 1}}}, "combine": {}}
+    chat = ChatFormatter(spark, tools)
+    derived = dialogue_calls(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    calls = {(r.conv_id, r.call_id): (r.level, r.valid, r.result_turn) for r in chat.link(derived).collect()}
+    assert calls == {
+        (1, "u1"): (0, True, 10), (1, "u3"): (0, False, None), (1, "s3"): (1, True, None), (1, "u5"): (0, True, 26), (1, "s5"): (2, True, None), (2, "u0"): (0, False, None),
+    }
+    assert chat.format(derived).where("linked").count() == 2

@@ -8,7 +8,10 @@ A message is plain text, or JSON text of one of two shapes:
 Calls and results of a conversation are hash-joined by (conversation, id). An
 argument {"$ref": id} makes a call depend on another; calls are put in
 topological order by levels (0: no dependencies; else one more than the
-highest of those it depends on), one join a level. Arguments are validated
+highest of those it depends on). Levels come by pointer doubling: each open
+call holds the calls at the far ends of its dependency paths, and every round
+replaces each end by that call's own ends, so a chain of n calls takes log2(n)
+rounds of joins. Arguments are validated
 against the tool's schema, and every message is serialised as canonical JSON:
 sorted keys, no spaces, UTF-8, integers and floats as they were read.
 
@@ -22,8 +25,12 @@ rows without conversation or turn are kept and link with nothing. Text that is
 no JSON, or JSON of another shape, is plain. A call id that repeats in a
 conversation belongs to its first call (by turn, then place); the others are
 marked ``duplicate``. Of several results for one call the first is linked.
-Calls in a cycle, or that depend on an id without a call, have level null.
-Repeated rows are formatted one by one.
+Calls in a cycle, or that depend (also through others) on an id without a
+call, have level null. Repeated rows are formatted one by one. Input columns
+other than conv_id, turn, role and text are ignored, whatever their names.
+
+``dialogue_calls`` derives messages with calls and results from plain
+dialogues, by a rule, for corpora that hold none.
 """
 
 from __future__ import annotations
@@ -184,20 +191,27 @@ class ChatFormatter:
 
     def _leveled(self, calls: DataFrame) -> DataFrame:
         """(conv_id, call_id, level) of the first calls of each id, where it exists."""
-        first = calls.where(~F.col("duplicate") & F.col("conv_id").isNotNull()).select("conv_id", "call_id", F.array_distinct("needs").alias("needs"))
-        done = materialize(self.spark, first.where(F.size("needs") == 0).select("conv_id", "call_id", F.lit(0).alias("level")), "levels")
-        open_ = materialize(self.spark, first.where(F.size("needs") > 0), "open")
-        level = 0
-        newest = done
-        while not newest.isEmpty() and not open_.isEmpty():
-            level += 1
-            need = open_.select("conv_id", "call_id", F.explode("needs").alias("need"))
-            met = need.join(done.select("conv_id", F.col("call_id").alias("need")), ["conv_id", "need"]).groupBy("conv_id", "call_id").count()
-            ready = open_.join(met, ["conv_id", "call_id"]).where(F.size("needs") == F.col("count")).select("conv_id", "call_id", F.lit(level).alias("level"))
-            newest = materialize(self.spark, ready, "levels")
-            done = done.unionByName(newest)
-            open_ = materialize(self.spark, open_.join(newest, ["conv_id", "call_id"], "left_anti"), "open")
-        return done
+        spark, key = self.spark, ["conv_id", "call_id"]
+        first = calls.where(~F.col("duplicate") & F.col("conv_id").isNotNull()).select(*key, F.array_distinct("needs").alias("needs"))
+        # (call, end, far): the longest path found from a call to an open end; base: the longest to a resolved call.
+        ends = materialize(spark, first.select(*key, F.explode("needs").alias("end"), F.lit(1).alias("far")), "ends")
+        known = materialize(spark, first.select(*key, F.lit(0).alias("base"), F.lit(True).alias("sound")), "calls")
+        # A path without cycle is shorter than the calls of its conversation.
+        longest = known.groupBy("conv_id").count().agg(F.max("count")).first()[0] or 0
+        for _ in range(longest.bit_length() + 1):
+            if ends.isEmpty():
+                break
+            at = known.select("conv_id", F.col("call_id").alias("end"), F.col("base").alias("end_base"), F.col("sound").alias("end_sound"))
+            found = ends.join(at, ["conv_id", "end"], "left")
+            reached = found.groupBy(*key).agg(F.max(F.coalesce("end_base", F.lit(0)) + F.col("far")).alias("reached"), F.min(F.coalesce("end_sound", F.lit(False))).alias("all_sound"))
+            further = ends.select("conv_id", F.col("call_id").alias("end"), F.col("end").alias("next"), F.col("far").alias("more"))
+            nearer = ends.join(further, ["conv_id", "end"]).groupBy("conv_id", "call_id", F.col("next").alias("end")).agg(F.max(F.col("far") + F.col("more")).alias("far"))
+            joined = known.join(reached, key, "left")
+            base, sound = F.greatest("base", F.coalesce("reached", F.lit(0))), F.col("sound") & F.coalesce("all_sound", F.lit(True))
+            known = materialize(spark, joined.select(*key, base.alias("base"), sound.alias("sound")), "calls")
+            ends = materialize(spark, nearer, "ends")
+        # Whoever still has an open end runs into a cycle.
+        return known.where("sound").join(ends.select(*key).distinct(), key, "left_anti").select(*key, F.col("base").alias("level"))
 
     def link(self, messages: DataFrame) -> DataFrame:
         """One row for each call: conv_id, call_id, name, call_turn, index,
@@ -230,3 +244,34 @@ class ChatFormatter:
             F.when(linked, F.col("index")).otherwise(-1).alias("order_index"),
             F.size("calls").cast("long").alias("n_calls"), "n_invalid", "json",
         )
+
+
+def dialogue_calls(messages: DataFrame) -> DataFrame:
+    """(conv_id, turn, role, text): ``messages`` at 4 * turn, and for each
+
+    * ``user`` row behind it (4 * turn + 1) an assistant message with the call
+      u<turn> of ``search`` (query: the text, limit: its pieces between spaces)
+      and, from turn 2 on, s<turn> of ``combine``, which needs u<turn> and
+      s<turn - 2> (turns 2 and 3: u<turn - 2>), so that a dialogue's calls form
+      a chain;
+    * ``assistant`` row (4 * turn + 2) a tool message that answers u<turn - 1>.
+
+    Null texts are no queries (an invalid call); null turns give no calls.
+    """
+    role, turn, text = F.col("role"), F.col("turn").cast("long"), F.col("text").cast("string")
+    name = lambda letter, t: F.concat(F.lit(letter), t.cast("string"))
+    ref = lambda t: F.create_map(F.lit("$ref"), t)
+    limit = F.coalesce(F.size(F.split(text, " ", -1)), F.lit(0)).cast("long")
+    search = F.to_json(F.struct(text.alias("query"), limit.alias("limit")), {"ignoreNullFields": "false"})
+    left = F.when(turn >= 4, name("s", turn - 2)).otherwise(name("u", turn - 2))
+    combine = F.to_json(F.struct(ref(left).alias("left"), ref(name("u", turn)).alias("right")))
+    call = lambda i, tool, arguments: F.struct(i.alias("id"), F.lit(tool).alias("name"), arguments.alias("arguments"))
+    one, two = call(name("u", turn), "search", search), call(name("s", turn), "combine", combine)
+    asked = F.to_json(F.struct(F.when(turn >= 2, F.array(one, two)).otherwise(F.array(one)).alias("tool_calls")))
+    answered = F.to_json(F.struct(name("u", turn - 1).alias("tool_call_id"), text.alias("content")), {"ignoreNullFields": "false"})
+    message = lambda at, who, what: F.struct((4 * turn + at).alias("turn"), who.alias("role"), what.alias("text"))
+    more = F.when((role == "user") & turn.isNotNull(), F.array(message(1, F.lit("assistant"), asked)))
+    more = more.when((role == "assistant") & turn.isNotNull(), F.array(message(2, F.lit("tool"), answered)))
+    own = message(0, role.cast("string"), text)
+    every = F.concat(F.array(own), F.coalesce(more, F.slice(F.array(own), 1, 0)))
+    return messages.select(F.col("conv_id"), F.explode(every).alias("m")).select("conv_id", "m.*")

@@ -148,24 +148,76 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files(spark, docs, vocabulary("byte_bpe_50k.json"), end_id=2)
 
 
-#: Tools that chats may call, and the schemas of their arguments.
+#: Tools that the derived calls name, and the schemas of their arguments.
 TOOLS = {
-    "search": {"type": "object", "properties": {"query": {"type": "string", "minLength": 1}, "limit": {"type": "integer", "minimum": 1}}, "required": ["query"], "additionalProperties": False},
-    "read": {"type": "object", "properties": {"url": {"type": "string"}}, "required": ["url"], "additionalProperties": False},
-    "calculate": {"type": "object", "properties": {"expression": {"type": "string"}}, "required": ["expression"]},
+    "search": {"type": "object", "properties": {"query": {"type": "string", "minLength": 1}, "limit": {"type": "integer", "minimum": 1, "maximum": 40}}, "required": ["query"], "additionalProperties": False},
+    "combine": {"type": "object", "properties": {"left": {}, "right": {}}, "required": ["left", "right"], "additionalProperties": False},
 }
 
 
 def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every message as canonical JSON, with tool calls linked and ordered."""
-    from vigil.llm.chat import ChatFormatter
+    """Every message of the dialogues and of the tool calls and results derived
+    from them, as canonical JSON, with calls linked, validated and ordered."""
+    from vigil.llm.chat import ChatFormatter, dialogue_calls
+
+    return ChatFormatter(spark, TOOLS).format(dialogue_calls(table(spark, sf_dir, "conversations")))
+
+
+OP10_SQL = """
+WITH RECURSIVE c AS (
+  SELECT conv_id, turn, role, text, coalesce(len(string_split(text, ' ')), 0) AS pieces FROM conversations
+), u AS (
+  SELECT DISTINCT conv_id, turn FROM c WHERE role = 'user'
+), chain AS (
+  SELECT u.conv_id, u.turn, 1 AS level FROM u JOIN u AS before ON before.conv_id = u.conv_id AND before.turn = u.turn - 2 WHERE u.turn IN (2, 3)
+  UNION ALL
+  SELECT u.conv_id, u.turn, chain.level + 1 FROM u JOIN chain ON chain.conv_id = u.conv_id AND u.turn = chain.turn + 2
+), calls AS (
+  SELECT c.*, CASE WHEN text <> '' AND pieces BETWEEN 1 AND 40 THEN 0 ELSE 1 END AS bad FROM c WHERE role = 'user'
+), results AS (
+  SELECT c.*, u.turn IS NOT NULL AS linked FROM c LEFT JOIN u ON u.conv_id = c.conv_id AND u.turn = c.turn - 1 WHERE role = 'assistant'
+)
+SELECT conv_id, 4 * turn AS turn, role, 'plain' AS kind, false AS linked, 4 * turn AS order_turn, -1 AS order_level, -1 AS order_index,
+       CAST(0 AS BIGINT) AS n_calls, CAST(0 AS BIGINT) AS n_invalid,
+       '{"content":' || coalesce(CAST(to_json(text) AS VARCHAR), 'null') || ',"role":' || to_json(role) || '}' AS json
+FROM c
+UNION ALL
+SELECT conv_id, 4 * turn + 1, 'assistant', 'call', false, 4 * turn + 1, -1, -1, CASE WHEN turn >= 2 THEN 2 ELSE 1 END, bad,
+       '{"content":null,"role":"assistant","tool_calls":[{"arguments":{"limit":' || pieces || ',"query":' || coalesce(CAST(to_json(text) AS VARCHAR), 'null')
+       || '},"id":"u' || turn || '","name":"search"}' || CASE WHEN turn >= 2 THEN ',{"arguments":{"left":{"$ref":"'
+       || CASE WHEN turn >= 4 THEN 's' ELSE 'u' END || (turn - 2) || '"},"right":{"$ref":"u' || turn || '"}},"id":"s' || turn || '","name":"combine"}' ELSE '' END || ']}'
+FROM calls
+UNION ALL
+SELECT conv_id, 4 * turn + 2, 'tool', 'result', linked, CASE WHEN linked THEN 4 * (turn - 1) + 1 ELSE 4 * turn + 2 END, CASE WHEN linked THEN 0 ELSE -1 END,
+       CASE WHEN linked THEN 0 ELSE -1 END, 0, 0,
+       '{"content":' || coalesce(CAST(to_json(text) AS VARCHAR), 'null') || ',"role":"tool","tool_call_id":"u' || (turn - 1) || '"}'
+FROM results
+"""
+
+
+def chat_tool_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every derived call with its level, verdict and result."""
+    from vigil.llm.chat import ChatFormatter, dialogue_calls
 
-    return ChatFormatter(spark, TOOLS).format(table(spark, sf_dir, "conversations"))
+    found = ChatFormatter(spark, TOOLS).link(dialogue_calls(table(spark, sf_dir, "conversations")))
+    return found.select("conv_id", "call_id", "name", "call_turn", "valid", F.size("errors").alias("n_errors"), "duplicate", "level", "result_turn")
+
+
+#: The recursion follows each chain of calls.
+CHAT_TOOL_LINKS_SQL = OP10_SQL[: OP10_SQL.index("SELECT conv_id, 4 * turn AS turn")] + """
+SELECT calls.conv_id, 'u' || calls.turn AS call_id, 'search' AS name, 4 * calls.turn + 1 AS call_turn, bad = 0 AS valid, CAST(bad AS INT) AS n_errors,
+       false AS duplicate, 0 AS level, min(4 * r.turn + 2) AS result_turn
+FROM calls LEFT JOIN results AS r ON r.conv_id = calls.conv_id AND r.turn = calls.turn + 1 GROUP BY ALL
+UNION ALL
+SELECT calls.conv_id, 's' || calls.turn, 'combine', 4 * calls.turn + 1, true, 0, false, chain.level, NULL
+FROM calls LEFT JOIN chain ON chain.conv_id = calls.conv_id AND chain.turn = calls.turn WHERE calls.turn >= 2
+"""
 
 
 def queries() -> dict:
-    return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
+    """One query for each operator, and the links of op10's calls."""
+    return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)} | {"chat_tool_links": chat_tool_links}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc": OP1_SQL}
+    return {"op1_warc": OP1_SQL, "op10_chat": OP10_SQL, "chat_tool_links": CHAT_TOOL_LINKS_SQL}
