@@ -27,7 +27,7 @@ def test_types_and_figures(spark, pages, tmp_path):
         [(1, "revisit", 5), (3, "revisit", 5), (5, "response", 0), (5, "revisit", 5), (-1, "revisit", 5)]
         + [(i, "response", 0) for i in (7, 8, 9, 10, 11, 12, 13)]
     )
-    assert {r.target_uri for r in got if r.page_id == 7} == {"x%20y%20%20WARC-Type:%20fake"}
+    assert {r.target_uri for r in got if r.page_id == 7} == {"x%20y%0D%0AWARC-Type:%20fake"}
     assert spark.read.parquet(f"{path}/payloads").count() == len({h for h in html.values()})
 
 
@@ -62,3 +62,31 @@ def test_damage_is_found(spark, pages, tmp_path):
 def test_empty_table(spark):
     none = spark.createDataFrame([], "page_id long, url string, html string")
     assert warc.archive_round_trip(spark, none).count() == 0
+
+
+def test_hot_payloads_and_bucketed_tables_change_nothing(spark, pages, tmp_path, monkeypatch):
+    path = f"{tmp_path}/archive"
+    warc.write_archive(spark, pages, path, table="warc_test_payloads")
+    plain = sorted(map(str, warc.read_records(spark, path).collect()))
+    assert sorted(map(str, warc.read_records(spark, path, "warc_test_payloads").collect())) == plain
+    monkeypatch.setattr(warc, "HOT", 2)
+    assert sorted(map(str, warc.read_records(spark, path, "warc_test_payloads").collect())) == plain
+    assert sorted(map(str, warc.read_records(spark, path).collect())) == plain
+    spark.sql("DROP TABLE warc_test_payloads")
+
+
+def test_changed_headers_are_found(spark, pages, tmp_path):
+    from pyspark.sql import functions as F
+
+    a, b = f"{tmp_path}/a", f"{tmp_path}/b"
+    warc.write_archive(spark, pages, a)
+    wrong = F.encode(F.regexp_replace(F.decode("record", "UTF-8"), "Content-Length: 5", "Content-Length: 6"), "UTF-8")
+    warc.import_records(spark, warc.rebuild(spark, a).withColumn("record", wrong), b)
+    with pytest.raises(Exception, match="damaged record"):
+        warc.read_records(spark, b).collect()
+
+
+def test_very_long_payload(spark):
+    rows = [(1, "u", "é" * 1_500_000), (2, "u", "é" * 1_500_000)]
+    got = {r.page_id: (r.record_type, r.payload_bytes) for r in warc.archive_round_trip(spark, spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {1: ("revisit", 3_000_000), 2: ("response", 3_000_000)}
