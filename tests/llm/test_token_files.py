@@ -63,3 +63,22 @@ def test_files_agree_with_the_library(spark, monkeypatch):
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert tf.token_files(spark, docs, public_tokenizers.path("byte_bpe_50k.json"), 2).count() == 0
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.integers(0, 3) | st.integers(0, 2**45), min_size=1, max_size=300), st.data())
+def test_many_elements_at_once(values, data):
+    values = sorted(values)
+    made = tf.EliasFano.build(np.array(values, np.uint64))
+    places = data.draw(st.lists(st.integers(0, len(values) - 1), max_size=50))
+    assert made.select_many(np.array(places, np.int64)).tolist() == [values[i] for i in places]
+
+
+def test_readers_look_up_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(tf, "AT_ONCE", 3)
+    image = tf.Image(tf.pack_image([None, None, 4, 5, 9, 9, 12], [np.array([k] * k, "<u2") for k in range(7)], 2))
+    parts = [image.doc_ids(a, min(a + 3, 7)) for a in range(0, 7, 3)]
+    assert sum(parts, []) == image.doc_ids() == [None, None, 4, 5, 9, 9, 12]
+    docs = spark.createDataFrame([(i, "a b " * i) for i in range(10)] + [(None, "x")], "doc_id long, text string").repartition(1)
+    got = tf.token_files(spark, docs, public_tokenizers.path("byte_bpe_50k.json"), 2).collect()
+    assert sorted(map(tuple, got), key=lambda r: r[1]) == expected([tuple(r) for r in docs.collect()])

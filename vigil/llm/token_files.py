@@ -6,7 +6,12 @@ document starts is an Elias-Fano sequence: the low bits of the offsets packed,
 the high bits in unary. ``select`` over the unary part gives any offset by one
 look-up in a sparse directory and a short scan, in about 2 + log2(ids /
 documents) bits a document, instead of a 64-bit table. Document ids, which
-ascend as well, are kept the same way, relative to the least.
+ascend as well, are kept the same way, relative to the least. Readers ask for
+boundaries by ``select``, AT_ONCE documents at a time, and never unpack all.
+
+Spark has no writer for plain binary files, and a task's own file calls reach
+no remote store, so an image is a cell of a Parquet table; ``Image`` reads its
+bytes in place wherever they are put.
 
 Layout, all little-endian: magic, version, bytes per id (u16 each), documents
 (u64), ids (u64), least document id (i64), documents without id (u64, these
@@ -27,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigil.llm.pretokens import splitter
+from vigil.llm.pretokens import Remembered, splitter
 from vigil.session import new_path, ship_package
 
 MAGIC, VERSION = b"VGEF", 1
@@ -36,7 +41,10 @@ SEQUENCE = struct.Struct("<QQB")
 #: Bytes of ids after which a file image is closed (a longer document has its own).
 IMAGE_BYTES = 4 << 20
 MAX_TOKENIZER_BYTES = 64 << 20
-REMEMBERED = 1_000_000
+#: Bytes of pre-tokens and their ids that a worker remembers.
+REMEMBERED = 192 << 20
+#: Documents whose boundaries a reader looks up at once.
+AT_ONCE = 4096
 #: Files whose bases are broadcast to the readers; beyond that they are joined by a shuffle.
 MAX_BROADCAST_FILES = 200_000
 #: The split that the byte-level pre-tokenizer of the tokenizers library makes.
@@ -92,15 +100,30 @@ class EliasFano:
         word = int(self.low[at]) | (int(self.low[at + 1]) << 64 if at + 1 < len(self.low) else 0)
         return (word >> off) & ((1 << k) - 1)
 
-    def all(self) -> np.ndarray:
-        """Every element at once."""
-        unpack = lambda x: np.unpackbits(x.view(np.uint8), bitorder="little")
-        out = (np.flatnonzero(unpack(self.high)) - np.arange(self.count)) << self.low_bits
+    def select_many(self, i: np.ndarray) -> np.ndarray:
+        """Elements i: as ``select``, for many places at once."""
+        i = np.asarray(i, np.int64)
+        if not len(i):
+            return i
+        at = np.searchsorted(self.before, i, "right") - 1
+        word, left, place = self.high[at], i - self.before[at], np.zeros(len(i), np.int64)
+        for width in (32, 16, 8, 4, 2, 1):  # halve the word around the bit that is sought
+            ones = np.bitwise_count((word >> place.astype(np.uint64)) & np.uint64((1 << width) - 1)).astype(np.int64)
+            beyond = left >= ones
+            left, place = left - np.where(beyond, ones, 0), place + np.where(beyond, width, 0)
+        out = (at * 64 + place - i) << self.low_bits
         if self.low_bits:
-            bits = unpack(self.low)[: self.count * self.low_bits].reshape(self.count, self.low_bits)
-            out = out | (bits.astype(np.int64) << np.arange(self.low_bits)).sum(1)
+            bit = i * self.low_bits
+            at, off = bit >> 6, (bit & 63).astype(np.uint64)
+            more = self.low[np.minimum(at + 1, len(self.low) - 1)]
+            low = (self.low[at] >> off) | np.where(off > 0, more << ((np.uint64(64) - off) & np.uint64(63)), np.uint64(0))
+            out = out | (low & np.uint64((1 << self.low_bits) - 1)).astype(np.int64)
         return out
 
+    def all(self) -> np.ndarray:
+        """Every element at once."""
+        return self.select_many(np.arange(self.count))
+
     def to_bytes(self) -> bytes:
         return SEQUENCE.pack(self.count, self.universe, self.low_bits) + self.low.tobytes() + self.high.tobytes()
 
@@ -142,8 +165,11 @@ class Image:
     def document(self, i: int) -> np.ndarray:
         return self.array[self.starts.select(i) : self.starts.select(i + 1)]
 
-    def doc_ids(self) -> list[int | None]:
-        return [None] * self.missing + [self.least + x for x in self.names.all().tolist()]
+    def doc_ids(self, first: int = 0, end: int | None = None) -> list[int | None]:
+        """Ids of the documents from ``first`` up to ``end``."""
+        end = self.documents if end is None else end
+        known = np.arange(max(first, self.missing), end) - self.missing
+        return [None] * (end - first - len(known)) + [self.least + x for x in self.names.select_many(known).tolist()]
 
 
 class _Encoder:
@@ -162,7 +188,7 @@ class _Encoder:
         before = spec.get("pre_tokenizer") or {}
         plain = before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space")
         self.by_piece = plain and not spec.get("normalizer") and not spec["model"].get("dropout")
-        self.split, self.pieces = splitter(BYTE_LEVEL), {}
+        self.split, self.pieces, self.used = splitter(BYTE_LEVEL), {}, 0
         self.odd = __import__("re").compile("[^\x00-ɏ]").search
         self.id_bytes = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
 
@@ -178,19 +204,23 @@ class _Encoder:
         if not self.by_piece:
             return [np.array(e.ids, kind) for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
         cut = [None if self.odd(t) else self.split(t) for t in texts]
-        if len(self.pieces) > REMEMBERED:
-            self.pieces.clear()
+        if self.used > REMEMBERED:
+            self.pieces, self.used = {}, 0
         pieces = self.pieces
         new = list({p for c in cut if c for p in c if p not in pieces})
         if new:
             for p, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
                 pieces[p] = np.array(e.ids, kind).tobytes()
+                self.used += len(p) + len(pieces[p]) + Remembered.ROOM
         out = []
         for text, c in zip(texts, cut):
             if c is None:
                 out.append(np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, kind))
             else:
                 out.append(np.frombuffer(b"".join(map(pieces.__getitem__, c)), kind))
+        for p in new:
+            if len(p) > Remembered.LONGEST:
+                self.used -= len(p) + len(pieces.pop(p)) + Remembered.ROOM
         return out
 
 
@@ -270,11 +300,13 @@ class TokenFiles:
             for batch in batches:
                 for start, data in zip(batch.column("start").to_pylist(), batch.column("image")):
                     image = Image(data.as_py())
-                    bounds = image.starts.all()
-                    wide = image.array.astype("<u4")
-                    sums = [zlib.crc32(wide[a:b]) for a, b in zip(bounds[:-1], bounds[1:])]
-                    columns = [image.doc_ids(), bounds[:-1] + start, np.diff(bounds), sums]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], schema=schema)
+                    for first in range(0, image.documents, AT_ONCE):
+                        end = min(first + AT_ONCE, image.documents)
+                        bounds = image.starts.select_many(np.arange(first, end + 1))
+                        ids = image.array[bounds[0] : bounds[-1]].astype("<u4")
+                        sums = [zlib.crc32(ids[a:b]) for a, b in zip(bounds[:-1] - bounds[0], bounds[1:] - bounds[0])]
+                        columns = [image.doc_ids(first, end), bounds[:-1] + start, np.diff(bounds), sums]
+                        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], schema=schema)
 
         images = self.spark.read.parquet(path).select("image", "before", F.col("_metadata.file_path").alias("of"))
         bases = self.manifest(path)
