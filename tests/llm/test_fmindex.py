@@ -66,7 +66,28 @@ def test_hits_agree_with_brute_force(texts, items):
 def test_blocks_add_up():
     texts = pa.array(["p q r s t u v w x", None, ""], pa.string())
     a, b = Phrases([("1", "q r s")], 3), Phrases([("2", "s t u"), (None, "w x")], 3)
-    got = annotate(texts, b, annotate(texts, a)).to_pylist()
+    got = annotate(texts, a, b).to_pylist()
     assert got[0]["items"] == ["1", "2"]
     assert [(s["word"], s["word_end"]) for s in got[0]["hits"]] == [(1, 6), (7, 9)]
     assert [x["hits"] for x in got[1:]] == [[], []]
+
+
+def test_tables(spark, monkeypatch):
+    from vigil.llm import decontaminate
+
+    item = "alpha beta gamma delta epsilon zeta eta theta iota kappa"
+    rows = [(1, f"Some words, {item.upper()}! and more", "x"), (2, None, "x"), (3, "", "x"), (1, f"Some words, {item.upper()}! and more", "x"), (4, "p " * 400_000 + item, None), (5, "solo", "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, leaks string").repartition(3)
+    items = spark.createDataFrame([("b", item, "z"), ("a", "so " + item, "z"), (None, "SOLO", "z"), ("c", None, "z"), ("b", item, "z")], "item_id string, text string, leaks string")
+    for limit in (decontaminate.BLOCK_BYTES, 10):  # a block for every item
+        monkeypatch.setattr(decontaminate.blocks, "__defaults__", (limit,))
+        got = sorted(decontaminate.find_passages(spark, docs, items).collect(), key=lambda r: r.doc_id)
+        assert [(r.doc_id, r.leaks.n_words, [(s.word, s.word_end) for s in r.leaks.hits], r.leaks["items"]) for r in got] == [
+            (1, 14, [(2, 12)], ["a", "b"]), (1, 14, [(2, 12)], ["a", "b"]), (2, 0, [], []), (3, 0, [], []), (4, 400_010, [(400_000, 400_010)], ["a", "b"]), (5, 1, [(0, 1)], []),
+        ]
+        clean = {r.doc_id: r.text for r in decontaminate.remove_passages(spark, docs, items).collect()}
+        assert clean[1] == "Some words, \n! and more" and clean[2] is None and clean[4] == "p " * 400_000 + "\n" and clean[5] == "\n"
+    none = items.limit(0)
+    assert decontaminate.remove_passages(spark, docs, none).columns == docs.columns
+    assert all(not r.leaks.hits for r in decontaminate.find_passages(spark, docs, none).collect())
+    assert decontaminate.find_passages(spark, docs.limit(0), items).count() == 0

@@ -8,13 +8,15 @@ documents into shards of bounded size, maps words to the phrases' vocabulary
 over the shard, searches all phrases backwards through wavelet-tree ranks,
 locates occurrences by sampled suffix positions, and merges them to spans.
 
-Documents are never shuffled. The benchmark reaches the executors in blocks of
-bounded size, one pass over the documents each, so its size has no limit.
+Documents are never shuffled, and their words are cut once. The benchmark
+reaches the executors in blocks of bounded size, each with a vocabulary and
+hence an FM-index of its own.
 
 Null texts have no words; null texts or texts without words of benchmark items
 are no phrases; items without an item_id cause hits but are not listed; items
 with equal ids count once; repeated documents are handled one by one; an empty
-benchmark hits nothing.
+benchmark hits nothing. A text longer than a shard is a shard of its own. A
+column named like ``out`` is replaced, other columns stay as they are.
 """
 
 from __future__ import annotations
@@ -90,21 +92,20 @@ def blocks(items: DataFrame, item_id: str, text: str, width: int, limit: int = B
         yield Phrases(held, width)
 
 
-def search_shard(raw: np.ndarray, bounds: np.ndarray, phrases: Phrases):
-    """(bounds of the texts' words, words' start and end bytes, covered flag
-    per word, pairs of text and item with a hit) for the texts of one shard."""
+def search_shard(code: np.ndarray, at: np.ndarray, phrases: Phrases):
+    """(covered flag per word, pairs of text and item with a hit) for the words
+    of one shard: their hashes and the texts' bounds."""
     from vigil.llm.fmindex import FMIndex
 
-    start, end, code, at = words(raw, bounds, ALNUM)
     covered = np.zeros(len(code), bool)
     none = np.zeros((0, 2), np.int64)
     if not len(code) or not len(phrases.pattern):
-        return at, start, end, covered, none
+        return covered, none
     near = np.searchsorted(phrases.vocabulary, code)
     near[near == len(phrases.vocabulary)] = 0
     kept = np.flatnonzero(phrases.vocabulary[near] == code)
     if not len(kept):
-        return at, start, end, covered, none
+        return covered, none
     # A separator stands before each word whose neighbour isn't kept or is in another text.
     first = np.zeros(len(code) + 1, bool)
     first[at] = True
@@ -118,7 +119,7 @@ def search_shard(raw: np.ndarray, bounds: np.ndarray, phrases: Phrases):
     low, high = index.search(phrases.pattern, phrases.length)
     found = np.flatnonzero(high > low)
     if not len(found):
-        return at, start, end, covered, none
+        return covered, none
     counts = (high - low)[found]
     pattern = np.repeat(found, counts)
     rows = np.repeat(low[found] - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
@@ -134,29 +135,22 @@ def search_shard(raw: np.ndarray, bounds: np.ndarray, phrases: Phrases):
     sizes = phrases.owner_at[hit[:, 1] + 1] - phrases.owner_at[hit[:, 1]]
     offsets = np.repeat(phrases.owner_at[hit[:, 1]] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
     pairs = np.unique(np.stack((np.repeat(hit[:, 0], sizes), phrases.owner[offsets]), 1), axis=0)
-    return at, start, end, covered, pairs
+    return covered, pairs
 
 
-def _merge(spans: list[dict]) -> list[dict]:
-    """Union of word spans of one text, sorted; overlapping or adjacent ones join."""
-    out: list[dict] = []
-    for s in sorted(spans, key=lambda s: s["word"]):
-        if out and s["word"] <= out[-1]["word_end"]:
-            if s["word_end"] > out[-1]["word_end"]:
-                out[-1] |= {k: s[k] for k in ("word_end", "byte_end")}
-        else:
-            out.append(dict(s))
-    return out
-
-
-def annotate(texts: pa.Array, phrases: Phrases, prior: pa.Array | None = None) -> pa.Array:
-    """KIND of each text; ``prior`` holds what earlier blocks found."""
-    out = []
+def _annotated(texts: pa.Array, blocks: list[Phrases]) -> Iterator[dict]:
+    """KIND of each text, shard by shard."""
     for part in shards(pa.record_batch([texts], ["text"])):
         raw, bounds = text_buffers(part.column(0))
-        at, start, end, covered, pairs = search_shard(raw, bounds, phrases)
-        before = len(out)
-        out += [{"n_words": int(n), "hits": [], "items": []} for n in np.diff(at)]
+        start, end, code, at = words(raw, bounds, ALNUM)
+        out = [{"n_words": int(n), "hits": [], "items": []} for n in np.diff(at)]
+        covered = np.zeros(len(code), bool)
+        for phrases in blocks:
+            some, pairs = search_shard(code, at, phrases)
+            covered |= some
+            for t, item in pairs.tolist():
+                if phrases.names[item] is not None:
+                    out[t]["items"].append(phrases.names[item])
         if covered.any():
             flags = np.concatenate(([False], covered, [False]))
             inner = np.zeros(len(covered) + 1, bool)
@@ -164,18 +158,20 @@ def annotate(texts: pa.Array, phrases: Phrases, prior: pa.Array | None = None) -
             opens = np.flatnonzero(flags[1:-1] & (~flags[:-2] | inner[:-1]))
             closes = np.flatnonzero(flags[1:-1] & (~flags[2:] | inner[1:])) + 1
             for a, b, t in zip(opens.tolist(), closes.tolist(), (np.searchsorted(at, opens, "right") - 1).tolist()):
-                out[before + t]["hits"].append(
-                    {"word": a - int(at[t]), "word_end": b - int(at[t]), "byte": int(start[a] - bounds[t]), "byte_end": int(end[b - 1] - bounds[t])}
-                )
-            for t, item in pairs.tolist():
-                if phrases.names[item] is not None:
-                    out[before + t]["items"].append(phrases.names[item])
-    for i, row in enumerate(out):
-        if prior is not None and (old := prior[i].as_py()) and old["hits"]:
-            row["hits"] = _merge(row["hits"] + old["hits"])
-            row["items"] += old["items"]
-        row["items"] = sorted(set(row["items"]))
-    return pa.array(out, ARROW_KIND)
+                out[t]["hits"].append({"word": a - int(at[t]), "word_end": b - int(at[t]), "byte": int(start[a] - bounds[t]), "byte_end": int(end[b - 1] - bounds[t])})
+        for row in out:
+            row["items"] = sorted(set(row["items"]))
+            yield row
+
+
+def annotate(texts: pa.Array, *blocks: Phrases) -> pa.Array:
+    """KIND of each text."""
+    return pa.array(list(_annotated(texts, list(blocks))), ARROW_KIND)
+
+
+def _broadcast(spark: SparkSession, items: DataFrame, width: int, item_id: str, item_text: str) -> list:
+    ship_package(spark)
+    return [spark.sparkContext.broadcast(found) for found in blocks(items, item_id, item_text, width)]
 
 
 def find_passages(
@@ -183,39 +179,25 @@ def find_passages(
 ) -> DataFrame:
     """``docs`` with a column ``out`` of KIND: its words, the merged spans of
     hit words (also in UTF-8 bytes, ends exclusive), and the items' ids, sorted."""
-    ship_package(spark)
-    column = None
-    for found in blocks(items, item_id, item_text, width):
-        sent = spark.sparkContext.broadcast(found)
-        if column is None:
-            column = F.arrow_udf(lambda t, sent=sent: annotate(t, sent.value), KIND)(F.col(text).cast("string"))
-        else:
-            column = F.arrow_udf(lambda t, p, sent=sent: annotate(t, sent.value, p), KIND)(F.col(text).cast("string"), F.col(out))
-        docs = docs.withColumn(out, column)
-    if column is None:
-        nothing = Phrases([], width)
-        docs = docs.withColumn(out, F.arrow_udf(lambda t: annotate(t, nothing), KIND)(F.col(text).cast("string")))
-    return docs
-
-
-def _cut(texts: pa.Array, leaks: pa.Array) -> pa.Array:
-    out = []
-    for text, leak in zip(texts, leaks):
-        text, hits = text.as_py(), leak.as_py()["hits"]
-        if text is not None and hits:
-            raw, kept, at = text.encode(), [], 0
-            for s in hits:
-                kept += [raw[at : s["byte"]], b"\n"]
-                at = s["byte_end"]
-            text = b"".join([*kept, raw[at:]]).decode()
-        out.append(text)
-    return pa.array(out, pa.string())
-
-
-def remove_passages(spark: SparkSession, docs: DataFrame, items: DataFrame, width: int = 10, text: str = "text", **names) -> DataFrame:
+    sent = _broadcast(spark, items, width, item_id, item_text)
+    return docs.withColumn(out, F.arrow_udf(lambda t: annotate(t, *[x.value for x in sent]), KIND)(F.col(text).cast("string")))
+
+
+def _cut(text: str, hits: list[dict]) -> str:
+    raw, kept, at = text.encode(), [], 0
+    for s in hits:
+        kept += [raw[at : s["byte"]], b"\n"]
+        at = s["byte_end"]
+    return b"".join([*kept, raw[at:]]).decode()
+
+
+def remove_passages(spark: SparkSession, docs: DataFrame, items: DataFrame, width: int = 10, text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """``docs`` without the words of benchmark passages: each merged span gives
     way to a line break. Texts without hits stay as they are."""
-    columns = docs.columns
-    found = find_passages(spark, docs, items, width, text, out="_leaks", **names)
-    clean = F.when(F.size("_leaks.hits") > 0, F.arrow_udf(_cut, "string")(F.col(text), F.col("_leaks"))).otherwise(F.col(text))
-    return found.withColumn(text, clean).select(*columns)
+    sent = _broadcast(spark, items, width, item_id, item_text)
+
+    def clean(texts: pa.Array) -> pa.Array:
+        rows = zip(texts, _annotated(texts, [x.value for x in sent]))
+        return pa.array([_cut(value.as_py(), row["hits"]) if row["hits"] else value.as_py() for value, row in rows], pa.string())
+
+    return docs.withColumn(text, F.arrow_udf(clean, "string")(F.col(text).cast("string"))).select(*docs.columns)
