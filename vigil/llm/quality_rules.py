@@ -30,6 +30,7 @@ handled one by one; equal scores share their verdict.
 
 from __future__ import annotations
 
+import json
 import math
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -229,8 +230,9 @@ class QualityRules:
         if len(self.tables) == 1:
             found = rows.withColumns({f"_t_{r}": F.lit(x) for r, x in self.tables[self.REST].items()} | {"_cutoff": F.lit(self.cutoffs.get(self.REST)).cast("double")})
             return found.withColumn("_score", score).drop(*drop)
-        kind = f"_stratum string, _cutoff double, {', '.join(f'_t_{r} array<double>' for r in RULES)}"
-        table = self.spark.createDataFrame([(n, self.cutoffs.get(n), *[own[r] for r in RULES]) for n, own in self.tables.items()], kind)
+        kind = f"_stratum:string,_cutoff:double,{','.join(f'_t_{r}:array<double>' for r in RULES)}"
+        known = [{"_stratum": n, "_cutoff": self.cutoffs.get(n)} | {f"_t_{r}": x for r, x in own.items()} for n, own in self.tables.items()]
+        table = self.spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(known)), f"array<struct<{kind}>>")))
         return rows.join(F.broadcast(table), "_stratum").withColumn("_score", score).drop(*drop)
 
     def verdicts(self, measured: DataFrame, stratum: str) -> DataFrame:
