@@ -1,4 +1,4 @@
-"""Command line: scan, history, env, deep, fix and config."""
+"""Command line: scan, history, env, deep (agents), fix, config and version."""
 
 from __future__ import annotations
 
@@ -8,40 +8,61 @@ import sys
 
 from pyspark.sql import functions as F
 
-from vigil import config, sinks
+from vigil import __version__, config, sinks
 from vigil.functions.fixed import ENTROPY_THRESHOLD
 from vigil.operators import deep, fix, lines
 from vigil.operators.rules import of_kind
 from vigil.operators.scan import scan, severity_counts, visible
 from vigil.schema import SEVERITIES
+from vigil.session import materialize
 from vigil.sources import discover, files, parsers
 
 
+def _bool(text: str) -> bool:
+    if text.lower() not in ("true", "false"):
+        raise argparse.ArgumentTypeError("true or false")
+    return text.lower() == "true"
+
+
+def _switch(p: argparse.ArgumentParser, name: str, default: bool = False, *short: str) -> None:
+    """--name, --name=true or --name=false."""
+    p.add_argument(f"--{name}", *short, nargs="?", const=True, default=default, type=_bool)
+
+
 def parser() -> argparse.ArgumentParser:
     top = argparse.ArgumentParser(prog="vigil")
     sub = top.add_subparsers(dest="command", required=True)
-    for name in ("scan", "history", "env"):
+
+    def command(name: str, *switches: str, path: bool = True) -> argparse.ArgumentParser:
         p = sub.add_parser(name)
-        p.add_argument("--path", action="append", default=[])
-        p.add_argument("--stdin", action="store_true")
-        p.add_argument("--level", choices=SEVERITIES[1:], default="low")
-        p.add_argument("--entropy", type=float, default=ENTROPY_THRESHOLD)
-        for flag in ("--json", "--one-line", "--summary", "--no-redact"):
-            p.add_argument(flag, action="store_true")
-    p = sub.add_parser("deep")
-    p.add_argument("--path", action="append", default=[])
-    p.add_argument("--level", choices=SEVERITIES[1:], default="low")
-    for flag in ("--json", "--all-content", "--thorough"):
-        p.add_argument(flag, action="store_true")
-    p = sub.add_parser("fix")
-    p.add_argument("--path", action="append", default=[])
-    p.add_argument("--level", choices=SEVERITIES[1:], default="low")
-    for flag in ("--dry-run", "--yes", "--redact"):
-        p.add_argument(flag, action="store_true")
+        if path:
+            p.add_argument("--path", "-p", action="append", default=[])
+        p.add_argument("--level", choices=SEVERITIES[1:], default="high")
+        for s in switches:
+            _switch(p, s)
+        return p
+
+    for name in ("scan", "history", "env"):
+        p = command(name, "json", "one-line", "summary", path=name != "env")
+        p.add_argument("--entropy-threshold", "--entropy", dest="entropy", type=float, default=ENTROPY_THRESHOLD)
+        _switch(p, "redacted", True)
+        p.add_argument("--no-redact", dest="redacted", action="store_false")
+        if name != "env":
+            _switch(p, "stdin")
+        if name == "scan":
+            _switch(p, "env", True)
+            _switch(p, "hist", True)
+    for name in ("deep", "agents"):
+        command(name, "json", "all-content", "thorough", "counts")
+    p = command("fix", "dry-run", "redacted")
+    p.add_argument("--redact", dest="redacted", action="store_true")
+    _switch(p, "yes", False, "-y")
+    sub.add_parser("version")
     p = sub.add_parser("config")
-    p.add_argument("action", choices=("init", "status", "ignore", "check", "discover"))
-    p.add_argument("pattern", nargs="?")
+    p.add_argument("action", choices=("init", "defaults", "status", "ignore", "check", "discover", "compile"))
+    p.add_argument("pattern", nargs="?", help="a pattern; for compile the table to write")
     p.add_argument("--remove", action="store_true")
+    p.add_argument("--yes", "-y", action="store_true", help="add what discover finds without asking")
     return top
 
 
@@ -50,11 +71,12 @@ def _entries(spark, args, rules, env):
     parts = []
     if getattr(args, "stdin", False):
         parts.append(files.stream_text(spark, sys.stdin.buffer.read()))
-    if args.command in ("scan", "history") or args.path:
+    if args.command == "history" or args.command == "scan" and (args.hist or args.path):
         paths = discover.explicit(args.path, env) if args.path else discover.histories([p for _, p in of_kind(rules, "path")], env)
         parts.append(files.read_histories(spark, paths))
-    if args.command in ("scan", "env") and not args.path:
+    if args.command == "env" or args.command == "scan" and args.env and not args.path:
         parts.append(files.environment(spark, env))
+    parts = parts or [files.environment(spark, {})]
     out = parts[0].withColumn("source_ord", F.lit(0))
     for i, p in enumerate(parts[1:], 1):
         out = out.unionByName(p.withColumn("source_ord", F.lit(i)))
@@ -66,11 +88,12 @@ def run_scan(spark, args, rules, env, out) -> int:
     skipped = entries.where(F.col("error") == "oversized").count()
     if skipped:
         print(f"{skipped} line(s) too long, skipped", file=sys.stderr)
-    found = visible(scan(entries, rules, args.entropy), args.level)
+    # Files are read and searched once: every report below reads the findings.
+    found = materialize(spark, visible(scan(entries, rules, args.entropy), args.level), "findings")
     counts = severity_counts(found).first()
     if not args.summary:
         make = sinks.json_lines if args.json else sinks.short_lines if args.one_line else sinks.long_lines
-        for line in sinks.printed(make(sinks.in_order(found), not args.no_redact)):
+        for line in sinks.printed(make(sinks.in_order(found), args.redacted)):
             print(line, file=out)
     if args.one_line:
         print(counts.high, counts.medium, counts.low, file=out)
@@ -83,80 +106,141 @@ def run_scan(spark, args, rules, env, out) -> int:
 
 def run_deep(spark, args, rules, env, out) -> int:
     roots = args.path or [p for _, p in of_kind(rules, "deep_path")]
-    paths = [f for f, _ in discover.transcripts(roots, env, strict=bool(args.path))]
-    pieces = files.read_transcripts(spark, paths)
+    known = discover.transcripts(roots, env, strict=bool(args.path))
+    pieces = materialize(spark, files.read_transcripts(spark, [f for f, _ in known]), "pieces")
     malformed = pieces.groupBy("file").agg(F.sum("malformed").alias("n")).where("n > 0").collect()
     texts = pieces.where(F.col("text").isNotNull()).select("file", "line", "piece_seq", "source", "text")
-    groups = deep.ordered(deep.deep_groups(deep.deep_findings(texts, rules, args.level, args.all_content, args.thorough)))
-    make = sinks.group_json_lines if args.json else sinks.group_lines
-    count = 0
-    for line in sinks.printed(make(groups)):
-        count += 1
-        print(line, file=out)
+    groups = materialize(spark, deep.deep_groups(deep.deep_findings(texts, rules, args.level, args.all_content, args.thorough)), "groups")
+    if args.json:
+        count = 0
+        for line in sinks.printed(sinks.group_json_lines(deep.ordered(groups))):
+            count += 1
+            print(line, file=out)
+    else:
+        count, _ = sinks.deep_report(deep.ordered(groups), out)
+    if args.counts:
+        named = [discover.expand(r, env) for r in roots if not r.startswith("!")]
+        print(*sinks.root_counts(groups, known, named, env.get("HOME") or env.get("USERPROFILE") or ""), sep="\n", file=sys.stderr)
     for row in malformed:  # one row a damaged file
         print(f"{row['file']}: {row['n']} malformed record(s)", file=sys.stderr)
     return sinks.EXIT_ERROR if malformed else sinks.EXIT_FOUND if count else sinks.EXIT_CLEAN
 
 
+def _confirmed(path: str, line: int, full: str, redacted: str, args, out) -> str:
+    """y, n or q. On a terminal an entry shown in full is masked once decided."""
+    shown = redacted if args.redacted else full
+    print(f"{path}:{line} {shown}", file=out)
+    if args.yes or args.dry_run:
+        return "y" if args.yes and not args.dry_run else "n"
+    try:
+        answer = input("Remove this entry? [y/N/q] ").strip().lower()
+    except EOFError:
+        answer = ""
+    decision = {"y": "y", "yes": "y", "q": "q", "quit": "q"}.get(answer, "n")
+    if out.isatty() and not args.redacted:
+        told = {"y": "removed", "n": "kept", "q": "quit"}[decision]
+        print(f"\x1b[2A\r\x1b[2K{path}:{line} {redacted}  \u2192 {told}\x1b[2B\r", end="", file=out)
+    return decision
+
+
+def _fixable(spark, path: str, snapshot) -> tuple:
+    """(entries, spans) of a history. Lines that scans skip can't be removed either."""
+    rows = spark.createDataFrame([(path, snapshot.data.decode("utf-8", "replace"))], "file string, text string")
+    physical = lines.physical_lines(rows)
+    spans = fix.fish_spans(physical) if parsers.history_kind(path) == "fish" else fix.shell_spans(physical)
+    return files.history_text(spark, path, snapshot.data).where(F.col("command").isNotNull()), spans
+
+
 def run_fix(spark, args, rules, env, out) -> int:
     paths = discover.explicit(args.path, env) if args.path else discover.histories([p for _, p in of_kind(rules, "path")], env)
-    total = 0
+    total = files_with = 0
     for path in paths:  # each file is rewritten on its own
-        snapshot = fix.Snapshot.take(path)
-        text = snapshot.data.decode("utf-8", "replace")
-        rows = spark.createDataFrame([(path, text)], "file string, text string")
-        physical = lines.physical_lines(rows)
-        kind = parsers.history_kind(path)
-        spans = fix.fish_spans(physical) if kind == "fish" else fix.shell_spans(physical)
-        if kind in ("fish", "shell"):
-            entries = (lines.fish_entries(physical) if kind == "fish" else lines.shell_entries(physical)).withColumn("entry_seq", F.lit(0))
-        else:  # JSON: several entries may come from one line
-            entries = files.history_text(spark, path, snapshot.data)
+        try:
+            snapshot = fix.Snapshot.take(path)
+        except OSError as error:
+            print(f"{path}: {error.strerror}, skipped", file=sys.stderr)
+            continue
+        entries, spans = _fixable(spark, path, snapshot)
         found = visible(scan(entries, rules), args.level)
-        removed = []
+        removed, answer, own = [], "n", 0
         for c in fix.removal_candidates(found, spans).orderBy("span_start").toLocalIterator():
-            total += 1
-            print(f"{path}:{c['line']} {sinks_text(c['redacted'] if args.redact else c['full'])}", file=out)
-            if args.dry_run:
-                continue
-            answer = "y" if args.yes else input("Remove? [y/N/q] ").strip().lower()
+            own += 1
+            answer = _confirmed(path, c["line"], sinks_text(c["full"]), sinks_text(c["redacted"]), args, out)
             if answer == "q":
                 break
             if answer == "y":
                 removed.append((c["span_start"], c["span_end"]))
+        total, files_with = total + own, files_with + bool(own)
         if removed:
             fix.rewrite(snapshot, fix.without_lines(snapshot.data, removed))
+            print(f"Removed {_entries_of(len(removed))} from {path}.", file=out)
+        if answer == "q":
+            break
+    if not total:
+        print("No secrets found in history files.", file=out)
+    elif args.dry_run:
+        print(f"\n{_entries_of(total)} would be removed across {files_with} file(s).", file=out)
     return sinks.EXIT_FOUND if total else sinks.EXIT_CLEAN
 
 
+def _entries_of(n: int) -> str:
+    return f"{n} entry" if n == 1 else f"{n} entries"
+
+
 def sinks_text(text: str) -> str:
     return text.translate(str.maketrans("\n\r\t", "   "))
 
 
-def run_config(args, env, out) -> int:
+def run_config(args, env, out, spark=None) -> int:
     folder = config.user_folder(env)
-    if args.action == "init":
-        print(*config.init(folder), sep="\n", file=out)
+    if args.action in ("init", "defaults"):
+        print(*config.init(folder, overwrite=args.action == "defaults"), sep="\n", file=out)
     elif args.action in ("ignore", "check"):
         return sinks.EXIT_CLEAN if args.pattern and config.edit(folder, args.action, args.pattern, args.remove) else sinks.EXIT_ERROR
-    else:
+    elif args.action == "compile":
+        from vigil.operators.rules import load_rules, save_rules
+
         rules = config.read_rules(config.system_folder(env), folder)
-        print(*(config.status(rules) if args.action == "status" else config.discover(folder, env, rules)), sep="\n", file=out)
+        target = args.pattern or config.compiled(folder)
+        spark = spark or _session()
+        save_rules(spark, rules, target)
+        print(f"{len(load_rules(spark, target))} rule(s) in {target}", file=out)
+    elif args.action == "discover":
+        for path in config.discover(folder, env, config.read_rules(config.system_folder(env), folder)):
+            agreed = args.yes or _agreed(path)
+            print(path + ("  \u2192 added" if agreed and config.edit(folder, "path", path) else ""), file=out)
+    else:
+        print(*config.status(config.read_rules(config.system_folder(env), folder)), sep="\n", file=out)
     return sinks.EXIT_CLEAN
 
 
+def _agreed(path: str) -> bool:
+    if not sys.stdin.isatty():
+        return False
+    return input(f"Add {path}? [y/N] ").strip().lower() in ("y", "yes")
+
+
+def _session():
+    from vigil.session import local_session
+
+    return local_session("*")
+
+
 def main(argv: list[str] | None = None, spark=None, env: dict[str, str] | None = None, out=None) -> int:
     """0: clean, 1: something was found, 2: error."""
-    args, env, out = parser().parse_args(argv), dict(os.environ if env is None else env), out or sys.stdout
+    argv = list(sys.argv[1:] if argv is None else argv)
+    if not argv or argv[0].startswith("-") and argv[0] not in ("-h", "--help"):
+        argv.insert(0, "scan")  # flags alone scan
+    args, env, out = parser().parse_args(["--help"] if argv == ["help"] else argv), dict(os.environ if env is None else env), out or sys.stdout
     try:
+        if args.command == "version":
+            print(__version__, file=out)
+            return sinks.EXIT_CLEAN
         if args.command == "config":
-            return run_config(args, env, out)
+            return run_config(args, env, out, spark)
         rules = config.read_rules(config.system_folder(env), config.user_folder(env))
-        if spark is None:
-            from vigil.session import local_session
-
-            spark = local_session("*")
-        return {"deep": run_deep, "fix": run_fix}.get(args.command, run_scan)(spark, args, rules, env, out)
+        spark = spark or _session()
+        return {"deep": run_deep, "agents": run_deep, "fix": run_fix}.get(args.command, run_scan)(spark, args, rules, env, out)
     except (OSError, ValueError, RuntimeError) as error:
         print(f"error: {error}", file=sys.stderr)
         return sinks.EXIT_ERROR

@@ -53,14 +53,19 @@ def read_rules(*folders: str) -> list[tuple[str, str, str, int]]:
     return rules
 
 
-def init(folder: str) -> list[str]:
-    """Write the default files that aren't there yet."""
+def compiled(folder: str) -> str:
+    """Where the compiled rule table of a folder is."""
+    return os.path.join(folder, "rules.parquet")
+
+
+def init(folder: str, overwrite: bool = False) -> list[str]:
+    """Write the default files that aren't there yet, or all of them anew."""
     os.makedirs(folder, exist_ok=True)
     out = []
     for kind, values in DEFAULTS.items():
         base = kind.removeprefix("deep_")
         path = os.path.join(folder, f"{base}.{'deep' if kind.startswith('deep_') else 'default'}.rules")
-        if not os.path.exists(path):
+        if overwrite or not os.path.exists(path):
             with open(path, "w", encoding="utf-8") as file:
                 file.write("\n".join(values) + "\n")
             out.append(path)
@@ -98,4 +103,9 @@ def discover(folder: str, env: dict[str, str], rules: list[tuple]) -> list[str]:
 
 
 def status(rules: list[tuple]) -> list[str]:
-    return [f"{kind}: {match} {pattern}" for kind, match, pattern, _ in sorted(rules, key=lambda r: (KINDS.index(r[0]), r[3]))]
+    """The rules under a heading for each kind, with their number."""
+    out: list[str] = []
+    for kind in KINDS:
+        own = [f"  {match} {pattern}" for k, match, pattern, _ in sorted(rules, key=lambda r: r[3]) if k == kind]
+        out += [f"{kind} ({len(own)})", *own]
+    return out

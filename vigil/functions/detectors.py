@@ -29,7 +29,7 @@ URL_PASSWORD = rf"""[A-Za-z][A-Za-z0-9+.\-]*://[^{BLANK}/:@'"]*:([^{BLANK}@'"/]+
 def candidate(token: Column, det_type: str, size: Column | None = None, **flags) -> Column:
     values = [F.coalesce(flags[f], F.lit(False)).alias(f) if isinstance(flags.get(f), Column) else F.lit(bool(flags.get(f, False))).alias(f) for f in FLAGS]
     size = F.octet_length(token) if size is None else size
-    return F.struct(token.alias("token"), F.lit(det_type).alias("det_type"), *values, size.cast("int").alias("size")).cast(CANDIDATE)
+    return F.struct(token.alias("token"), F.lit(det_type).alias("det_type"), *values, size.cast("int").alias("size"))
 
 
 def _present(items: list[Column]) -> Column:
@@ -51,7 +51,7 @@ def is_sensitive(name: Column) -> Column:
 
 def _first_of(command: Column, literals, suffix: str) -> Column:
     """The first of the literals, in list order, that the command contains."""
-    return F.coalesce(*[F.when(F.contains(command, F.lit(x + suffix)), F.lit(x + suffix)) for x in literals])
+    return F.get(F.filter(F.lit([x + suffix for x in literals]), lambda x: F.contains(command, x)), 0)
 
 
 def private_keys(command: Column) -> Column:
@@ -89,42 +89,32 @@ def inline_assign(command: Column) -> Column:
     return F.transform(fit, lambda p: candidate(p["value"], "inline_assign", keyword=True, search=search, placeholder=is_placeholder(p["value"])))
 
 
-def _after(command: Column, flag: str, stop: str) -> Column:
-    """What follows the first occurrence of ``flag``, up to a stop character."""
-    return F.regexp_extract(command, f"{quoted(flag)}([^{stop}]*)", 1)
+def _values(command: Column, flags, stop: str = " \"'") -> Column:
+    """What follows the first occurrence of each flag, up to a stop character."""
+    rest = lambda flag: F.substring(command, F.position(flag, command) + F.length(flag), F.length(command))
+    return F.transform(F.filter(F.lit(list(flags)), lambda flag: F.contains(command, flag)), lambda flag: F.regexp_extract(rest(flag), f"^[^{stop}]*", 0))
 
 
-def _usable(token: Column, found: Column) -> Column:
-    return F.when((token != "") & ~is_reference(token), found)
+def _usable(token: Column) -> Column:
+    return (token != "") & ~is_reference(token)
 
 
 def auth_header(command: Column) -> Column:
-    out = []
-    for prefix in fixed.AUTH_PREFIXES:
-        token = _after(command, prefix, "\"' \\\\")
-        out.append(_usable(token, candidate(token, "auth_header", keyword=True, auth_header=True)))
-    return _present(out)
+    return F.transform(F.filter(_values(command, fixed.AUTH_PREFIXES, "\"' \\\\"), _usable), lambda t: candidate(t, "auth_header", keyword=True, auth_header=True))
 
 
 def auth_userinfo(command: Column) -> Column:
-    out = []
-    for flag in fixed.USERINFO_FLAGS:
-        value = _after(command, flag, " \"'")
-        token = F.when(F.contains(value, F.lit(":")), F.substring(value, F.position(F.lit(":"), value) + 1, F.length(value))).otherwise("")
-        out.append(_usable(token, candidate(token, "auth_userinfo", keyword=True, auth_header=True)))
-    return _present(out)
+    values = F.filter(_values(command, fixed.USERINFO_FLAGS), lambda v: F.contains(v, F.lit(":")))
+    tokens = F.transform(values, lambda v: F.substring(v, F.position(F.lit(":"), v) + 1, F.length(v)))
+    return F.transform(F.filter(tokens, _usable), lambda t: candidate(t, "auth_userinfo", keyword=True, auth_header=True))
 
 
 def cli_flags(command: Column) -> Column:
-    out = []
-    for flag in fixed.SECRET_FLAGS:
-        token = _after(command, flag, " \"'")
-        out.append(_usable(token, candidate(token, "cli_flag_secret", keyword=True)))
     at = F.position(F.lit("-p"), command)
     free = (at == 1) | ((at > 1) & (F.substring(command, at - 1, F.lit(1)) == " "))
-    token = F.when(free, F.regexp_extract(F.substring(command, at + 2, F.length(command)), "^[^ \"']+", 0)).otherwise("")
-    out.append(_usable(token, candidate(token, "cli_flag_secret", keyword=True)))
-    return _present(out)
+    short = F.when(free, F.regexp_extract(F.substring(command, at + 2, F.length(command)), "^[^ \"']+", 0)).otherwise("")
+    tokens = F.concat(_values(command, fixed.SECRET_FLAGS), F.array(short))
+    return F.transform(F.filter(tokens, _usable), lambda t: candidate(t, "cli_flag_secret", keyword=True))
 
 
 def credential_url(command: Column) -> Column:
@@ -145,11 +135,8 @@ def known_token(command: Column) -> Column:
 
     def placeholder(token: Column) -> Column:
         # The first prefix in order that leaves enough behind it speaks.
-        cases = [
-            F.when(F.startswith(token, F.lit(p)) & (F.length(token) >= len(p) + fixed.MIN_TAIL), is_placeholder(F.substring(token, len(p) + 1, 1 << 20)))
-            for p in names
-        ]
-        return F.coalesce(*cases, F.lit(False))
+        own = F.filter(F.lit(names), lambda p: F.startswith(token, p) & (F.length(token) >= F.length(p) + fixed.MIN_TAIL))
+        return F.coalesce(is_placeholder(F.substring(token, F.length(F.get(own, 0)) + 1, F.length(token))), F.lit(False))
 
     return F.transform(tokens, lambda t: candidate(t, "known_token", known_format=True, placeholder=placeholder(t)))
 
@@ -178,4 +165,4 @@ def triggers(command: Column) -> Column:
 
 def candidates(command: Column, registry=None) -> Column:
     """All candidates of a command, in stage order, repeats included."""
-    return F.concat(*[detect(command).cast(_NONE) for _, detect in (registry or REGISTRY)])
+    return F.concat(*[detect(command) for _, detect in (registry or REGISTRY)])

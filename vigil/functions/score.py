@@ -6,7 +6,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from vigil.functions import fixed
-from vigil.functions.text import entropy
 
 
 def first_by_token(candidates: Column) -> Column:
@@ -41,12 +40,12 @@ def severity_name(rank: Column) -> Column:
     return F.when(rank == 3, "high").when(rank == 2, "medium").when(rank == 1, "low").otherwise("ignore")
 
 
-def scored(candidates: Column, threshold: float = fixed.ENTROPY_THRESHOLD) -> Column:
-    """Structs (token, det_type, entropy, score, severity_rank)."""
+def scored(candidates: Column, bits: Column, threshold: float = fixed.ENTROPY_THRESHOLD) -> Column:
+    """Structs (token, det_type, entropy, score, severity_rank) of candidates
+    and the entropies of their tokens. Keys have none."""
 
-    def measured(c: Column) -> Column:
-        bits = F.when(c["private_key"], F.lit(0.0)).otherwise(entropy(c["token"]))
-        return F.struct(c.alias("c"), bits.alias("bits"))
+    def measured(c: Column, own: Column) -> Column:
+        return F.struct(c.alias("c"), F.when(c["private_key"], F.lit(0.0)).otherwise(own).alias("bits"))
 
     def pointed(m: Column) -> Column:
         return F.struct(m["c"]["token"].alias("token"), m["c"]["det_type"].alias("det_type"), m["bits"].alias("entropy"), score(m["c"], m["bits"], threshold).alias("score"))
@@ -54,4 +53,4 @@ def scored(candidates: Column, threshold: float = fixed.ENTROPY_THRESHOLD) -> Co
     def ranked(s: Column) -> Column:
         return F.struct(s["token"].alias("token"), s["det_type"].alias("det_type"), s["entropy"].alias("entropy"), s["score"].alias("score"), severity(s["score"]).alias("severity_rank"))
 
-    return F.transform(F.transform(F.transform(candidates, measured), pointed), ranked)
+    return F.transform(F.transform(F.zip_with(candidates, bits, measured), pointed), ranked)

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import json
 import re
 import string
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -50,6 +53,35 @@ def entropy(text: Column) -> Column:
     return F.when(size > 0, F.greatest(F.lit(0.0), F.log2(size.cast("double")) - total / size)).otherwise(F.lit(0.0))
 
 
+def _entropies(lists: pa.Array) -> pa.Array:
+    flat = lists.flatten()
+    if flat.type != pa.large_string():
+        flat = flat.cast(pa.large_string())
+    _, bounds, data = flat.buffers()
+    at = np.frombuffer(bounds, np.int64, len(flat) + 1, flat.offset * 8)
+    raw = np.frombuffer(data, np.uint8)[at[0] : at[-1]] if data is not None else np.zeros(0, np.uint8)
+    size = np.diff(at)
+    # One sorted pass over (text, byte) pairs counts every text's bytes.
+    pair, count = np.unique(np.repeat(np.arange(len(size)), size) << 8 | raw, return_counts=True)
+    total = np.bincount(pair >> 8, count * np.log2(count), len(size))
+    safe = np.maximum(size, 1)
+    bits = np.maximum(0.0, np.log2(safe) - total / safe)
+    lengths = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(lengths))), pa.int32()), pa.array(bits))
+
+
+def entropies(texts: Column) -> Column:
+    """``entropy`` of each element of an array, in Arrow batches: about five
+    times as fast as the fold. The caller ships the package."""
+    return F.arrow_udf(_entropies, "array<double>")(texts)
+
+
+def table(rows: list[dict], kind: str) -> Column:
+    """Rows as one constant array of structs, so that expressions over them
+    stay one lambda instead of a branch for every row."""
+    return F.from_json(F.lit(json.dumps(rows)), f"array<struct<{kind}>>")
+
+
 def first_place(text: Column, part: Column) -> Column:
     """Place of the first occurrence, 0-based; -1 where there is none."""
     return F.position(part, text) - 1

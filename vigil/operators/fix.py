@@ -13,9 +13,10 @@ from pyspark.sql import functions as F
 
 def shell_spans(lines: DataFrame) -> DataFrame:
     """lines (file, line, raw) with span_start and span_end: maximal runs joined
-    by trailing backslashes."""
+    by trailing backslashes. A carriage return behind a backslash ends the run,
+    as the line as it is written counts."""
     order = Window.partitionBy("file").orderBy("line")
-    goes_on = F.endswith(F.rtrim(F.col("raw"), F.lit("\r")), F.lit("\\"))
+    goes_on = F.endswith(F.col("raw"), F.lit("\\"))
     opens = ~F.coalesce(F.lag(goes_on).over(order), F.lit(False))
     running = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     marked = lines.withColumn("_opens", opens).withColumn("_island", F.count_if("_opens").over(running))
@@ -70,7 +71,12 @@ class Snapshot:
         return cls(path, data, stat.S_IMODE(after.st_mode), _state(after))
 
     def check(self) -> None:
-        if _state(os.stat(self.path)) != self.state:
+        """Neither what the file system says nor a single byte may differ."""
+        same = _state(os.stat(self.path)) == self.state
+        if same:
+            with open(self.path, "rb") as file:
+                same = file.read() == self.data
+        if not same:
             raise RuntimeError(f"{self.path} changed since it was read")
 
 

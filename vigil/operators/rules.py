@@ -8,13 +8,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vigil.functions import fixed
+from vigil.functions.text import table
 from vigil.schema import HINT, RULE
 
 #: Groups in the order in which they are compiled.
 KINDS = ("ignore", "check", "path", "deep_ignore", "deep_check", "deep_path")
 MATCH_KINDS = {"exact:": "exact", "prefix:": "prefix", "substr:": "substring"}
-#: Up to this many rules become literals of the plan; more are joined as a table.
-FOLDED = 256
+#: Up to this many rules are a branch of the plan each; more are one constant array.
+FOLDED = 32
 _TRIM = " \t\r\n"
 
 
@@ -81,7 +82,14 @@ def matches_columns(text: Column, match_kind: Column, pattern: Column) -> Column
     )
 
 
+def constant(rules: list[tuple[str, str]]) -> Column:
+    """Rules as one constant array of structs (match_kind, pattern)."""
+    return table([{"match_kind": m, "pattern": p} for m, p in rules], "match_kind:string,pattern:string")
+
+
 def matches_any(text: Column, rules: list[tuple[str, str]]) -> Column:
+    if len(rules) > FOLDED:
+        return F.exists(constant(rules), lambda r: matches_columns(text, r["match_kind"], r["pattern"]))
     return reduce(lambda a, b: a | b, [matches(text, m, p) for m, p in rules], F.lit(False))
 
 
@@ -122,10 +130,10 @@ def hint_table(spark: SparkSession) -> DataFrame:
 
 def hint(det_type: Column, token: Column) -> Column:
     """The hint of the longest prefix, or of the type, or the default."""
-    longest = sorted(fixed.PREFIX_HINTS, key=lambda x: -len(x[0]))
-    by_prefix = [F.when(F.startswith(token, F.lit(p)), F.lit(h)) for p, h in longest]
+    longest = table([{"prefix": p, "hint": h} for p, h in sorted(fixed.PREFIX_HINTS, key=lambda x: -len(x[0]))], "prefix:string,hint:string")
+    by_prefix = F.get(F.filter(longest, lambda x: F.startswith(token, x["prefix"])), 0)["hint"]
     by_type = [F.when(det_type == k, F.lit(h)) for k, h in fixed.TYPE_HINTS]
-    return F.coalesce(*by_prefix, *by_type, F.lit(fixed.DEFAULT_HINT))
+    return F.coalesce(by_prefix, *by_type, F.lit(fixed.DEFAULT_HINT))
 
 
 def has_known_prefix(token: Column) -> Column:

@@ -2,7 +2,8 @@
 
 Ignore rules and a cheap trigger test filter first; detection, first-come
 selection, scoring and rule matches are arrays on the entry's row; only then
-findings become rows. Masking runs over rows that have findings.
+findings become rows. Entropies and masks come from Arrow functions, which only
+rows that pass the trigger test, or have findings, reach.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from vigil.functions import fixed
 from vigil.functions.detectors import candidates, triggers
 from vigil.functions.redact import redact_command
 from vigil.functions.score import first_by_token, scored, severity_name
-from vigil.functions.text import first_place
+from vigil.functions.text import entropies, first_place
 from vigil.operators import rules as R
 from vigil.schema import RANK
 from vigil.session import ship_package
@@ -25,16 +26,13 @@ FOUND = "array<struct<token:string,det_type:string,entropy:double,score:int,seve
 def rule_findings(command: Column, found: Column, rules: list[tuple[str, str]]) -> Column:
     """A high finding for each matching rule, unless a detector's high finding
     has the very token."""
-    out = []
+    if not rules:
+        return F.array().cast(FOUND)
     high = F.transform(F.filter(found, lambda f: f["severity_rank"] == 3), lambda f: f["token"])
-    for match_kind, pattern in rules:
-        token = R.rule_token(command, F.lit(match_kind), F.lit(pattern))
-        known = F.array_contains(high, token)
-        row = F.struct(
-            token.alias("token"), F.lit("config_check").alias("det_type"), F.lit(0.0).alias("entropy"), F.lit(7).alias("score"), F.lit(3).alias("severity_rank")
-        )
-        out.append(F.when(R.matches(command, match_kind, pattern) & ~known, row))
-    return F.filter(F.array(*out), lambda x: x.isNotNull()) if out else F.array().cast(FOUND)
+    hits = F.filter(R.constant(rules), lambda r: R.matches_columns(command, r["match_kind"], r["pattern"]))
+    tokens = F.filter(F.transform(hits, lambda r: R.rule_token(command, r["match_kind"], r["pattern"])), lambda t: ~F.array_contains(high, t))
+    row = lambda t: F.struct(t.alias("token"), F.lit("config_check").alias("det_type"), F.lit(0.0).alias("entropy"), F.lit(7).alias("score"), F.lit(3).alias("severity_rank"))
+    return F.transform(tokens, row)
 
 
 def scan(entries: DataFrame, rules: list[tuple] | None = None, threshold: float = fixed.ENTROPY_THRESHOLD, deep: bool = False, registry=None, redact: bool = True) -> DataFrame:
@@ -42,20 +40,22 @@ def scan(entries: DataFrame, rules: list[tuple] | None = None, threshold: float
     and ord, det_type, token, entropy, score, severity_rank, severity,
     match_start, match_len, recommendation, and with ``redact`` redacted,
     redacted_start, redacted_len. Ignored severities are included, as they take
-    part in masking; ``visible`` filters. Null commands have no findings."""
+    part in masking; ``visible`` filters. Null commands have no findings. Rules
+    are constants of the plan, however many a user's files hold."""
     rules = R.default_rules() if rules is None else rules
     ignore = R.of_kind(rules, "ignore", *(["deep_ignore"] if deep else []))
     check = R.of_kind(rules, "check", *(["deep_check"] if deep else []))
-    if max(len(ignore), len(check)) > R.FOLDED:
-        raise ValueError(f"more than {R.FOLDED} rules of a kind: use anti_match and match_rules on a rule table")
     command = F.col("command")
     own = entries.columns
     live = entries.where(command.isNotNull() & ~R.matches_any(command, ignore))
     wanted = R.matches_any(command, check) if registry else triggers(command) | R.matches_any(command, check)
     live = live.where(F.lit(True) if registry else wanted)
     # Each array is a column of its own: inside a lambda it would be worked out again for every element.
+    ship_package(entries.sparkSession)
     live = live.select(*own, candidates(command, registry).alias("_candidates"))
-    live = live.select(*own, scored(first_by_token(F.col("_candidates")), threshold).cast(FOUND).alias("_scored"))
+    live = live.select(*own, first_by_token(F.col("_candidates")).alias("_first"))
+    live = live.withColumn("_bits", entropies(F.transform("_first", lambda c: c["token"])))
+    live = live.select(*own, scored(F.col("_first"), F.col("_bits"), threshold).cast(FOUND).alias("_scored"))
     live = live.select(*own, F.concat("_scored", rule_findings(command, F.col("_scored"), check).cast(FOUND)).alias("_found"))
     # The outer form, as the plain one would let the optimizer push a test of the
     # array's size below the projections and work everything out many times over.
@@ -72,7 +72,6 @@ def scan(entries: DataFrame, rules: list[tuple] | None = None, threshold: float
         }
     )
     if redact:
-        ship_package(entries.sparkSession)
         rows = rows.withColumn("_r", redact_command(command, F.col("_tokens"), F.col("token")))
         rows = rows.withColumns({"redacted": F.col("_r.text"), "redacted_start": F.col("_r.start"), "redacted_len": F.col("_r.length")}).drop("_r")
     return rows.drop("_tokens")

@@ -56,9 +56,15 @@ def over(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     return spark.sql(text, **used)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows of a table too small to be read by as many tasks as may run."""
+    tasks = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(tasks) if df.rdd.getNumPartitions() < tasks else df
+
+
 def commands(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Entries of the command corpus."""
-    rows = over(spark, sf_dir, COMMANDS)
+    rows = spread(over(spark, sf_dir, COMMANDS))
     return rows.select("key", F.lit("orders").alias("file"), (F.col("key") + 1).alias("line"), F.lit(0).cast("long").alias("entry_seq"), F.lit(None).cast("long").alias("ts"), "command")
 
 

@@ -9,7 +9,7 @@ from operator import or_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vigil.functions.text import single_line, window
+from vigil.functions.text import window
 
 BADGES = {3: "[!!!]", 2: "[!! ]", 1: "[!  ]", 0: "[   ]"}
 PROMPT_HISTORIES = ("/.codex/history.jsonl", "/.claude/history.jsonl", "/.ollama/history", "/.aider.input.history")
@@ -61,12 +61,34 @@ def group_json_lines(groups: DataFrame) -> DataFrame:
 
 
 def group_lines(groups: DataFrame) -> DataFrame:
-    text = F.concat(badge(F.col("severity_rank")), F.lit(" "), "token", F.lit(" ["), "det_type", F.lit("] x"), F.col("count").cast("string"), F.lit(" in "), "source", F.lit("\n      "), "context")
+    text = F.concat(F.lit("  "), badge(F.col("severity_rank")), F.lit(" "), "det_type", F.lit("  "), "token", F.lit("  ("), F.col("count").cast("string"), F.lit("\u00d7, "), "source", F.lit(")\n        "), "context")
     return groups.select("file", text.alias("value"))
 
 
-def display(command: Column) -> Column:
-    return single_line(command)
+def deep_report(groups: DataFrame, out) -> tuple[int, int]:
+    """Print groups under their files, which come in order, and the totals;
+    (groups, files)."""
+    total = files = 0
+    last = None
+    for row in group_lines(groups).toLocalIterator():
+        if row["file"] != last:
+            print(*([""] if files else []), row["file"], sep="\n", file=out)
+            last, files = row["file"], files + 1
+        print(row["value"], file=out)
+        total += 1
+    if total:
+        print("", f"{total} secret(s) across {files} session file(s).", "Rotate the credentials, delete those files, and see that their folder isn't synced, committed or open to others.", sep="\n", file=out)
+    else:
+        print("No secrets found in agent transcripts.", file=out)
+    return total, files
+
+
+def root_counts(groups: DataFrame, files: list[tuple[str, int]], roots: list[str], home: str) -> list[str]:
+    """One line a root: its files and the secrets in them."""
+    at = groups.sparkSession.createDataFrame(files or [("", -1)], "file string, root int")
+    found = {r["root"]: r["n"] for r in groups.select("file").join(at, "file").groupBy("root").agg(F.count("*").alias("n")).collect()}
+    compact = lambda p: "~" + p[len(home) :] if home and (p + "/").startswith(home.rstrip("/") + "/") else p
+    return [f"{compact(root)}: {sum(k == i for _, k in files)} file(s), {found.get(i, 0)} secret(s)" for i, root in enumerate(roots)]
 
 
 def printed(lines: DataFrame) -> Iterator[str]:

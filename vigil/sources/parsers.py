@@ -21,6 +21,12 @@ def decode(data: bytes) -> str:
     return data.decode("utf-8", "replace")
 
 
+def _stamp(text: str) -> int | None:
+    """A time in 64 bits, or None."""
+    value = int(text) if len(text) <= 20 and _INTEGER.fullmatch(text) else None
+    return value if value is not None and -(1 << 63) <= value < 1 << 63 else None
+
+
 def history_kind(path: str) -> str:
     for part, kind in (("fish_history", "fish"), ("/.codex/history.jsonl", "codex"), ("/.claude/history.jsonl", "claude")):
         if part in path:
@@ -45,7 +51,8 @@ def shell(data: bytes, limit: int | None = OVERSIZED_LINE):
             yield number, None, None, None
         elif line:
             found = _EXTENDED.fullmatch(line)
-            yield (number, int(found[1]), line, found[2]) if found else (number, None, line, line)
+            stamp = _stamp(found[1]) if found else None
+            yield (number, None, line, line) if stamp is None else (number, stamp, line, found[2])
 
 
 def fish(data: bytes, limit: int | None = OVERSIZED_LINE):
@@ -58,7 +65,7 @@ def fish(data: bytes, limit: int | None = OVERSIZED_LINE):
                 yield tuple(opened)
             opened = [number, None, line, line[7:]]
         elif line.startswith("  when: ") and opened:
-            opened[1] = int(line[8:]) if _INTEGER.fullmatch(line[8:]) else None
+            opened[1] = _stamp(line[8:])
     if opened:
         yield tuple(opened)
 
@@ -78,13 +85,18 @@ def leaves(value) -> Iterator[str]:
 
 
 def _load(text: str):
-    """(value, whether it is JSON); numbers beyond JSON's aren't."""
+    """(value, whether it is JSON); numbers beyond JSON's and objects that
+    repeat a key aren't, so nothing that was written is passed over in silence."""
 
     def bad(name):
         raise ValueError(name)
 
+    def once(pairs):
+        found = dict(pairs)
+        return found if len(found) == len(pairs) else bad("repeated key")
+
     try:
-        return json.loads(text, parse_constant=bad), True
+        return json.loads(text, parse_constant=bad, object_pairs_hook=once), True
     except (ValueError, RecursionError):
         return None, False
 
