@@ -479,6 +479,11 @@ class NearDuplicates:
         )
 
     def keep_one(self, docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-        """The rows of ``docs`` that stay: one document of each group."""
-        gone = self.find(docs, doc_id, text).where(~F.col("kept")).select(F.col(doc_id).alias("_gone")).distinct()
-        return docs.join(gone, docs[doc_id].cast("long") == F.col("_gone"), "left_anti")
+        """The rows of ``docs`` that stay: one document of each group, and all
+        that are linked with nothing. Rows that repeat a doc_id stay or go
+        together. Columns keep their names and values, whatever they are."""
+        name = "_gone"
+        while name in docs.columns:
+            name += "_"
+        gone = self.find(docs, doc_id, text).where(~F.col("kept")).select(F.col(doc_id).alias(name)).distinct()
+        return docs.join(gone, F.col(doc_id).cast("long") == F.col(name), "left_anti")
