@@ -73,19 +73,3 @@ def materialize(spark: SparkSession, df: DataFrame, name: str, compression: str
     path = new_path(spark, name)
     df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    """Delete a path on whichever file system it lies."""
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-
-
-def input_size(df: DataFrame) -> int:
-    """Bytes of the files a DataFrame reads, from the file index (any file
-    system); 0 where it reads none."""
-    try:
-        return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().longValue())
-    except Exception:
-        return 0
