@@ -1,6 +1,7 @@
 import pytest
 
 from tests.compare import difference
+import vigil.plans.transcripts  # noqa: F401  registers its queries
 from vigil.plans.queries import ORACLES, QUERIES, entry
 
 DATA = "/root/testdata/sf0.001"
