@@ -85,3 +85,22 @@ def test_contexts_discover_unseen_identifiers(spark):
 def test_no_seeds(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert pii.Extractor(spark).find(docs).count() == 0
+
+
+def test_patterns_discover_secrets(spark):
+    """The method's own spans: seeds alone are none, and plain digests aren't either."""
+    value = lambda i: f"{i * 7919:08x}" * 5
+    rows = [f'some words token = "{value(i)}" more words' for i in range(1, 21)]
+    rows += [f"loose words token = {value(77)} and more", f'in brackets ("TOKEN = ({value(78)})")', f"commit {value(79)} is a digest", f'lonely secret: "{value(80)}"']
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    assert {r.pattern: r.kind for r in pii.Extractor(spark).induce(docs).collect()}["token ="] == "secret"
+    got = {r.doc_id: [(s.kind, rows[r.doc_id][s.start : s.stop]) for s in r.found.spans] for r in pii.Extractor(spark).find(docs).collect()}
+    assert all(got[i] == [("secret", value(i + 1))] for i in range(20))
+    assert got[20] == [("secret", value(77))] and got[21] == [("secret", value(78))] and got[22] == got[23] == []
+
+
+def test_contexts_reach_over_quotes_and_long_words():
+    assert pii.contexts('a  b ("x1y2z', 7) == ["b", "a b"]
+    assert pii.contexts('ab"x', 3) == [] and pii.contexts('"x', 1) == []
+    long = "w" * 5000
+    assert pii.contexts(f"{long} Tel: 12345", len(long) + 6) == ["tel:", f"{long} tel:"]
