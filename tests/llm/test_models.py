@@ -97,6 +97,33 @@ def test_languages(spark):
     assert {r.language.lang_pred for r in none.predict(probe).collect()} == {"und"}
 
 
+def test_languages_in_blocks_and_odd_rows(spark):
+    """Blocks of one tree each change nothing; rows repeat, names clash, texts are long."""
+    draw = random.Random(5)
+    words = {f"l{k:02}": ["".join(draw.choice("abcdefghiklmnoprstuvw") for _ in range(4)) for _ in range(12)] for k in range(20)}
+    make = lambda k, n: " ".join(draw.choice(words[k]) for _ in range(n))
+    rows = [(i, make(k, 40), k) for i, k in enumerate(sorted(words) * 6)]
+    rows.append((999, make("l03", 40).replace("a", "ø") + " " + "øre æble " * 40_000, "rare"))  # one long text is all there is
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = ppm.LanguageIdentifier.fit(spark, docs, "doc_id", sample_bytes=3_000)
+    assert [m.languages[0] for m in model.models] == sorted([*words, "rare"])
+    probes = [(i, make(k, 15), k) for i, k in enumerate(sorted(words))] + [(50, "øre æble " * 5, "rare"), (51, make("l07", 60_000), "l07")]
+    probe = spark.createDataFrame([(*p, "x", "y") for p in probes + probes[:2]], "id long, text string, want string, language string, _Best string")
+    whole, blocks = (sorted(map(tuple, model.predict(probe, block_bytes=b).collect())) for b in (1 << 30, 1))
+    assert model.predict(probe).columns == ["id", "text", "want", "language", "_Best"] and len(whole) == len(probes) + 2
+    for one, other in zip(whole, blocks):
+        assert one[3].lang_pred == other[3].lang_pred == one[2] and one[3].score == pytest.approx(other[3].score)
+        assert one[:3] == other[:3] and one[4] == "y"
+    assert model.predict(probe.limit(0)).count() == 0
+
+
+def test_a_tree_does_not_depend_on_other_languages(spark):
+    rows = [(i, "kaksi kolme neljä viisi", "fi") for i in range(50)]
+    more = [(100 + i, f"word{i} of another {k}", f"x{k}") for k in range(30) for i in range(5)]
+    few, many = (ppm.LanguageIdentifier.fit(spark, spark.createDataFrame(r, "doc_id long, text string, lang string"), "doc_id", max_cells=400) for r in (rows, rows + more))
+    assert len(many.models) == 31 and np.array_equal(few.models[0].bits, many.models[0].bits)
+
+
 def test_class_prior_and_scores():
     draw = np.random.default_rng(3)
     good = lambda n: draw.normal(0, 1, (n, 6))

@@ -7,16 +7,22 @@ excluded (method C), down to a uniform choice. Statistics are frozen after
 training, so the code length of a text is a sum over its bytes and is exact.
 
 Because they are frozen, all escapes can be worked out beforehand: for each
-context kept in any language's tree there is one row with the bits every byte
-costs in every language. Scoring a text is then two look-ups a byte: bytes
-before it -> deepest context, (context, byte) -> bits per language.
-
-The model is fitted on a documented, bounded sample (``sample_bytes`` of text
-for each language, whole texts chosen by a hash) and at most ``max_cells``
-table cells, which bounds what is broadcast; every text is scored whole.
+context of a language's tree there is one row with the bits every byte costs.
+Scoring a text is then two look-ups a byte and language: bytes before it ->
+deepest context, (context, byte) -> bits.
+
+The model is fitted on a documented, bounded sample: about ``sample_bytes`` of
+text for each language, whole texts chosen by a hash, one at least. Every
+language has a tree of its own of at most ``max_cells`` table cells (and a map of
+4 bytes for each way ``depth`` of its bytes can follow each other), so other
+languages, however many, take nothing from it. Trees are broadcast in blocks of
+``BLOCK_BYTES``; a table between blocks keeps each text's best language so
+far. Every text is scored whole, and blocks don't change results.
 
 A text that is null or has no letter gets ``und`` and score 0. An empty
 training set makes every answer ``und``. Ties go to the first language by name.
+Repeated rows are predicted one by one, and a column named like the result is
+replaced by it; others pass through under their own names.
 """
 
 from __future__ import annotations
@@ -29,13 +35,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vigil.llm.kernels import shards, text_buffers
-from vigil.session import ship_package
+from vigil.session import materialize, ship_package
 
 #: Bytes of training text for each language, about.
 SAMPLE_BYTES = 4_000_000
 DEPTH = 3
-#: Cells of the bit table (contexts x bytes x languages), 4 bytes each.
-MAX_CELLS = 6_000_000
+#: Cells of a language's bit table (contexts x bytes), 4 bytes each.
+MAX_CELLS = 4_000_000
+#: Bytes of trees that are broadcast together; a block has one tree at least.
+BLOCK_BYTES = 256 << 20
+#: Languages whose counts are on the driver at one time.
+FITTED_TOGETHER = 16
+#: Up to here the table of languages and shares is broadcast to draw the sample.
+BROADCAST_LANGUAGES = 10_000
+#: The best language so far, its bits, and the sum of all languages' posteriors as shares of its own.
+BEST = "struct<lang:string,bits:double,rest:double>"
 #: Training counts below this don't make a context.
 MIN_COUNT = 3
 
@@ -141,6 +155,10 @@ class Model:
         bits = -np.log2(np.maximum(probability, 2.0**-40)).transpose(0, 2, 1)
         return cls(languages, symbol, node, np.ascontiguousarray(bits.reshape(-1, many), np.float32), depth)
 
+    @property
+    def size(self) -> int:
+        return self.node.nbytes + self.bits.nbytes + self.symbol.nbytes
+
     def lengths(self, raw: np.ndarray, bounds: np.ndarray) -> np.ndarray:
         """Code lengths in bits, texts by languages."""
         width, depth = int(self.symbol.max()) + 1, self.depth
@@ -158,13 +176,6 @@ class Model:
             out[:, k] = total[bounds[1:]] - total[bounds[:-1]]
         return out
 
-    def predict(self, raw: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(language index, its posterior under equal priors) of each text."""
-        lengths = self.lengths(raw, bounds)
-        best = lengths.argmin(1)
-        rest = np.exp2(np.clip(lengths.min(1, keepdims=True) - lengths, -1000, 0)).sum(1)
-        return best, 1 / rest
-
 
 def _heaviest(weight: np.ndarray, good: np.ndarray, room: int) -> np.ndarray:
     """Flags of the ``room`` heaviest of the good ones."""
@@ -177,8 +188,9 @@ def _heaviest(weight: np.ndarray, good: np.ndarray, room: int) -> np.ndarray:
 class LanguageIdentifier:
     """Fit on labelled rows, predict on texts."""
 
-    def __init__(self, spark: SparkSession, model: Model):
-        self.spark, self.model = spark, model
+    def __init__(self, spark: SparkSession, models: list[Model]):
+        """models: one for each language, by name."""
+        self.spark, self.models = spark, models
 
     @classmethod
     def fit(
@@ -188,41 +200,84 @@ class LanguageIdentifier:
         """rows: labelled texts; ``key`` identifies a row for the hash that
         picks the sample. Languages of null are left out."""
         ship_package(spark)
-        slim = rows.select(F.col(key).alias("key"), F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("body"))
+        draw = F.pmod(F.xxhash64(F.lit("language sample"), F.col(key).cast("string")), F.lit(1 << 30)) / float(1 << 30)
+        slim = rows.select(draw.alias("draw"), F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("body"))
         slim = slim.where(F.col("lang").isNotNull() & F.col("body").isNotNull())
-        size = slim.groupBy("lang").agg(F.sum(F.octet_length("body")).alias("size"))
-        sizes = {r["lang"]: r["size"] or 0 for r in size.collect()}  # a row for each language
-        languages = sorted(sizes)
-        share = F.create_map(*[F.lit(x) for k in languages for x in (k, min(1.0, sample_bytes / max(1, sizes[k])))]) if languages else None
-        if not languages:
-            return cls(spark, Model.fit([], np.zeros(0, int), np.zeros(0, np.int64), np.zeros(0), depth))
-        draw = F.pmod(F.xxhash64(F.lit("language sample"), F.col("key").cast("string")), F.lit(1 << 30)) / float(1 << 30)
-        sample = slim.where(draw < share[F.col("lang")])
-        counts = count_contexts(spark, sample, "lang", "body", depth).toArrow()
-        names = {x: i for i, x in enumerate(languages)}
-        lang_index = np.array([names[x] for x in counts.column("lang").to_pylist()], np.int64)
-        gram, n = counts.column("gram").to_numpy(), counts.column("n").to_numpy().astype(np.float64)
-        return cls(spark, Model.fit(languages, lang_index, gram, n, depth, max_cells))
-
-    def predict(self, df: DataFrame, text: str = "text", out: str = "language") -> DataFrame:
+        # A row a language. Its text of the least draw is in the sample whatever its length.
+        size = slim.groupBy("lang").agg(F.sum(F.octet_length("body")).alias("size"), F.min("draw").alias("least"))
+        limit = F.greatest("least", F.lit(float(sample_bytes)) / F.greatest("size", F.lit(1)))
+        limits = materialize(spark, size.select("lang", limit.alias("limit")), "languages")
+        languages = sorted(r["lang"] for r in limits.select("lang").toLocalIterator())
+        small = F.broadcast(limits) if len(languages) <= BROADCAST_LANGUAGES else limits
+        sample = slim.join(small, "lang").where(F.col("draw") <= F.col("limit"))
+        counts = count_contexts(spark, sample, "lang", "body", depth)
+        if len(languages) > FITTED_TOGETHER:
+            counts = materialize(spark, counts, "contexts")
+        models = []
+        for i in range(0, len(languages), FITTED_TOGETHER):
+            names = languages[i : i + FITTED_TOGETHER]
+            found = counts.where(F.col("lang").isin(names)).toArrow() if len(languages) > FITTED_TOGETHER else counts.toArrow()
+            for name in names:
+                own = found.filter(pa.compute.equal(found.column("lang"), name))
+                gram, n = own.column("gram").to_numpy(), own.column("n").to_numpy().astype(np.float64)
+                if len(gram):  # else all its texts are empty
+                    models.append(Model.fit([name], np.zeros(len(gram), np.int64), gram, n, depth, max_cells))
+        return cls(spark, models)
+
+    def _blocks(self, block_bytes: int) -> list[list[Model]]:
+        blocks, size = [[]], 0
+        for model in self.models:
+            if blocks[-1] and size + model.size > block_bytes:
+                blocks.append([])
+                size = 0
+            blocks[-1].append(model)
+            size += model.size
+        return blocks
+
+    def predict(self, df: DataFrame, text: str = "text", out: str = "language", block_bytes: int = BLOCK_BYTES) -> DataFrame:
         """``df`` with a struct column ``out`` (lang_pred, score)."""
-        sent = self.spark.sparkContext.broadcast(self.model)
-        kind = pa.struct([("lang_pred", pa.string()), ("score", pa.float64())])
-
-        def predict(column: pa.Array) -> pa.Array:
-            import regex
-
-            model, letter = sent.value, regex.compile(r"\p{L}").search
-            names, scores = [], []
-            for part in shards(pa.record_batch([column], ["text"])):
-                texts = part.column(0)
-                known = [bool(x) and letter(x) is not None for x in texts.to_pylist()]
-                if not model.languages:
-                    known = [False] * len(known)
-                raw, bounds = text_buffers(texts)
-                best, score = model.predict(raw, bounds)
-                names += [model.languages[b] if k else "und" for b, k in zip(best, known)]
-                scores += [float(s) if k else 0.0 for s, k in zip(score, known)]
-            return pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(scores, pa.float64())], fields=list(kind))
-
-        return df.withColumn(out, F.arrow_udf(predict, "lang_pred string, score double")(F.col(text).cast("string")))
+        taken = {c.lower() for c in df.columns}
+        best = "_best"
+        while best in taken:
+            best += "_"
+        df = df.withColumn(best, F.lit(None).cast(BEST))
+        blocks = self._blocks(block_bytes)
+        for i, models in enumerate(blocks):
+            scored = F.arrow_udf(_better(self.spark.sparkContext.broadcast(models)), BEST)(F.col(text).cast("string"), F.col(best))
+            df = df.withColumn(best, scored)
+            if i + 1 < len(blocks):  # the next block needs its memory
+                df = materialize(self.spark, df, "languages")
+        lang, rest = F.coalesce(F.col(f"{best}.lang"), F.lit("und")), F.col(f"{best}.rest")
+        found = F.struct(lang.alias("lang_pred"), F.coalesce(1 / rest, F.lit(0.0)).alias("score"))
+        return df.withColumn(out, found).drop(best)
+
+
+def _better(sent):
+    """Function of texts and BEST before a block of models -> BEST behind it;
+    null for a text without a letter."""
+    kind = pa.struct([("lang", pa.string()), ("bits", pa.float64()), ("rest", pa.float64())])
+
+    def better(column: pa.Array, before: pa.Array) -> pa.Array:
+        import regex
+
+        models, letter = sent.value, regex.compile(r"\p{L}").search
+        out = []
+        for part in shards(pa.record_batch([column, before], ["text", "before"])):
+            texts, earlier = part.column(0), part.column(1).to_pylist()
+            known = [bool(models) and bool(x) and letter(x) is not None for x in texts.to_pylist()]
+            raw, bounds = text_buffers(texts)
+            bits = np.concatenate([m.lengths(raw, bounds) for m in models], 1) if models else np.zeros((len(known), 1))
+            first, low = bits.argmin(1), bits.min(1)
+            rest = np.exp2(np.clip(low[:, None] - bits, -1000, 0)).sum(1)
+            for k, f, b, r, old in zip(known, first.tolist(), low.tolist(), rest.tolist(), earlier):
+                if not k:
+                    out.append(None)
+                elif old is None:
+                    out.append({"lang": models[f].languages[0], "bits": b, "rest": r})
+                elif old["bits"] <= b:  # ties: the earlier name
+                    out.append({**old, "rest": old["rest"] + r * 2.0 ** max(old["bits"] - b, -1000)})
+                else:
+                    out.append({"lang": models[f].languages[0], "bits": b, "rest": r + old["rest"] * 2.0 ** max(b - old["bits"], -1000)})
+        return pa.array(out, kind)
+
+    return better
