@@ -1,6 +1,6 @@
 import json
 
-from vigil.llm.chat import ChatFormatter, canonical, parse, validate
+from vigil.llm.chat import ChatFormatter, canonical, contracted, parse, validate
 
 SCHEMAS = {"add": {"properties": {"a": {"type": "number"}, "b": {"type": "number"}}, "required": ["a", "b"], "additionalProperties": False}}
 
@@ -80,15 +80,17 @@ def test_levels_agree_with_brute_force(spark):
     import random
 
     draw = random.Random(11)
-    needs = {(1, f"c{i}"): [f"c{i - 1}"] if i else [] for i in range(300)}  # one long chain
+    needs = {(1, f"c{i}"): [f"c{i - 1}"] if i else [] for i in range(3000)}  # one long chain, over several blocks
     for conv in range(2, 8):  # random graphs, some with cycles and unknown ids
         for i in range(40):
             pool = [f"c{j}" for j in range(i)] + (["gone", f"c{draw.randrange(40)}"] if conv > 4 and draw.random() < 0.1 else [])
             needs[conv, f"c{i}"] = draw.sample(pool, min(len(pool), draw.randint(0, 3)))
+    needs |= {(10, f"c{i}"): [f"c{(i + 1) % 1500}"] for i in range(1500)}  # a ring over several blocks
+    needs |= {(11, f"c{i}"): [] for i in range(1500)} | {(11, "hub"): [f"c{i}" for i in range(0, 1500, 9)], (11, "user"): ["hub"], (11, "last"): ["user", "c1"]}
     needs |= {(9, "a"): ["b"], (9, "b"): ["c"], (9, "c"): ["a"], (9, "d"): ["a", "e"], (9, "e"): []}
 
     def level(key, seen=()):
-        if key not in needs or key in seen:
+        if key[0] == 10 or key not in needs or key in seen:
             return None
         below = [level((key[0], n), (*seen, key)) for n in needs[key]]
         return None if None in below else 1 + max(below, default=-1)
@@ -99,10 +101,19 @@ def test_levels_agree_with_brute_force(spark):
     messages = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
     got = {(r.conv_id, r.call_id): r.level for r in ChatFormatter(spark, SCHEMAS).link(messages).collect()}
     known = {k: lv for k, lv in got.items() if k[0] == 1}
-    assert known == {(1, f"c{i}"): i for i in range(300)}
+    assert known == {(1, f"c{i}"): i for i in range(3000)}
     assert {k: v for k, v in got.items() if k[0] > 1} == {k: level(k) for k in needs if k[0] > 1}
 
 
+def test_contraction_keeps_many_ends_apart():
+    wide = [f"x{i}" for i in range(100)]
+    keys = [(1, "a"), (1, "b"), (1, "c"), (2, "b"), (1, "p"), (1, "q"), (1, "r")]
+    got = contracted(keys, [wide, ["a"], ["b", "x5"], ["a"], ["q"], ["p"], ["p", "b"]])
+    assert got[0] == (0, True, dict.fromkeys(wide, 1))
+    assert got[1:4] == [(0, True, {"a": 1}), (1, True, {"a": 2, "x5": 1}), (0, True, {"a": 1})]
+    assert got[4:] == [(0, False, {})] * 2 + [(got[6][0], False, {})]
+
+
 def test_derived_calls_reach_the_method(spark):
     from vigil.llm.chat import dialogue_calls
 

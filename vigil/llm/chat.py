@@ -8,10 +8,12 @@ A message is plain text, or JSON text of one of two shapes:
 Calls and results of a conversation are hash-joined by (conversation, id). An
 argument {"$ref": id} makes a call depend on another; calls are put in
 topological order by levels (0: no dependencies; else one more than the
-highest of those it depends on). Levels come by pointer doubling: each open
-call holds the calls at the far ends of its dependency paths, and every round
-replaces each end by that call's own ends, so a chain of n calls takes log2(n)
-rounds of joins. Arguments are validated
+highest of those it depends on). Neighbouring calls are first contracted in
+blocks of ``BLOCK``: each call gets the longest paths to the calls outside its
+block that it hangs on. Only calls that another block hangs on, few of a chain,
+then take part in pointer doubling: each holds the calls at the far ends of its
+dependency paths, and every round replaces each end by that call's own ends, so
+a chain over n blocks takes log2(n) rounds of joins. Arguments are validated
 against the tool's schema, and every message is serialised as canonical JSON:
 sorted keys, no spaces, UTF-8, integers and floats as they were read.
 
@@ -36,6 +38,7 @@ dialogues, by a rule, for corpora that hold none.
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -46,6 +49,11 @@ from vigil.session import materialize, ship_package
 #: The schemas of all tools are broadcast; their JSON may not be larger.
 MAX_SCHEMA_BYTES = 16 << 20
 
+#: Neighbouring calls that are contracted together.
+BLOCK = 1024
+#: A call with more open ends than this isn't contracted into those that need it.
+MANY_ENDS = 64
+
 KIND = (
     "struct<kind:string,json:string,result_id:string,n_invalid:bigint,"
     "calls:array<struct<id:string,name:string,valid:boolean,errors:array<string>,needs:array<string>>>>"
@@ -160,6 +168,45 @@ def parse(role: str | None, text: str | None, schemas: dict) -> dict:
     return {"kind": "plain", "json": canonical({"role": role, "content": text}), "result_id": None, "n_invalid": 0, "calls": []}
 
 
+def contracted(keys: list[tuple], needs: list[list[str]]) -> list[tuple[int, bool, dict[str, int]]]:
+    """For calls (conversation, id) and the ids they need: the longest path to
+    a call that needs nothing, whether the call is free of cycles within the
+    block, and the longest path to each id outside it (or to a call with very
+    many of those, which stands for them)."""
+    own = {k: i for i, k in enumerate(keys)}
+    inner = [[own[c, x] for x in need if (c, x) in own] for (c, _), need in zip(keys, needs)]
+    ends = [{x: 1 for x in need if (c, x) not in own} for (c, _), need in zip(keys, needs)]
+    base, waits, users = [0] * len(keys), [len(found) for found in inner], [[] for _ in keys]
+    for i, found in enumerate(inner):
+        for j in found:
+            users[j].append(i)
+    ready = [i for i, n in enumerate(waits) if not n]
+    for j in ready:  # grows on the way
+        for i in users[j]:
+            if len(ends[j]) > MANY_ENDS:
+                ends[i].setdefault(keys[j][1], 1)
+            else:
+                base[i] = max(base[i], base[j] + 1)
+                for x, far in ends[j].items():
+                    ends[i][x] = max(ends[i].get(x, 0), far + 1)
+            waits[i] -= 1
+            if not waits[i]:
+                ready.append(i)
+    return [(b, not n, {} if n else e) for b, n, e in zip(base, waits, ends)]
+
+
+def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(conv_id, call_id, needs) in order -> the same calls, contracted by blocks."""
+    kind = pa.list_(pa.struct([("end", pa.string()), ("far", pa.int32())]))
+    for batch in batches:
+        for start in range(0, batch.num_rows, BLOCK):
+            part = batch.slice(start, BLOCK)
+            conv, call = part.column("conv_id"), part.column("call_id")
+            base, sound, ends = zip(*contracted(list(zip(conv.to_pylist(), call.to_pylist())), part.column("needs").to_pylist()))
+            far = pa.array([[{"end": x, "far": n} for x, n in e.items()] for e in ends], kind)
+            yield pa.RecordBatch.from_arrays([conv, call, pa.array(base, pa.int32()), pa.array(sound), far], ["conv_id", "call_id", "base", "sound", "ends"])
+
+
 class ChatFormatter:
     """schemas: JSON schema of the arguments by tool name."""
 
@@ -192,11 +239,27 @@ class ChatFormatter:
     def _leveled(self, calls: DataFrame) -> DataFrame:
         """(conv_id, call_id, level) of the first calls of each id, where it exists."""
         spark, key = self.spark, ["conv_id", "call_id"]
-        first = calls.where(~F.col("duplicate") & F.col("conv_id").isNotNull()).select(*key, F.array_distinct("needs").alias("needs"))
+        first = calls.where(~F.col("duplicate") & F.col("conv_id").isNotNull())
+        # Neighbours share a partition; a long conversation spreads over many.
+        near = first.repartitionByRange("conv_id", "call_turn", "index").sortWithinPartitions("conv_id", "call_turn", "index")
+        kind = f"conv_id {dict(first.dtypes)['conv_id']}, call_id string, base int, sound boolean, ends array<struct<end:string,far:int>>"
+        every = materialize(spark, near.select(*key, F.array_distinct("needs").alias("needs")).mapInArrow(_contract, kind), "blocks")
+        open_ends = every.where("sound").select(*key, F.explode("ends").alias("e")).select(*key, "e.end", "e.far")
+        borders = self._borders(every, open_ends).withColumnRenamed("call_id", "end")
+        found = open_ends.join(borders, ["conv_id", "end"], "left").groupBy(*key)
+        # An end without level is no call, or runs into a cycle.
+        found = found.agg(F.max(F.col("level") + F.col("far")).alias("reached"), F.bool_and(F.col("level").isNotNull()).alias("all_sound"))
+        joined = every.where("sound").join(found, key, "left").where(F.coalesce("all_sound", F.lit(True)))
+        return joined.select(*key, F.greatest("base", F.coalesce("reached", F.lit(0))).alias("level"))
+
+    def _borders(self, every: DataFrame, open_ends: DataFrame) -> DataFrame:
+        """(conv_id, call_id, level), where it exists, of calls that are an end of others."""
+        spark, key = self.spark, ["conv_id", "call_id"]
+        wanted = open_ends.select("conv_id", F.col("end").alias("call_id")).distinct()
+        border = materialize(spark, every.join(wanted, key, "left_semi"), "borders")
         # (call, end, far): the longest path found from a call to an open end; base: the longest to a resolved call.
-        ends = materialize(spark, first.select(*key, F.explode("needs").alias("end"), F.lit(1).alias("far")), "ends")
-        known = materialize(spark, first.select(*key, F.lit(0).alias("base"), F.lit(True).alias("sound")), "calls")
-        # A path without cycle is shorter than the calls of its conversation.
+        ends, known = border.select(*key, F.explode("ends").alias("e")).select(*key, "e.end", "e.far"), border.select(*key, "base", "sound")
+        # A path without cycle is shorter than the border calls of its conversation.
         longest = known.groupBy("conv_id").count().agg(F.max("count")).first()[0] or 0
         for _ in range(longest.bit_length() + 1):
             if ends.isEmpty():
