@@ -37,6 +37,13 @@ def test_base_spans_agree_with_the_patterns(text):
     assert pii.base_spans(text) == by_force(text)
 
 
+def test_address_parts_may_be_of_any_length():
+    long = "0" * 5000
+    assert pii.base_spans("9" * 5000 + ".1.1.1") == pii.base_spans("1.1.1." + "2" * 5000) == []
+    assert pii.base_spans(f"{long}255.{long}.00.7") == [(0, 10009, "ip")]
+    assert pii.base_spans("256.0.0.1") == [] and pii.base_spans("099.255.0.1") == [(0, 11, "ip")]
+
+
 def test_long_texts_take_linear_time():
     for text in ("1" * 200_000, "a" * 200_000, "a@" * 50_000, "1." * 100_000, "+1" + "-" * 100_000, "x1" * 100_000):
         spans = pii.base_spans(text)
