@@ -7,30 +7,54 @@ import stat
 import tempfile
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from vigil.operators.lines import block_of
+
+
+def _spans(lines: DataFrame, joins: Column, to_next: bool) -> DataFrame:
+    """lines (file, line, raw) with span_start and span_end: maximal runs of
+    lines that belong together. ``joins``: whether a line belongs to the one
+    above it or, with ``to_next``, to the one below. Windows take in a block of
+    line numbers each; what runs on beyond a block comes from one row a block."""
+    within = Window.partitionBy("file", "_block").orderBy("line")
+    back = Window.partitionBy("file", "_block").orderBy(F.desc("line"))
+    rows = lines.withColumns({"_block": block_of("line"), "_joins": F.coalesce(joins, F.lit(False))})
+    joined = F.lag("_joins").over(within) if to_next else F.col("_joins")
+    # No line above it in its block: whether it opens a span is settled below.
+    rows = rows.withColumns({"_above": F.lag("line").over(within), "_joined": joined})
+    inner = F.col("_above").isNotNull() & ~F.col("_joined")
+
+    blocks = rows.groupBy("file", "_block").agg(
+        F.min("line").alias("head"), F.max("line").alias("last"), F.min_by("_joins", "line").alias("head_joins"), F.max_by("_joins", "line").alias("tail_joins"),
+        F.max(F.when(inner, F.col("line"))).alias("inner_open"), F.min(F.when(inner, F.col("_above"))).alias("inner_end"),
+    )
+    order = Window.partitionBy("file").orderBy("_block")
+    earlier, later = order.rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy("file").orderBy(F.desc("_block")).rowsBetween(Window.unboundedPreceding, -1)
+    above = F.lag("last").over(order)
+    held = F.lag("tail_joins").over(order) if to_next else F.col("head_joins")
+    blocks = blocks.withColumns({"above": above, "_head_opens": above.isNull() | ~held})
+    blocks = blocks.withColumns({"opened": F.coalesce("inner_open", F.when(F.col("_head_opens"), F.col("head"))), "ended": F.when(F.col("_head_opens"), F.col("above")).otherwise(F.col("inner_end"))})
+    whole = F.max("last").over(Window.partitionBy("file"))
+    blocks = blocks.select("file", "_block", "_head_opens", F.max("opened").over(earlier).alias("_start"), F.coalesce(F.min("ended").over(later), whole).alias("_end"))
+
+    rows = rows.join(blocks, ["file", "_block"])
+    rows = rows.withColumn("_opens", F.when(F.col("_above").isNull(), F.col("_head_opens")).otherwise(~F.col("_joined")))
+    start = F.max(F.when(F.col("_opens"), F.col("line"))).over(within.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    end = F.min(F.when(F.col("_opens"), F.col("_above"))).over(back.rowsBetween(Window.unboundedPreceding, -1))
+    return rows.select(*lines.columns, F.coalesce(start, F.col("_start")).alias("span_start"), F.coalesce(end, F.col("_end")).alias("span_end"))
+
 
 def shell_spans(lines: DataFrame) -> DataFrame:
-    """lines (file, line, raw) with span_start and span_end: maximal runs joined
-    by trailing backslashes. A carriage return behind a backslash ends the run,
-    as the line as it is written counts."""
-    order = Window.partitionBy("file").orderBy("line")
-    goes_on = F.endswith(F.col("raw"), F.lit("\\"))
-    opens = ~F.coalesce(F.lag(goes_on).over(order), F.lit(False))
-    running = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    marked = lines.withColumn("_opens", opens).withColumn("_island", F.count_if("_opens").over(running))
-    ends = marked.groupBy("file", "_island").agg(F.min("line").alias("span_start"), F.max("line").alias("span_end"))
-    return marked.join(ends, ["file", "_island"]).drop("_island", "_opens")
+    """lines with spans: runs joined by trailing backslashes. A carriage return
+    behind a backslash ends the run, as the line as it is written counts."""
+    return _spans(lines, F.endswith(F.col("raw"), F.lit("\\")), to_next=True)
 
 
 def fish_spans(lines: DataFrame) -> DataFrame:
     """lines with spans: an entry's line and the indented lines below it."""
-    running = Window.partitionBy("file").orderBy("line").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    opens = ~F.startswith(F.col("raw"), F.lit(" "))
-    marked = lines.withColumn("_island", F.count_if(opens).over(running))
-    ends = marked.groupBy("file", "_island").agg(F.min("line").alias("span_start"), F.max("line").alias("span_end"))
-    return marked.join(ends, ["file", "_island"]).drop("_island")
+    return _spans(lines, F.startswith(F.col("raw"), F.lit(" ")), to_next=False)
 
 
 def removal_candidates(findings: DataFrame, spans: DataFrame) -> DataFrame:

@@ -6,6 +6,23 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 EXTENDED = r"^: ([+-]?[0-9]+):[^;]*;((?s).+)$"
+#: Line numbers that one window takes in, so that a long file spreads over tasks.
+BLOCK = 1 << 16
+
+
+def block_of(line: str) -> Column:
+    return F.floor(F.col(line).cast("long") / F.lit(BLOCK))
+
+
+def running_max(rows: DataFrame, value: Column, out: str, file: str) -> DataFrame:
+    """``rows`` with the greatest ``value`` down to each line of its file: within
+    its block, or else from the blocks above, which are one row each."""
+    rows = rows.withColumns({"_block": block_of("line"), "_value": value})
+    above = Window.partitionBy(file).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = rows.groupBy(file, "_block").agg(F.max("_value").alias("_carried"))
+    blocks = blocks.select(file, "_block", F.max("_carried").over(above).alias("_carried"))
+    within = Window.partitionBy(file, "_block").orderBy("line").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return rows.join(blocks, [file, "_block"]).withColumn(out, F.greatest(F.max("_value").over(within), "_carried")).drop("_block", "_value", "_carried")
 
 
 def physical_lines(df: DataFrame, text: str = "text", out: str = "raw") -> DataFrame:
@@ -42,19 +59,18 @@ def fish_entries(lines: DataFrame, file: str = "file", raw: str = "raw") -> Data
     ``- cmd: `` opens an entry; the last readable ``  when: `` below it counts."""
     line = without_return(F.col(raw))
     opens = F.startswith(line, F.lit("- cmd: "))
-    order = Window.partitionBy(file).orderBy("line").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     when = F.when(F.startswith(line, F.lit("  when: ")), line)
     # Lines that open nothing and date nothing drop out before the shuffle.
     slim = lines.select(file, "line", opens.alias("opens"), F.when(opens, F.substring(line, F.lit(8), F.length(line))).alias("command"), when.alias("when"))
     slim = slim.where(F.col("opens") | F.col("when").isNotNull())
-    numbered = slim.withColumn("island", F.count_if("opens").over(order)).where(F.col("island") > 0)
+    numbered = running_max(slim, F.when(F.col("opens"), F.col("line")), "island", file).where("island IS NOT NULL")
     stamp = F.expr("CASE WHEN when RLIKE '^  when: [+-]?[0-9]+$' THEN try_cast(substring(when, 9) AS BIGINT) END")
     numbered = numbered.withColumn("stamp", F.struct("line", stamp.alias("ts")))
-    return numbered.groupBy(file, "island").agg(
-        F.min(F.when(F.col("opens"), F.col("line"))).alias("line"),
+    found = numbered.groupBy(file, "island").agg(
         F.max_by("stamp", F.when(F.col("when").isNotNull(), F.col("line"))).getField("ts").alias("ts"),
         F.max("command").alias("command"),
-    ).drop("island")
+    )
+    return found.select(file, F.col("island").alias("line"), "ts", "command")
 
 
 def text_pieces(lines: DataFrame, raw: str = "raw") -> DataFrame:
