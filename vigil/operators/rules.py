@@ -16,6 +16,8 @@ KINDS = ("ignore", "check", "path", "deep_ignore", "deep_check", "deep_path")
 MATCH_KINDS = {"exact:": "exact", "prefix:": "prefix", "substr:": "substring"}
 #: Up to this many rules are a branch of the plan each; more are one constant array.
 FOLDED = 32
+#: Up to this many rules of a table are broadcast; more are joined by GRAM first characters.
+BROADCAST, GRAM = 1_000, 4
 _TRIM = " \t\r\n"
 
 
@@ -93,13 +95,29 @@ def matches_any(text: Column, rules: list[tuple[str, str]]) -> Column:
     return reduce(lambda a, b: a | b, [matches(text, m, p) for m, p in rules], F.lit(False))
 
 
+def by_gram(entries: DataFrame, rules: DataFrame, text: str) -> DataFrame:
+    """Each entry with each rule (match_kind, pattern) that it matches, by an
+    equi-join: a rule has one key, the first characters of its pattern, and a
+    text all keys that such a pattern inside it, or at its start, can have."""
+    body = F.col(text)
+    key = F.concat(F.when(F.col("match_kind") == "substring", "*").otherwise("^"), F.left("pattern", F.lit(GRAM)))
+    starts = F.transform(F.sequence(F.lit(1), F.lit(GRAM)), lambda n: F.concat(F.lit("^"), F.left(body, n)))
+    piece = lambda n: F.transform(F.sequence(F.lit(1), F.length(body)), lambda at: F.concat(F.lit("*"), F.substring(body, at, n)))
+    inside = [piece(F.lit(n)) for n in range(1, GRAM + 1)]
+    texts = entries.where(F.length(body) > 0).withColumn("_gram", F.explode(F.array_distinct(F.concat(starts, *inside))))
+    fit = matches_columns(body, F.col("match_kind"), F.col("pattern"))
+    return texts.join(rules.withColumn("_gram", key), "_gram").where(fit).drop("_gram")
+
+
 def anti_match(entries: DataFrame, rules: DataFrame, text: str = "command") -> DataFrame:
-    """Entries that no rule of the table matches. The rules are broadcast if
-    they are few enough; a theta anti-join has no key to shuffle on."""
-    slim = rules.select(F.col("match_kind").alias("_match_kind"), F.col("pattern").alias("_pattern"))
-    if slim.count() <= 100_000:
-        slim = F.broadcast(slim)
-    return entries.join(slim, matches_columns(F.col(text), F.col("_match_kind"), F.col("_pattern")), "left_anti")
+    """Entries that no rule of the table matches; null texts stay. Few rules
+    are broadcast; more meet the texts by their first characters."""
+    slim = rules.select("match_kind", "pattern")
+    if slim.count() > BROADCAST:
+        hit = by_gram(entries.select(F.col(text).alias("_text")), slim.distinct(), "_text").select("_text").distinct()
+        return entries.join(hit, F.col(text) == F.col("_text"), "left_anti")
+    slim = slim.select(F.col("match_kind").alias("_match_kind"), F.col("pattern").alias("_pattern"))
+    return entries.join(F.broadcast(slim), matches_columns(F.col(text), F.col("_match_kind"), F.col("_pattern")), "left_anti")
 
 
 _TOKEN = r"^[A-Za-z0-9._/\-]*"

@@ -35,28 +35,44 @@ def rule_findings(command: Column, found: Column, rules: list[tuple[str, str]])
     return F.transform(tokens, row)
 
 
-def scan(entries: DataFrame, rules: list[tuple] | None = None, threshold: float = fixed.ENTROPY_THRESHOLD, deep: bool = False, registry=None, redact: bool = True) -> DataFrame:
-    """Findings of ``entries`` (any columns, with command): the entry's columns
-    and ord, det_type, token, entropy, score, severity_rank, severity,
-    match_start, match_len, recommendation, and with ``redact`` redacted,
-    redacted_start, redacted_len. Ignored severities are included, as they take
-    part in masking; ``visible`` filters. Null commands have no findings. Rules
-    are constants of the plan, however many a user's files hold."""
+def _rules_of(rules: list[tuple] | None, deep: bool) -> tuple[list, list]:
+    """(ignore rules, check rules)."""
     rules = R.default_rules() if rules is None else rules
-    ignore = R.of_kind(rules, "ignore", *(["deep_ignore"] if deep else []))
-    check = R.of_kind(rules, "check", *(["deep_check"] if deep else []))
+    return R.of_kind(rules, "ignore", *(["deep_ignore"] if deep else [])), R.of_kind(rules, "check", *(["deep_check"] if deep else []))
+
+
+def may_hold(command: Column, rules: list[tuple] | None = None, deep: bool = False, registry=None) -> Column:
+    """Whether a command can have findings at all, by tests that cost little."""
+    ignore, check = _rules_of(rules, deep)
+    live = command.isNotNull() & ~R.matches_any(command, ignore)
+    return live if registry else live & (triggers(command) | R.matches_any(command, check))
+
+
+def detected(entries: DataFrame, rules: list[tuple] | None = None, threshold: float = fixed.ENTROPY_THRESHOLD, deep: bool = False, registry=None) -> DataFrame:
+    """Those of ``entries`` that may hold findings, with the array ``_found`` of them."""
+    _, check = _rules_of(rules, deep)
     command = F.col("command")
     own = entries.columns
-    live = entries.where(command.isNotNull() & ~R.matches_any(command, ignore))
-    wanted = R.matches_any(command, check) if registry else triggers(command) | R.matches_any(command, check)
-    live = live.where(F.lit(True) if registry else wanted)
+    live = entries.where(may_hold(command, rules, deep, registry))
     # Each array is a column of its own: inside a lambda it would be worked out again for every element.
     ship_package(entries.sparkSession)
     live = live.select(*own, candidates(command, registry).alias("_candidates"))
     live = live.select(*own, first_by_token(F.col("_candidates")).alias("_first"))
     live = live.withColumn("_bits", entropies(F.transform("_first", lambda c: c["token"])))
     live = live.select(*own, scored(F.col("_first"), F.col("_bits"), threshold).cast(FOUND).alias("_scored"))
-    live = live.select(*own, F.concat("_scored", rule_findings(command, F.col("_scored"), check).cast(FOUND)).alias("_found"))
+    return live.select(*own, F.concat("_scored", rule_findings(command, F.col("_scored"), check).cast(FOUND)).alias("_found"))
+
+
+def scan(entries: DataFrame, rules: list[tuple] | None = None, threshold: float = fixed.ENTROPY_THRESHOLD, deep: bool = False, registry=None, redact: bool = True) -> DataFrame:
+    """Findings of ``entries`` (any columns, with command): the entry's columns
+    and ord, det_type, token, entropy, score, severity_rank, severity,
+    match_start, match_len, recommendation, and with ``redact`` redacted,
+    redacted_start, redacted_len. Ignored severities are included, as they take
+    part in masking; ``visible`` filters. Null commands have no findings. Rules
+    are constants of the plan, however many a user's files hold."""
+    command = F.col("command")
+    own = entries.columns
+    live = detected(entries, rules, threshold, deep, registry)
     # The outer form, as the plain one would let the optimizer push a test of the
     # array's size below the projections and work everything out many times over.
     rows = live.select(*own, F.transform("_found", lambda f: f["token"]).alias("_tokens"), F.posexplode_outer("_found").alias("ord", "_f"))
@@ -86,9 +102,10 @@ def match_rules(entries: DataFrame, rules: DataFrame) -> DataFrame:
     """One row for each entry and matching rule of a table, with the rule's
     ord and the token grown around the pattern."""
     slim = rules.select("match_kind", "pattern", F.col("ord").alias("rule_ord"))
-    if slim.count() <= 100_000:
-        slim = F.broadcast(slim)
-    joined = entries.join(slim, R.matches_columns(F.col("command"), F.col("match_kind"), F.col("pattern")))
+    if slim.count() > R.BROADCAST:
+        joined = R.by_gram(entries, slim, "command")
+    else:
+        joined = entries.join(F.broadcast(slim), R.matches_columns(F.col("command"), F.col("match_kind"), F.col("pattern")))
     return joined.withColumn("token", R.rule_token(F.col("command"), F.col("match_kind"), F.col("pattern")))
 
 
