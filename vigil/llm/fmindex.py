@@ -75,8 +75,9 @@ class FMIndex:
     """Wavelet-tree ranks over the Burrows-Wheeler transform, and every
     ``step``-th suffix position (with those that follow a separator)."""
 
-    def __init__(self, symbols: np.ndarray, step: int = 16):
-        order = suffix_array(symbols)
+    def __init__(self, symbols: np.ndarray, step: int = 16, order: np.ndarray | None = None):
+        """order: the suffix array, where the caller has it."""
+        order = suffix_array(symbols) if order is None else order
         last = symbols[order - 1]
         self.length = len(symbols)
         size = int(symbols.max()) + 1

@@ -214,10 +214,36 @@ FROM calls LEFT JOIN chain ON chain.conv_id = calls.conv_id AND chain.turn = cal
 """
 
 
+def op13_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the passages of 13 words that an earlier one holds."""
+    from vigil.llm.repeats import SubstringDedup
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = SubstringDedup(spark, width=13).remove(docs)
+    return found.select("doc_id", "repeats.n_words", "repeats.n_removed", F.sha2("repeats.kept", 256).alias("kept_sha256"))
+
+
+OP13_SQL = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), win AS (
+  SELECT doc_id, i, array_to_string(w[i : i + 12], ' ') AS words FROM d, unnest(range(1, len(w) - 11)) AS t(i)
+), seen AS (
+  SELECT doc_id, i, min(doc_id) OVER (PARTITION BY words) < doc_id AS again FROM win
+), gone AS (
+  SELECT doc_id, list_distinct(flatten(list(range(i, i + 13)))) AS at FROM seen WHERE again GROUP BY doc_id
+), left_over AS (
+  SELECT d.doc_id, len(w) AS n, CASE WHEN gone.at IS NULL THEN w ELSE list_filter(w, lambda x, i: NOT list_contains(gone.at, i)) END AS kept
+  FROM d LEFT JOIN gone ON gone.doc_id = d.doc_id
+)
+SELECT doc_id, CAST(n AS BIGINT) AS n_words, CAST(n - len(kept) AS BIGINT) AS n_removed, sha256(array_to_string(kept, ' ')) AS kept_sha256 FROM left_over
+"""
+
+
 def queries() -> dict:
     """One query for each operator, and the links of op10's calls."""
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)} | {"chat_tool_links": chat_tool_links}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc": OP1_SQL, "op10_chat": OP10_SQL, "chat_tool_links": CHAT_TOOL_LINKS_SQL}
+    return {"op1_warc": OP1_SQL, "op10_chat": OP10_SQL, "chat_tool_links": CHAT_TOOL_LINKS_SQL, "op13_substring_dedup": OP13_SQL}
