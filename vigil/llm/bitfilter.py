@@ -20,10 +20,9 @@ def build(spark: SparkSession, hashes: DataFrame, column: str):
     size = min(MAX_WORDS, 1 << max(8, (count // 4).bit_length()))
     slot = F.pmod(F.col(column), F.lit(size)).cast("int")
     bit = F.expr(f"shiftleft(1L, cast(pmod(shiftright(`{column}`, 40), 64) AS INT))")
-    rows = hashes.select(slot.alias("slot"), bit.alias("bit")).groupBy("slot").agg(F.bit_or("bit").alias("bits")).collect()
+    rows = hashes.select(slot.alias("slot"), bit.alias("bit")).groupBy("slot").agg(F.bit_or("bit").alias("bits")).toArrow()
     flags = np.zeros(size, np.int64)
-    for r in rows:  # at most ``size`` rows
-        flags[r["slot"]] = r["bits"]
+    flags[np.asarray(rows["slot"])] = np.asarray(rows["bits"])  # at most ``size`` rows
     return spark.sparkContext.broadcast(flags)
 
 
