@@ -214,6 +214,19 @@ FROM calls LEFT JOIN chain ON chain.conv_id = calls.conv_id AND chain.turn = cal
 """
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector's whitened components, a row for each."""
+    from vigil.llm.whitening import Whitener
+
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    model = Whitener(spark, components=32).fit(rows)
+    shares = F.array(*[F.lit(float(e) / model.trace) for e in model.values]).cast("array<double>")
+    each = model.apply(rows).select("vec_id", "white.deviation", F.posexplode(F.arrays_zip(F.col("white.values").alias("whitened"), shares.alias("explained"))).alias("at", "c"))
+    return each.select(
+        "vec_id", (F.col("at") + 1).alias("component"), F.lit(model.n).cast("long").alias("n"), "deviation", "c.whitened", "c.explained", F.lit(model.identity_error).alias("identity_error")
+    )
+
+
 def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hard negatives of every hundredth vector, from all vectors."""
     from vigil.llm.hard_negatives import HardNegatives
