@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from vigil.operators import fix, lines
 from vigil.operators import rules as R
@@ -63,23 +64,102 @@ def test_fish_entries_run_on_over_blocks(spark, monkeypatch, block):
     assert {(r.file, r.line): (r.ts, r.command) for r in lines.fish_entries(df).collect()} == want
 
 
-def test_large_rule_tables_give_what_small_ones_give(spark, monkeypatch):
-    draw = random.Random(5)
-    word = lambda n: "".join(draw.choice("abé ") for _ in range(n))
+def _words(seed):
+    draw = random.Random(seed)
+    return draw, lambda n: "".join(draw.choice("abé ") for _ in range(n))
+
+
+def _fits(kind, text, pattern):
+    return text == pattern if kind == "exact" else text.startswith(pattern) if kind == "prefix" else pattern in text
+
+
+def test_rule_tables_of_any_size_give_what_plain_tests_give(spark, monkeypatch):
+    draw, word = _words(5)
     texts = [word(draw.randrange(0, 9)) for _ in range(200)] + [None, "", "abab"]
     rules = [("check", draw.choice(("exact", "prefix", "substring")), word(draw.randrange(1, 7)), i) for i in range(60)]
-    table = R.rule_table(spark, [*rules, ("check", "substring", "ab", 60), ("check", "substring", "ab", 61)])
+    rules += [("check", "substring", "ab", 60), ("check", "substring", "ab", 61)]
+    table = R.rule_table(spark, rules)
     entries = spark.createDataFrame(list(enumerate(texts)), "key long, command string")
-
-    def both():
-        hits = sorted(tuple(r) for r in match_rules(entries, table).select("key", "rule_ord", "token").collect())
-        left = sorted(r.key for r in R.anti_match(entries, table.where("ord < 20")).select("key").collect())
-        return hits, left
-
-    small = both()
-    assert small[0] and 0 < len(small[1]) < len(texts)
-    monkeypatch.setattr(R, "BROADCAST", 0)
-    assert both() == small
+    want = sorted((k, o) for k, t in enumerate(texts) if t is not None for _, m, p, o in rules if _fits(m, t, p))
+    left = [k for k, t in enumerate(texts) if t is None or not any(_fits(m, t, p) for _, m, p, o in rules if o < 20)]
+    for cells in (64 << 20, 1000):  # one pass, and several
+        monkeypatch.setattr(R, "PASS_CELLS", cells)
+        got = match_rules(entries, table)
+        assert sorted((r.key, r.rule_ord) for r in got.collect()) == want
+        assert all(r.pattern in r.token for r in got.collect())
+        assert sorted(r.key for r in R.anti_match(entries, table.where("ord < 20")).select("key").collect()) == left
+    assert match_rules(entries, table.where("ord < 0")).count() == 0 and R.anti_match(entries, table.where("ord < 0")).count() == len(texts)
+
+
+def test_automata_find_what_plain_tests_find(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    from vigil.functions import automaton as A
+
+    for seed in range(60):
+        draw, word = _words(seed)
+        kinds = ("exact", "prefix", "substring")
+        rules = [(draw.choice(kinds), word(draw.randrange(0 if seed % 5 == 0 else 1, 6))) for _ in range(draw.randrange(1, 40))]
+        texts = [word(draw.randrange(0, 40)) for _ in range(20)]
+        monkeypatch.setattr(A, "LANE", draw.choice((4, 4096)))
+        raw, bounds = A.buffers(pa.array(["skipped", *texts]).slice(1))
+        got = [pair for b in A.rule_blocks(rules, draw.choice((1, 2000, 1 << 20))) for pair in zip(*map(np.ndarray.tolist, b.matches(raw, bounds)))]
+        assert sorted(got) == [(i, j) for i, t in enumerate(texts) for j, (m, p) in enumerate(rules) if _fits(m, t, p)]
+
+
+@pytest.mark.parametrize("count", [1_001, 10_000, 100_000])
+def test_many_rules(count):
+    import hashlib
+
+    import pyarrow as pa
+
+    from vigil.functions import automaton as A
+
+    name = lambda i: hashlib.md5(str(i).encode()).hexdigest()
+    rules = [(("exact", "prefix", "substring")[i % 3], name(i)[: 6 + i % 20]) for i in range(count)]
+    texts = [f"{'' if i % 2 else 'echo '}{name(i)} {name(i + 1)}" for i in range(0, 3000, 3)] + [rules[0][1], rules[3][1]]
+    got = A.matching(pa.array(texts), list(A.rule_blocks(rules))).to_pylist()
+    by_size = {}
+    for j, (m, p) in enumerate(rules):
+        by_size.setdefault((m, len(p)), {}).setdefault(p, []).append(j)
+    for t, found in zip(texts, got):
+        want = []
+        for (m, n), known in by_size.items():
+            spots = [t] if m == "exact" and len(t) == n else [t[:n]] if m == "prefix" else {t[k : k + n] for k in range(len(t) - n + 1)} if m == "substring" else []
+            want += [j for s in spots for j in known.get(s, ())]
+        assert found == sorted(want)
+
+
+def test_masks_never_miss_a_detector(spark):
+    """Whatever a detector finds, its stage's bit is set."""
+    from vigil.functions import fixed
+    from vigil.functions.detectors import REGISTRY
+    from vigil.functions.triggers import seen
+
+    draw = random.Random(8)
+    parts = [*fixed.KEY_MARKERS, *fixed.SSH_ALGORITHMS, *fixed.AUTH_PREFIXES, *fixed.USERINFO_FLAGS, *fixed.SECRET_FLAGS, *[p for p, _ in fixed.PREFIX_HINTS]]
+    parts += ["-p", "=", "PASSWORD=", "api_Key=", "a://u:", "a://u:pw1@h", "-u a:b1 ", "@", " ", '"', "'", "$X", "é", "AAAAbbbb1234", "-", "_", ":", "http://h"]
+    texts = ["".join(draw.choice(parts) for _ in range(draw.randrange(0, 7))) for _ in range(1500)]
+    rows = spark.createDataFrame([(t,) for t in texts], "command string")
+    command = F.col("command")
+    found = rows.select(seen(command, [], []).alias("s"), *[F.size(detect(command)).alias(stage) for stage, detect in REGISTRY]).collect()
+    fired = [0] * len(REGISTRY)
+    for r in found:
+        for i, (stage, _) in enumerate(REGISTRY):
+            assert not r[stage] or r.s.mask >> i & 1
+            fired[i] += r[stage] > 0
+    assert min(fired) > 5
+
+
+def test_rules_of_a_scan_however_many(spark):
+    """Ignore and check rules as automata, also beyond what a plan would fold."""
+    from vigil.operators.scan import scan
+
+    entries = spark.createDataFrame([(1, "echo zz7_secret here"), (2, "ls zz7_ zz8_"), (3, "skip500 zz7_"), (4, None), (5, "ls")], "key long, command string")
+    rules = [("ignore", "prefix", f"skip{i}", i) for i in range(600)] + [("check", "substring", f"zz{i}_", 600 + i) for i in range(600)]
+    found = scan(entries, rules, redact=False).select("key", "ord", "token", "det_type").collect()
+    assert sorted(map(tuple, found)) == [(1, 0, "zz7_secret", "config_check"), (2, 0, "zz7_", "config_check"), (2, 1, "zz8_", "config_check")]
 
 
 def test_gate_judges_every_row_by_itself(spark):

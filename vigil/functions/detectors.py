@@ -153,16 +153,12 @@ REGISTRY: list[tuple[str, Callable[[Column], Column]]] = [
 ]
 
 
-def triggers(command: Column) -> Column:
-    """Cheap necessary condition for any built-in detector: one pass of a
-    regular expression spares clean commands the array expressions."""
-    literal = [*fixed.KEY_MARKERS, *[a + " " for a in fixed.SSH_ALGORITHMS], *fixed.AUTH_PREFIXES, *fixed.USERINFO_FLAGS, *fixed.SECRET_FLAGS, "-p"]
-    assigned = F.contains(command, F.lit("=")) & is_sensitive(command)
-    return command.rlike(any_of(literal)) | assigned | (F.contains(command, F.lit("://")) & F.contains(command, F.lit("@"))) | command.rlike(
-        rf"(?<![{NAME}])(?:{any_of(p for p, _ in fixed.PREFIX_HINTS)})"
-    )
-
-
-def candidates(command: Column, registry=None) -> Column:
-    """All candidates of a command, in stage order, repeats included."""
-    return F.concat(*[detect(command) for _, detect in (registry or REGISTRY)])
+def candidates(command: Column, registry=None, mask: Column | None = None) -> Column:
+    """All candidates of a command, in stage order, repeats included. With the
+    ``mask`` of ``triggers`` a built-in detector runs only where its stage can
+    fire, and others on every command that isn't ignored."""
+    found = [detect(command) for _, detect in (registry or REGISTRY)]
+    if mask is not None:
+        bits = [1 << len(REGISTRY) + 1] * len(found) if registry else [1 << i for i in range(len(found))]
+        found = [F.when(mask.bitwiseAND(F.lit(bit)) != 0, f).otherwise(F.array().cast(_NONE)) for bit, f in zip(bits, found)]
+    return F.concat(*found)

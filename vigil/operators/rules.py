@@ -2,22 +2,26 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vigil.functions import fixed
+from vigil.functions.automaton import matching, matching_any, rule_blocks
 from vigil.functions.text import table
 from vigil.schema import HINT, RULE
+from vigil.session import materialize, ship_package
 
 #: Groups in the order in which they are compiled.
 KINDS = ("ignore", "check", "path", "deep_ignore", "deep_check", "deep_path")
 MATCH_KINDS = {"exact:": "exact", "prefix:": "prefix", "substr:": "substring"}
-#: Up to this many rules are a branch of the plan each; more are one constant array.
+#: Up to this many rules are a branch of the plan each; more are automata.
 FOLDED = 32
-#: Up to this many rules of a table are broadcast; more are joined by GRAM first characters.
-BROADCAST, GRAM = 1_000, 4
+#: Cells of the automata that one pass over the texts walks; further rules take further passes.
+PASS_CELLS = 64 << 20
 _TRIM = " \t\r\n"
 
 
@@ -75,49 +79,79 @@ def matches(text: Column, match_kind: str, pattern: str) -> Column:
     return {"exact": text == literal, "prefix": F.startswith(text, literal), "substring": F.contains(text, literal)}[match_kind]
 
 
-def matches_columns(text: Column, match_kind: Column, pattern: Column) -> Column:
-    """``matches`` where the rule comes in columns."""
-    return (
-        ((match_kind == "exact") & (text == pattern))
-        | ((match_kind == "prefix") & F.startswith(text, pattern))
-        | ((match_kind == "substring") & F.contains(text, pattern))
-    )
-
-
 def constant(rules: list[tuple[str, str]]) -> Column:
     """Rules as one constant array of structs (match_kind, pattern)."""
     return table([{"match_kind": m, "pattern": p} for m, p in rules], "match_kind:string,pattern:string")
 
 
+def _walked(text: Column, rules: list[tuple[str, str]]) -> Column:
+    """Whether any rule matches, by automata."""
+    spark = SparkSession.active()
+    ship_package(spark)
+    blocks = spark.sparkContext.broadcast(list(rule_blocks(rules)))
+    return F.arrow_udf(lambda t: matching_any(t, blocks.value), "boolean")(text)
+
+
 def matches_any(text: Column, rules: list[tuple[str, str]]) -> Column:
     if len(rules) > FOLDED:
-        return F.exists(constant(rules), lambda r: matches_columns(text, r["match_kind"], r["pattern"]))
+        return _walked(text, rules)
     return reduce(lambda a, b: a | b, [matches(text, m, p) for m, p in rules], F.lit(False))
 
 
-def by_gram(entries: DataFrame, rules: DataFrame, text: str) -> DataFrame:
-    """Each entry with each rule (match_kind, pattern) that it matches, by an
-    equi-join: a rule has one key, the first characters of its pattern, and a
-    text all keys that such a pattern inside it, or at its start, can have."""
-    body = F.col(text)
-    key = F.concat(F.when(F.col("match_kind") == "substring", "*").otherwise("^"), F.left("pattern", F.lit(GRAM)))
-    starts = F.transform(F.sequence(F.lit(1), F.lit(GRAM)), lambda n: F.concat(F.lit("^"), F.left(body, n)))
-    piece = lambda n: F.transform(F.sequence(F.lit(1), F.length(body)), lambda at: F.concat(F.lit("*"), F.substring(body, at, n)))
-    inside = [piece(F.lit(n)) for n in range(1, GRAM + 1)]
-    texts = entries.where(F.length(body) > 0).withColumn("_gram", F.explode(F.array_distinct(F.concat(starts, *inside))))
-    fit = matches_columns(body, F.col("match_kind"), F.col("pattern"))
-    return texts.join(rules.withColumn("_gram", key), "_gram").where(fit).drop("_gram")
+def _passes(rules: DataFrame, columns: list[str]) -> Iterator[list]:
+    """Rows of a rule table in order, streamed to the driver in parts that one
+    pass over the texts can walk."""
+    held, cells = [], 0
+    for row in rules.select("match_kind", "pattern", *columns).orderBy(*columns, "match_kind", "pattern").toLocalIterator():
+        held.append(row)
+        cells += (len(row["pattern"].encode()) + 1) * 128
+        if cells >= PASS_CELLS:
+            yield held
+            held, cells = [], 0
+    if held:
+        yield held
 
 
 def anti_match(entries: DataFrame, rules: DataFrame, text: str = "command") -> DataFrame:
-    """Entries that no rule of the table matches; null texts stay. Few rules
-    are broadcast; more meet the texts by their first characters."""
-    slim = rules.select("match_kind", "pattern")
-    if slim.count() > BROADCAST:
-        hit = by_gram(entries.select(F.col(text).alias("_text")), slim.distinct(), "_text").select("_text").distinct()
-        return entries.join(hit, F.col(text) == F.col("_text"), "left_anti")
-    slim = slim.select(F.col("match_kind").alias("_match_kind"), F.col("pattern").alias("_pattern"))
-    return entries.join(F.broadcast(slim), matches_columns(F.col(text), F.col("_match_kind"), F.col("_pattern")), "left_anti")
+    """Entries that no rule of the table matches; null texts stay. The rules
+    become automata, which are broadcast and walked over the texts; where they
+    are too many for one pass, what is left goes through the next."""
+    spark = entries.sparkSession
+    usable = rules.where("match_kind IS NOT NULL AND pattern IS NOT NULL").select("match_kind", "pattern").distinct()
+    for n, part in enumerate(_passes(usable, [])):
+        if n:
+            entries = materialize(spark, entries, "unmatched")
+        hit = _walked(F.col(text), [(r["match_kind"], r["pattern"]) for r in part])
+        entries = entries.where(~F.coalesce(hit, F.lit(False)))
+    return entries
+
+
+def _rows_hit(text: Column, rules: list) -> Column:
+    """The rules (match_kind, pattern, rule_ord) that match, in order."""
+    spark = SparkSession.active()
+    ship_package(spark)
+    columns = [pa.array([r[c] for r in rules], k) for c, k in (("match_kind", pa.string()), ("pattern", pa.string()), ("rule_ord", pa.int64()))]
+    table = pa.StructArray.from_arrays(columns, ["match_kind", "pattern", "rule_ord"])
+    sent = spark.sparkContext.broadcast((list(rule_blocks([(r["match_kind"], r["pattern"]) for r in rules])), table))
+
+    def hits(texts: pa.Array) -> pa.Array:
+        blocks, table = sent.value
+        numbers = matching(texts, blocks)
+        return pa.ListArray.from_arrays(numbers.offsets, table.take(numbers.values), mask=numbers.is_null())
+
+    return F.arrow_udf(hits, "array<struct<match_kind:string,pattern:string,rule_ord:long>>").asNondeterministic()(text)
+
+
+def match_table(entries: DataFrame, rules: DataFrame, text: str = "command") -> DataFrame:
+    """Each entry with each rule (match_kind, pattern, rule_ord) that it matches."""
+    spark = entries.sparkSession
+    own = entries.columns
+    found = None
+    usable = rules.where("match_kind IS NOT NULL AND pattern IS NOT NULL")
+    for part in _passes(usable, ["rule_ord"]):
+        each = entries.withColumn("_hits", _rows_hit(F.col(text), part)).select(*own, F.inline("_hits"))
+        found = each if found is None else materialize(spark, found, "matched").unionByName(each)
+    return found if found is not None else entries.select(*own, F.lit("").alias("match_kind"), F.lit("").alias("pattern"), F.lit(0).cast("long").alias("rule_ord")).where(F.lit(False))
 
 
 _TOKEN = r"^[A-Za-z0-9._/\-]*"

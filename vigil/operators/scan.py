@@ -1,9 +1,10 @@
 """Entries to findings: one lazy plan without a shuffle.
 
-Ignore rules and a cheap trigger test filter first; detection, first-come
-selection, scoring and rule matches are arrays on the entry's row; only then
-findings become rows. Entropies and masks come from Arrow functions, which only
-rows that pass the trigger test, or have findings, reach.
+One pass over each command's bytes (``functions/triggers.py``) tests all rules
+and says which detectors can find something; commands without any go. Detection,
+first-come selection, scoring and rule matches are arrays on the entry's row;
+only then findings become rows. Entropies and masks come from Arrow functions,
+which only rows that are left, or have findings, reach.
 """
 
 from __future__ import annotations
@@ -12,27 +13,28 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vigil.functions import fixed
-from vigil.functions.detectors import candidates, triggers
+from vigil.functions.detectors import candidates
 from vigil.functions.redact import redact_command
 from vigil.functions.score import first_by_token, scored, severity_name
 from vigil.functions.text import entropies, first_place
+from vigil.functions.triggers import FIRED, LIVE, seen
 from vigil.operators import rules as R
 from vigil.schema import RANK
-from vigil.session import ship_package
 
 FOUND = "array<struct<token:string,det_type:string,entropy:double,score:int,severity_rank:int>>"
 
 
-def rule_findings(command: Column, found: Column, rules: list[tuple[str, str]]) -> Column:
-    """A high finding for each matching rule, unless a detector's high finding
-    has the very token."""
+def rule_findings(command: Column, found: Column, checks: Column, rules: list[tuple[str, str]]) -> Column:
+    """A high finding for each matching rule, by its number in ``checks``, unless
+    a detector's high finding has the very token."""
     if not rules:
         return F.array().cast(FOUND)
     high = F.transform(F.filter(found, lambda f: f["severity_rank"] == 3), lambda f: f["token"])
-    hits = F.filter(R.constant(rules), lambda r: R.matches_columns(command, r["match_kind"], r["pattern"]))
+    table = R.constant(rules)
+    hits = F.transform(checks, lambda n: F.get(table, n))
     tokens = F.filter(F.transform(hits, lambda r: R.rule_token(command, r["match_kind"], r["pattern"])), lambda t: ~F.array_contains(high, t))
     row = lambda t: F.struct(t.alias("token"), F.lit("config_check").alias("det_type"), F.lit(0.0).alias("entropy"), F.lit(7).alias("score"), F.lit(3).alias("severity_rank"))
-    return F.transform(tokens, row)
+    return F.when(F.size(checks) > 0, F.transform(tokens, row).cast(FOUND)).otherwise(F.array().cast(FOUND))
 
 
 def _rules_of(rules: list[tuple] | None, deep: bool) -> tuple[list, list]:
@@ -41,26 +43,25 @@ def _rules_of(rules: list[tuple] | None, deep: bool) -> tuple[list, list]:
     return R.of_kind(rules, "ignore", *(["deep_ignore"] if deep else [])), R.of_kind(rules, "check", *(["deep_check"] if deep else []))
 
 
-def may_hold(command: Column, rules: list[tuple] | None = None, deep: bool = False, registry=None) -> Column:
-    """Whether a command can have findings at all, by tests that cost little."""
+def detected(
+    entries: DataFrame, rules: list[tuple] | None = None, threshold: float = fixed.ENTROPY_THRESHOLD, deep: bool = False, registry=None, everything: bool = False
+) -> DataFrame:
+    """Those of ``entries`` that may hold findings, or with ``everything`` all,
+    with the array ``_found`` of them. Detectors that aren't the built-in ones
+    run on every command that no rule ignores."""
     ignore, check = _rules_of(rules, deep)
-    live = command.isNotNull() & ~R.matches_any(command, ignore)
-    return live if registry else live & (triggers(command) | R.matches_any(command, check))
-
-
-def detected(entries: DataFrame, rules: list[tuple] | None = None, threshold: float = fixed.ENTROPY_THRESHOLD, deep: bool = False, registry=None) -> DataFrame:
-    """Those of ``entries`` that may hold findings, with the array ``_found`` of them."""
-    _, check = _rules_of(rules, deep)
     command = F.col("command")
     own = entries.columns
-    live = entries.where(may_hold(command, rules, deep, registry))
+    live = entries.withColumn("_seen", seen(command, ignore, check)).select(*own, F.col("_seen.mask").alias("_mask"), F.col("_seen.checks").alias("_checks"))
+    bits = F.lit(LIVE if registry else FIRED)
+    if not everything:
+        live = live.where(F.col("_mask").bitwiseAND(bits) != 0)
     # Each array is a column of its own: inside a lambda it would be worked out again for every element.
-    ship_package(entries.sparkSession)
-    live = live.select(*own, candidates(command, registry).alias("_candidates"))
-    live = live.select(*own, first_by_token(F.col("_candidates")).alias("_first"))
+    live = live.select(*own, "_checks", candidates(command, registry, F.col("_mask")).alias("_candidates"))
+    live = live.select(*own, "_checks", first_by_token(F.col("_candidates")).alias("_first"))
     live = live.withColumn("_bits", entropies(F.transform("_first", lambda c: c["token"])))
-    live = live.select(*own, scored(F.col("_first"), F.col("_bits"), threshold).cast(FOUND).alias("_scored"))
-    return live.select(*own, F.concat("_scored", rule_findings(command, F.col("_scored"), check).cast(FOUND)).alias("_found"))
+    live = live.select(*own, "_checks", scored(F.col("_first"), F.col("_bits"), threshold).cast(FOUND).alias("_scored"))
+    return live.select(*own, F.concat("_scored", rule_findings(command, F.col("_scored"), F.col("_checks"), check)).alias("_found"))
 
 
 def scan(entries: DataFrame, rules: list[tuple] | None = None, threshold: float = fixed.ENTROPY_THRESHOLD, deep: bool = False, registry=None, redact: bool = True) -> DataFrame:
@@ -101,11 +102,7 @@ def visible(findings: DataFrame, level: str = "low") -> DataFrame:
 def match_rules(entries: DataFrame, rules: DataFrame) -> DataFrame:
     """One row for each entry and matching rule of a table, with the rule's
     ord and the token grown around the pattern."""
-    slim = rules.select("match_kind", "pattern", F.col("ord").alias("rule_ord"))
-    if slim.count() > R.BROADCAST:
-        joined = R.by_gram(entries, slim, "command")
-    else:
-        joined = entries.join(F.broadcast(slim), R.matches_columns(F.col("command"), F.col("match_kind"), F.col("pattern")))
+    joined = R.match_table(entries, rules.select("match_kind", "pattern", F.col("ord").cast("long").alias("rule_ord")))
     return joined.withColumn("token", R.rule_token(F.col("command"), F.col("match_kind"), F.col("pattern")))
 
 

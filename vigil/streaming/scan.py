@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigil.operators.scan import detected, may_hold, scan, visible
+from vigil.operators.scan import detected, scan, visible
 from vigil.schema import RANK
 from vigil.session import new_path
 
@@ -34,9 +34,8 @@ def gate(commands: DataFrame, rules=None, allow: str = "# allow", deny: str = "#
     marked = F.when(F.endswith(command, F.lit(allow)), True).when(F.endswith(command, F.lit(deny)), False)
     rows = commands.select("key", "command")
     found = F.exists("_found", lambda f: f["severity_rank"] >= max(RANK[level], 1))
-    held = detected(rows, rules).select("key", "command", F.coalesce(marked, ~found).alias("allowed"))
-    free = rows.where(~F.coalesce(may_hold(command, rules), F.lit(False))).select("key", "command", F.coalesce(marked, F.lit(True)).alias("allowed"))
-    return held.unionByName(free)
+    judged = detected(rows, rules, everything=True)
+    return judged.select("key", "command", F.coalesce(marked, ~found, F.lit(True)).alias("allowed"))
 
 
 def gate_stream(commands: DataFrame, sink: Callable[[DataFrame], None], **options):
