@@ -24,7 +24,9 @@ def test_entropy_of_whole_documents(spark, tmp_path):
 
 def test_leaves_of_events(spark, tmp_path):
     props = [json.dumps({"k": 1, "s": "one", "a": ["two", "", {"b": "th\"ree", "n": None}]}), '{"cut', None, '"top"', "{}"]
-    spark.createDataFrame(list(enumerate(props)), "event_id long, props string").coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    rows = [(i, 7, "click", p) for i, p in enumerate(props)] + [(9, 7, None, "{}")]
+    spark.createDataFrame(rows, "event_id long, user_id long, event_type string, props string").coalesce(1).write.mode("overwrite").parquet(f"{tmp_path}/events.parquet")
     got = sorted(tuple(r) for r in QUERIES["json_leaves_events"](spark, str(tmp_path)).collect())
-    assert got == [(0, "one"), (0, 'th"ree'), (0, "two"), (3, "top")]
+    own = lambda i: [(i, f"7-{i}"), (i, "click"), (i, "u7")]
+    assert got == sorted([(0, "one"), (0, 'th"ree'), (0, "two"), (3, "top"), *own(0), *own(3), *own(4)])
     assert difference(spark, str(tmp_path), "json_leaves_events", QUERIES["json_leaves_events"], ORACLES["json_leaves_events"]) is None

@@ -1,32 +1,24 @@
-"""String leaves of JSON text and malformed records, as expressions."""
+"""String leaves of JSON text and malformed records, by the structural index."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vigil.functions import json_index
+from vigil.session import ship_package
+
 
 def malformed(record: str) -> Column:
-    """Whether a text is no JSON (a repeated key counts as malformed)."""
-    return F.col(record).isNotNull() & F.try_parse_json(F.col(record)).isNull()
+    """Whether a text is no JSON (a repeated key and half of a surrogate pair
+    count as malformed); null texts aren't malformed."""
+    ship_package(SparkSession.active())
+    return F.coalesce(F.arrow_udf(lambda r: json_index.malformed(r), "boolean")(F.col(record)), F.lit(False))
 
 
 def string_leaves(df: DataFrame, record: str, keys: list[str]) -> DataFrame:
-    """(keys, leaf): every string in the records that isn't empty; object keys
-    aren't leaves. Recursion goes one level of nesting a step."""
-    spark = df.sparkSession
-    rows = df.select(*keys, F.try_parse_json(F.col(record)).alias("v")).where("v IS NOT NULL")
-    names = ", ".join(f"`{k}`" for k in keys)
-    under = ", ".join(f"w.`{k}`" for k in keys)
-    text = f"""
-        WITH RECURSIVE walk MAX RECURSION LEVEL 1000 AS (
-          SELECT {names}, v FROM {{rows}}
-          UNION ALL
-          SELECT {under}, e.value FROM walk w, LATERAL variant_explode(w.v) AS e
-          WHERE schema_of_variant(w.v) LIKE 'OBJECT<%' OR schema_of_variant(w.v) LIKE 'ARRAY<%'
-        )
-        SELECT {names}, CAST(v AS STRING) AS leaf FROM walk WHERE schema_of_variant(v) = 'STRING'
-    """
-    # The default row limit guards against runaway recursion; this walk ends with the input.
-    spark.conf.set("spark.sql.cteRecursionRowLimit", -1)
-    return spark.sql(text, rows=rows).where("leaf <> ''")
+    """(keys, leaf): every string in the records that isn't empty, however deep;
+    object keys aren't leaves, and malformed records have none."""
+    ship_package(df.sparkSession)
+    leaves = F.arrow_udf(lambda r: json_index.string_leaves(r), "array<string>")(F.col(record))
+    return df.select(*keys, F.explode(leaves).alias("leaf"))

@@ -3,6 +3,8 @@ that both engines read alike."""
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,8 +48,19 @@ FROM pages
 """
 
 
+#: A message's text with what JSON must escape.
+TEXT = "coalesce(text, '') || chr(34) || chr(92) || chr(10) || chr(9) || turn"
+
+
+def quoted_json(sql: str, spark: bool) -> str:
+    """SQL in which QUOTED(x) stands for a text as a JSON string, in either engine."""
+    made = r"substr(to_json(array(\1)), 2, length(to_json(array(\1))) - 2)" if spark else r"CAST(to_json(\1) AS VARCHAR)"
+    return re.sub(r"QUOTED\((\w+)\)", made, sql)
+
+
 def over(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     """Run SQL over the tables it names, without registering views that last."""
+    sql = quoted_json(sql, spark=True)
     names = ("orders", "conversations", "pages", "documents", "events")
     used = {n: spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in names if f"FROM {n}" in sql}
     text = sql.replace("{", "{{").replace("}", "}}")

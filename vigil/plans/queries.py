@@ -17,7 +17,7 @@ from vigil.operators import deep, fix, lines
 from vigil.operators import rules as R
 from vigil.operators.scan import match_rules as match_with
 from vigil.operators.scan import scan, severity_counts, visible
-from vigil.plans.corpora import COMMANDS, PATHS, PIECES, commands, over, pieces
+from vigil.plans.corpora import COMMANDS, PATHS, PIECES, TEXT, commands, over, pieces, quoted_json
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -476,25 +476,35 @@ def root_longest_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return deep.root_of(over(spark, sf_dir, PATHS).select("path").distinct(), roots)
 
 
-_NESTED = """SELECT conv_id, turn, '{"role": "' || role || '", "at": {"conv": ' || conv_id || ', "names": ["n' || conv_id || '", "t' || turn || '", ""]}, "deep": [{"k": [["x' || (conv_id + turn) || '"]]}]}' AS record FROM conversations"""
+#: Messages inside arrays inside objects, with what JSON must escape; every seventh record is cut.
+_NESTED = f"""SELECT conv_id, turn, CASE WHEN (conv_id + turn) % 7 = 6 THEN left(record, length(record) - 1) ELSE record END AS record FROM (
+  SELECT conv_id, turn, '{{"role": ' || QUOTED(role) || ', "at": {{"conv": ' || conv_id || ', "names": ["n' || conv_id || '", ' || QUOTED(t) || ', ""]}}, "deep": [{{"k": [[[[[[' || QUOTED(t) || ', 1e400]]]]]]}}]}}' AS record
+  FROM (SELECT conv_id, turn, role, {TEXT} AS t FROM conversations WHERE role IS NOT NULL) a) b"""
+_LEAVES = "json_tree(CASE WHEN json_valid(record) THEN record END) t WHERE t.type = 'VARCHAR') WHERE json_extract_string(atom, '$') <> ''"
 
 
-@query(
-    f"""SELECT conv_id, turn, leaf FROM (SELECT conv_id, turn, unnest([role, 'n' || conv_id, 't' || turn, 'x' || (conv_id + turn)]) AS leaf FROM conversations WHERE role IS NOT NULL) WHERE leaf <> ''"""
-)
+@query(f"SELECT conv_id, turn, json_extract_string(atom, '$') AS leaf FROM (SELECT conv_id, turn, t.atom FROM ({quoted_json(_NESTED, spark=False)}), {_LEAVES}")
 def json_leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All string leaves of nested records, by a recursive walk over variants."""
+    """All string leaves of nested records that hold the messages' texts."""
     from vigil.operators.json_tree import string_leaves
 
-    return string_leaves(over(spark, sf_dir, _NESTED).where("record IS NOT NULL"), "record", ["conv_id", "turn"]).select("conv_id", "turn", "leaf")
+    return string_leaves(over(spark, sf_dir, _NESTED), "record", ["conv_id", "turn"])
+
 
+#: Properties of events with strings beside their numbers.
+_PROPS = """SELECT event_id, '{"own": ' || props || ', "type": ' || QUOTED(event_type) || ', "user": ["u' || user_id || '", {"' || event_type || '": "' || user_id || '-' || event_id || '"}]}' AS record
+  FROM events WHERE event_type IS NOT NULL AND props IS NOT NULL"""
 
-@query("SELECT event_id, json_extract_string(atom, '$') AS leaf FROM (SELECT event_id, t.atom FROM events, json_tree(CASE WHEN json_valid(props) THEN props END) t WHERE t.type = 'VARCHAR') WHERE json_extract_string(atom, '$') <> ''")
+
+@query(
+    f"""SELECT event_id, json_extract_string(atom, '$') AS leaf FROM (SELECT event_id, t.atom FROM ({quoted_json(_PROPS, spark=False)}), {_LEAVES}"""
+)
 def json_leaves_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """String leaves of the events' properties; numbers aren't leaves."""
+    """String leaves of the events' properties beside their types and users;
+    numbers aren't leaves."""
     from vigil.operators.json_tree import string_leaves
 
-    return string_leaves(spark.read.parquet(f"{sf_dir}/events.parquet"), "props", ["event_id"])
+    return string_leaves(over(spark, sf_dir, _PROPS), "record", ["event_id"])
 
 
 _EVENTS = "SELECT o_orderkey AS key, ['user.typed', 'prompt.x', 'assistant.reasoning', 'assistant.said', 'tool.start', 'tool.request', 'tool.done', 'session'][1 + o_orderkey % 8] AS kind FROM orders"
@@ -516,10 +526,11 @@ def content_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return deep.scanned_sources(pieces(spark, sf_dir)).select("file", "line", "source")
 
 
-_RECORDS = """SELECT conv_id, turn, CASE WHEN (conv_id * 31 + turn) % 11 = 0 THEN '{"role": "' || role ELSE '{"role": "' || role || '", "n": ' || turn || '}' END AS record FROM conversations"""
+_RECORDS = f"""SELECT conv_id, turn, '{{"role": ' || QUOTED(role) || ', "text": ' || QUOTED(t) || CASE WHEN (conv_id * 31 + turn) % 11 = 0 THEN '' WHEN (conv_id + turn) % 13 = 0 THEN ', "n": 0' || turn || '}}' ELSE ', "n": ' || turn || '}}' END AS record
+  FROM (SELECT conv_id, turn, role, {TEXT} AS t FROM conversations) a"""
 
 
-@query(f"SELECT conv_id, count(*) AS records, count(*) FILTER (NOT json_valid(record)) AS malformed FROM ({_RECORDS}) WHERE record IS NOT NULL GROUP BY conv_id")
+@query(f"SELECT conv_id, count(*) AS records, count(*) FILTER (NOT json_valid(record)) AS malformed FROM ({quoted_json(_RECORDS, spark=False)}) WHERE record IS NOT NULL GROUP BY conv_id")
 def malformed_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Malformed records of each file, among all."""
     from vigil.operators.json_tree import malformed

@@ -1,16 +1,22 @@
-"""Bytes of history files and transcripts to records, in plain Python.
+"""Bytes of history files and transcripts to records.
 
 The file reader runs these where a table's native expressions can't reach:
-dotfiles, line numbers, and JSON leaves in the order they were written.
+dotfiles, line numbers, and JSON strings in the order they were written, which
+come from the structural index.
 """
 
 from __future__ import annotations
 
-import json
 import re
 from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
 from vigil.functions.fixed import OVERSIZED_LINE
+from vigil.functions.json_index import indexed
+from vigil.sources.formats import SOURCES, extract
 
 _EXTENDED = re.compile(r": ([+-]?[0-9]+):[^;]*;(.+)", re.DOTALL)
 _INTEGER = re.compile(r"[+-]?[0-9]+")
@@ -70,51 +76,28 @@ def fish(data: bytes, limit: int | None = OVERSIZED_LINE):
         yield tuple(opened)
 
 
-def leaves(value) -> Iterator[str]:
-    """All strings of a value that aren't empty, depth first, as written."""
-    todo = [value]
-    while todo:
-        top = todo.pop()
-        if isinstance(top, str):
-            if top:
-                yield top
-        elif isinstance(top, list):
-            todo += reversed(top)
-        elif isinstance(top, dict):
-            todo += reversed(top.values())
-
-
-def _load(text: str):
-    """(value, whether it is JSON); numbers beyond JSON's and objects that
-    repeat a key aren't, so nothing that was written is passed over in silence."""
-
-    def bad(name):
-        raise ValueError(name)
-
-    def once(pairs):
-        found = dict(pairs)
-        return found if len(found) == len(pairs) else bad("repeated key")
-
-    try:
-        return json.loads(text, parse_constant=bad, object_pairs_hook=once), True
-    except (ValueError, RecursionError):
-        return None, False
+def _records(data: bytes) -> tuple[pa.Array, list[int]]:
+    """The lines of JSONL that aren't empty, and their numbers."""
+    held = [(n, decode(line)) for n, line in enumerate(data.split(b"\n"), 1) if line]
+    return pa.array([t for _, t in held], pa.large_string()), [n for n, _ in held]
 
 
 def jsonl_history(data: bytes):
     """Leaves of eight bytes or more that are no blobs; a line that is no JSON
     is an entry as it stands."""
-    for number, line in numbered_lines(data, None):
-        if not line:
-            continue
-        value, good = _load(line)
-        if not good:
-            yield number, None, line, line
-            continue
-        for leaf in leaves(value):
-            size = len(leaf.encode("utf-8", "surrogatepass"))
-            if size >= _SHORT and not (size > _BLOB and " " not in leaf):
-                yield number, None, line, leaf
+    lines, numbers = _records(data)
+    for first, part, index in indexed(lines):
+        which, nodes = index.leaves(index.root)
+        texts, size = index.text(nodes), index.bytes_of(nodes)
+        kept = (size >= _SHORT) & ((size <= _BLOB) | np.asarray(pc.match_substring(texts, " ")))
+        kept = np.flatnonzero(kept)
+        at = np.searchsorted(which[kept], np.arange(len(part) + 1))
+        for k, raw in enumerate(part.to_pylist()):
+            raw, number = raw.removesuffix("\r"), numbers[first + k]
+            if index.good[k]:
+                yield from ((number, None, raw, leaf) for leaf in texts.take(pa.array(kept[at[k] : at[k + 1]])).to_pylist())
+            elif raw:
+                yield number, None, raw, raw
 
 
 def agent_history(kind: str, data: bytes):
@@ -148,146 +131,16 @@ def path_format(path: str) -> str:
     return "markdown" if path.endswith((".md", ".markdown")) else "text"
 
 
-def _string(value, key: str) -> str | None:
-    found = value.get(key) if isinstance(value, dict) else None
-    return found if isinstance(found, str) else None
-
-
-def _blocks(value) -> Iterator[str]:
-    """Text of a content value: a string, or the text of its blocks."""
-    if isinstance(value, str):
-        yield value
-    elif isinstance(value, list):
-        yield from (t for b in value if (t := _string(b, "text")) is not None)
-
-
-def _claude(record):
-    message = record.get("message") if isinstance(record, dict) else None
-    if not isinstance(message, dict) or "content" not in message:
-        return
-    kind, content = _string(record, "type"), message["content"]
-    if kind == "user" and isinstance(content, str):
-        yield "user_input", content
-    for block in content if isinstance(content, list) else ():
-        what = _string(block, "type")
-        if kind == "user" and what == "tool_result" and "content" in block:
-            yield from (("tool_output", t) for t in _blocks(block["content"]))
-        if kind == "assistant" and what == "tool_use" and "input" in block:
-            yield from (("tool_call", t) for t in leaves(block["input"]))
-        if kind == "assistant" and what in ("text", "thinking") and (text := _string(block, what)) is not None:
-            yield "assistant" if what == "text" else "reasoning", text
-
-
-def _claude_history(record):
-    if (text := _string(record, "display")) is not None:
-        yield "user_input", text
-    if (pasted := _string(record, "pastedContents")) is not None and len(pasted.encode("utf-8", "surrogatepass")) > 2:
-        yield "user_input", pasted
-
-
-def _codex_history(record):
-    if (text := _string(record, "text")) is not None:
-        yield "user_input", text
-
-
-def _codex_session(record):
-    payload = record.get("payload") if _string(record, "type") == "response_item" else None
-    kind = _string(payload, "type")
-    if kind == "message":
-        source = "user_input" if _string(payload, "role") == "user" else "assistant"
-        yield from ((source, t) for t in _blocks(payload.get("content")))
-    elif kind in ("function_call", "custom_tool_call"):
-        if (text := _string(payload, "arguments")) is not None:
-            yield "tool_call", text
-        yield from (("tool_call", t) for t in leaves(payload.get("input")))
-    elif kind in ("function_call_output", "custom_tool_call_output"):
-        if (text := _string(payload, "output")) is not None:
-            yield "tool_output", text
-    elif kind == "reasoning":
-        yield from (("reasoning", t) for t in leaves(payload.get("summary")))
-
-
-def _gemini(record):
-    if not isinstance(record, dict):
-        return
-    under = lambda source, *keys: ((source, t) for k in keys for t in leaves(record.get(k)))
-    kind = _string(record, "type")
-    if kind is None:
-        yield from under("stored_context", "$set")
-        yield from under("assistant", "summary")
-        yield from under("stored_context", "memoryScratchpad")
-        return
-    source = {"user": "user_input", "gemini": "assistant"}.get(kind, "stored_context")
-    yield from under(source, "content")
-    if source == "user_input":
-        yield from under(source, "displayContent")
-    if source == "assistant":
-        calls = record.get("toolCalls")
-        for call in calls if isinstance(calls, list) else ():
-            if isinstance(call, dict):
-                for key, where in (("args", "tool_call"), ("result", "tool_output"), ("resultDisplay", "tool_output")):
-                    yield from ((where, t) for t in leaves(call.get(key)))
-        yield from under("reasoning", "thoughts")
-
-
-def _gemini_document(record):
-    if isinstance(record, dict) and "messages" in record:
-        if isinstance(record["messages"], list):
-            for message in record["messages"]:
-                yield from _gemini(message)
-            yield from (("assistant", t) for t in leaves(record.get("summary")))
-            yield from (("stored_context", t) for t in leaves(record.get("memoryScratchpad")))
-    else:
-        yield from _any(record)
-
-
-def source_of_event(kind: str) -> str:
-    if kind.startswith(("user.", "prompt.")):
-        return "user_input"
-    if "reason" in kind:
-        return "reasoning"
-    if kind.startswith("assistant."):
-        return "assistant"
-    if kind.startswith("tool."):
-        return "tool_call" if "start" in kind or "request" in kind else "tool_output"
-    return "stored_context"
-
-
-def _copilot(record):
-    kind = _string(record, "type")
-    if kind is None:
-        yield from _any(record)
-        return
-    source = source_of_event(kind)
-    yield from ((source, t) for t in leaves(record["data"] if "data" in record else record))
-
-
-def _any(record):
-    yield from (("stored_context", t) for t in leaves(record))
-
-
-_EXTRACT = {
-    "claude": _claude, "claude_history": _claude_history, "codex_history": _codex_history, "codex_session": _codex_session, "gemini_jsonl": _gemini,
-    "copilot": _copilot, "jsonl": _any, "gemini_json": _gemini_document, "json": _any,
-}
-
-
 def pieces(kind: str, data: bytes) -> tuple[list[tuple[int, str, str]], int]:
     """([(line, source, text)], malformed records) of a transcript."""
-    out: list[tuple[int, str, str]] = []
-    malformed = 0
     if kind in ("text", "markdown"):
-        for number, line in enumerate(data.split(b"\n"), 1):
-            if text := decode(line.rstrip(b"\r")):
-                out.append((number, "stored_context", text))
-        return out, 0
-    records = [(1, data)] if kind in ("json", "gemini_json") else enumerate(data.split(b"\n"), 1)
-    for number, raw in records:
-        if not raw and kind not in ("json", "gemini_json"):
-            continue
-        value, good = _load(decode(raw))
-        if not good:
-            malformed += 1
-            continue
-        out += [(number, source, text) for source, text in _EXTRACT[kind](value) if text]
-    return out, malformed
+        lines = enumerate(data.split(b"\n"), 1)
+        return [(n, "stored_context", text) for n, line in lines if (text := decode(line.rstrip(b"\r")))], 0
+    lines, numbers = (pa.array([decode(data)], pa.large_string()), [1]) if kind in ("json", "gemini_json") else _records(data)
+    out: list[tuple[int, str, str]] = []
+    bad = 0
+    for first, _, index in indexed(lines):
+        bad += int(np.count_nonzero(~index.good))
+        record, code, text = extract(kind, index)
+        out += [(numbers[first + r], SOURCES[c], t) for r, c, t in zip(record.tolist(), code.tolist(), text.to_pylist())]
+    return out, bad
