@@ -6,9 +6,12 @@ import argparse
 import os
 import sys
 
+from pyspark.errors import PySparkException
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from vigil import __version__, config, sinks
+from vigil.functions import rulefile
 from vigil.functions.fixed import ENTROPY_THRESHOLD
 from vigil.operators import deep, fix, lines
 from vigil.operators.rules import of_kind
@@ -60,9 +63,9 @@ def parser() -> argparse.ArgumentParser:
     sub.add_parser("version")
     p = sub.add_parser("config")
     p.add_argument("action", choices=("init", "defaults", "status", "ignore", "check", "discover", "compile"))
-    p.add_argument("pattern", nargs="?", help="a pattern; for compile the table to write")
+    p.add_argument("pattern", nargs="?", help="a pattern; for compile the file to write")
     p.add_argument("--remove", action="store_true")
-    p.add_argument("--yes", "-y", action="store_true", help="add what discover finds without asking")
+    p.add_argument("--yes", "-y", action="store_true", help="for discover and defaults: don't ask")
     return top
 
 
@@ -84,12 +87,16 @@ def _entries(spark, args, rules, env):
 
 
 def run_scan(spark, args, rules, env, out) -> int:
-    entries = _entries(spark, args, rules, env)
-    skipped = entries.where(F.col("error") == "oversized").count()
-    if skipped:
-        print(f"{skipped} line(s) too long, skipped", file=sys.stderr)
-    # Files are read and searched once: every report below reads the findings.
+    # Files are read and searched once: what was skipped is counted on the way,
+    # and every report below reads the findings.
+    told = Observation("read")
+    trouble = F.when(F.col("error") != "oversized", F.concat_ws(": ", "file", "error"))
+    entries = _entries(spark, args, rules, env).observe(told, F.count_if(F.col("error") == "oversized").alias("skipped"), F.collect_set(trouble).alias("unread"))
     found = materialize(spark, visible(scan(entries, rules, args.entropy), args.level), "findings")
+    if told.get["skipped"]:
+        print(f"{told.get['skipped']} line(s) too long, skipped", file=sys.stderr)
+    for line in sorted(told.get["unread"]):  # one for each file that couldn't be read
+        print(f"cannot read {line}", file=sys.stderr)
     counts = severity_counts(found).first()
     if not args.summary:
         make = sinks.json_lines if args.json else sinks.short_lines if args.one_line else sinks.long_lines
@@ -165,7 +172,7 @@ def run_fix(spark, args, rules, env, out) -> int:
         removed, answer, own = [], "n", 0
         for c in fix.removal_candidates(found, spans).orderBy("span_start").toLocalIterator():
             own += 1
-            answer = _confirmed(path, c["line"], sinks_text(c["full"]), sinks_text(c["redacted"]), args, out)
+            answer = _confirmed(path, c["span_start"], sinks_text(c["full"]), sinks_text(c["redacted"]), args, out)
             if answer == "q":
                 break
             if answer == "y":
@@ -193,31 +200,32 @@ def sinks_text(text: str) -> str:
 
 def run_config(args, env, out, spark=None) -> int:
     folder = config.user_folder(env)
-    if args.action in ("init", "defaults"):
-        print(*config.init(folder, overwrite=args.action == "defaults"), sep="\n", file=out)
+    if args.action == "defaults":
+        agreed = lambda path: args.yes or _agreed(f"{path} exists. Overwrite it?")
+        print(*[f"wrote {p}" for p in config.init(folder, agreed)], sep="\n", file=out)
+    elif args.action in ("init", "compile"):
+        if args.action == "init":
+            print(*[f"wrote {p}" for p in config.init(folder)], sep="\n", file=out)
+        target = args.action == "compile" and args.pattern or config.compiled(folder)
+        rules = rulefile.write(target, config.read_rules(config.system_folder(env), folder))
+        print(f"{len(rules)} rule(s) in {target}", file=out)
     elif args.action in ("ignore", "check"):
-        return sinks.EXIT_CLEAN if args.pattern and config.edit(folder, args.action, args.pattern, args.remove) else sinks.EXIT_ERROR
-    elif args.action == "compile":
-        from vigil.operators.rules import load_rules, save_rules
-
-        rules = config.read_rules(config.system_folder(env), folder)
-        target = args.pattern or config.compiled(folder)
-        spark = spark or _session()
-        save_rules(spark, rules, target)
-        print(f"{len(load_rules(spark, target))} rule(s) in {target}", file=out)
+        if not args.pattern or not config.edit(folder, args.action, args.pattern, args.remove):
+            return sinks.EXIT_ERROR
+        print("Run config compile to apply changes.", file=out)
     elif args.action == "discover":
         for path in config.discover(folder, env, config.read_rules(config.system_folder(env), folder)):
-            agreed = args.yes or _agreed(path)
+            agreed = args.yes or _agreed(f"Add {path}?")
             print(path + ("  \u2192 added" if agreed and config.edit(folder, "path", path) else ""), file=out)
     else:
         print(*config.status(config.read_rules(config.system_folder(env), folder)), sep="\n", file=out)
     return sinks.EXIT_CLEAN
 
 
-def _agreed(path: str) -> bool:
+def _agreed(question: str) -> bool:
     if not sys.stdin.isatty():
         return False
-    return input(f"Add {path}? [y/N] ").strip().lower() in ("y", "yes")
+    return input(f"{question} [y/N] ").strip().lower() in ("y", "yes")
 
 
 def _session():
@@ -238,11 +246,11 @@ def main(argv: list[str] | None = None, spark=None, env: dict[str, str] | None =
             return sinks.EXIT_CLEAN
         if args.command == "config":
             return run_config(args, env, out, spark)
-        rules = config.read_rules(config.system_folder(env), config.user_folder(env))
+        rules = config.scan_rules(config.user_folder(env))
         spark = spark or _session()
         return {"deep": run_deep, "agents": run_deep, "fix": run_fix}.get(args.command, run_scan)(spark, args, rules, env, out)
-    except (OSError, ValueError, RuntimeError) as error:
-        print(f"error: {error}", file=sys.stderr)
+    except (OSError, ValueError, RuntimeError, PySparkException) as error:
+        print(f"error: {str(error).splitlines()[0] if str(error) else type(error).__name__}", file=sys.stderr)
         return sinks.EXIT_ERROR
 
 

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import os
+from collections.abc import Callable
 
-from vigil.functions import fixed
+from vigil.functions import fixed, rulefile
+from vigil.functions.rulefile import RuleSet
 from vigil.operators.rules import KINDS, compile_rules
 from vigil.sources.discover import unknown_histories
 
@@ -54,18 +56,26 @@ def read_rules(*folders: str) -> list[tuple[str, str, str, int]]:
 
 
 def compiled(folder: str) -> str:
-    """Where the compiled rule table of a folder is."""
-    return os.path.join(folder, "rules.parquet")
+    """Where the compiled rules of a folder are."""
+    return os.path.join(folder, "rules.bin")
 
 
-def init(folder: str, overwrite: bool = False) -> list[str]:
-    """Write the default files that aren't there yet, or all of them anew."""
+def scan_rules(folder: str) -> RuleSet:
+    """The compiled rules, which every scan uses."""
+    if not os.path.exists(compiled(folder)):
+        raise FileNotFoundError("no compiled rules found; run config init")
+    return rulefile.read(compiled(folder))
+
+
+def init(folder: str, overwrite: Callable[[str], bool] = lambda path: False) -> list[str]:
+    """Write the default files that aren't there yet, and others anew where
+    ``overwrite`` agrees to it."""
     os.makedirs(folder, exist_ok=True)
     out = []
     for kind, values in DEFAULTS.items():
         base = kind.removeprefix("deep_")
         path = os.path.join(folder, f"{base}.{'deep' if kind.startswith('deep_') else 'default'}.rules")
-        if overwrite or not os.path.exists(path):
+        if not os.path.exists(path) or overwrite(path):
             with open(path, "w", encoding="utf-8") as file:
                 file.write("\n".join(values) + "\n")
             out.append(path)

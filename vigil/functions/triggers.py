@@ -30,7 +30,7 @@ SEEN = "struct<mask:int,checks:array<int>>"
 _KIND = pa.struct([("mask", pa.int32()), ("checks", pa.list_(pa.int32()))])
 
 
-def _literals() -> list[tuple[str, str, int]]:
+def literals() -> list[tuple[str, str, int]]:
     """(match_kind, pattern, bits)."""
     bit = STAGE_BITS
     groups = (
@@ -48,7 +48,7 @@ class Triggers:
     """The literals and rules of a scan."""
 
     def __init__(self, ignore: list[tuple[str, str]], check: list[tuple[str, str]]):
-        own = _literals()
+        own = literals()
         bits = [b for _, _, b in own] + [_IGNORED] * len(ignore) + [CHECKED] * len(check)
         self.bits = np.array(bits, np.int64)
         self.first_check = len(own) + len(ignore)
@@ -84,10 +84,11 @@ class Triggers:
         return pa.StructArray.from_arrays([pa.array(mask.astype(np.int32)), lists], fields=list(_KIND))
 
 
-def seen(command: Column, ignore: list[tuple[str, str]], check: list[tuple[str, str]]) -> Column:
-    """SEEN of a column of commands. The function counts as one that must not be
-    worked out twice, so that filters on its result stay above it."""
+def seen(command: Column, ignore: list[tuple[str, str]], check: list[tuple[str, str]], stored: Triggers | None = None) -> Column:
+    """SEEN of a column of commands, by automata made now or ``stored`` ones.
+    The function counts as one that must not be worked out twice, so that
+    filters on its result stay above it."""
     spark = SparkSession.active()
     ship_package(spark)
-    sent = spark.sparkContext.broadcast(Triggers(ignore, check))
+    sent = spark.sparkContext.broadcast(stored or Triggers(ignore, check))
     return F.arrow_udf(lambda c: sent.value.seen(c), SEEN).asNondeterministic()(command)

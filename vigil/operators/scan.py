@@ -52,7 +52,7 @@ def detected(
     ignore, check = _rules_of(rules, deep)
     command = F.col("command")
     own = entries.columns
-    live = entries.withColumn("_seen", seen(command, ignore, check)).select(*own, F.col("_seen.mask").alias("_mask"), F.col("_seen.checks").alias("_checks"))
+    live = entries.withColumn("_seen", seen(command, ignore, check, getattr(rules, "stored", {}).get(deep))).select(*own, F.col("_seen.mask").alias("_mask"), F.col("_seen.checks").alias("_checks"))
     bits = F.lit(LIVE if registry else FIRED)
     if not everything:
         live = live.where(F.col("_mask").bitwiseAND(bits) != 0)
