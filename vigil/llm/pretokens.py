@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Callable
+from itertools import islice
 
 #: Below this code point the letter, number and space classes are the same in
 #: every Unicode version, so one set of character ranges serves all engines.
@@ -38,7 +39,7 @@ def splitter(pattern: str) -> Callable[[str], list[str]]:
 class Remembered(dict):
     """Results by pre-token, made on first use. What is kept is bounded by
     bytes: pre-tokens over LONGEST characters are worked out each time, and
-    when BUDGET is reached all are forgotten."""
+    when BUDGET is reached the older half is forgotten."""
 
     #: Bytes of keys and results, with ROOM for the objects and their table slot.
     BUDGET, ROOM, LONGEST = 64 << 20, 208, 64
@@ -49,9 +50,15 @@ class Remembered(dict):
     def __missing__(self, piece):
         out = self.make(piece)
         if len(piece) <= self.LONGEST:
-            if self.used > self.BUDGET:
-                self.clear()
-                self.used = 0
-            self[piece] = out
-            self.used += len(piece) + len(out) + self.ROOM
+            self.make_room()
+            self.put(piece, out)
         return out
+
+    def put(self, piece, out) -> None:
+        self[piece] = out
+        self.used += len(piece) + len(out) + self.ROOM
+
+    def make_room(self) -> None:
+        if self.used > self.BUDGET:
+            for piece in list(islice(self, (len(self) + 1) // 2)):
+                self.used -= len(piece) + len(self.pop(piece)) + self.ROOM
