@@ -111,3 +111,77 @@ def test_contexts_reach_over_quotes_and_long_words():
     assert pii.contexts('ab"x', 3) == [] and pii.contexts('"x', 1) == []
     long = "w" * 5000
     assert pii.contexts(f"{long} Tel: 12345", len(long) + 6) == ["tel:", f"{long} tel:"]
+
+
+def scores(rows, support=8, rounds=20):
+    """Confidences by dictionaries: the graph, its totals and its rounds."""
+    edges, total = {}, {}
+    for text in rows:
+        tokens = list(re.finditer(r"[^ \t\n\x0b\x0c\r]+", text or ""))
+        for m in tokens:  # every token counts for the contexts before it
+            for p in pii.contexts(text, m.start()):
+                total[p] = total.get(p, 0) + 1
+        spans = pii.base_spans(text or "")
+        seeds = sorted(spans + pii.secret_seeds(text or "", spans))
+        for a, b, kind in seeds + [(a, b, None) for a, b in pii.candidates(text or "", seeds)]:
+            form = pii.shape(text, a, b)
+            total[form] = total.get(form, 0) + 1
+            for p in (*pii.contexts(text, a), form):
+                key = (p, text[a:b].lower(), kind)
+                edges[key] = edges.get(key, 0) + 1
+    of = {}
+    for p in {p for p, _, k in edges if k}:
+        count = {k: len({i for q, i, j in edges if (q, j) == (p, k)}) for k in pii.SPAN_KINDS}
+        best = max(count, key=lambda k: (count[k], k))
+        if count[best] >= support:
+            of[p] = best
+    graph = {(p, i, k): n for (p, i, k), n in edges.items() if p in of and k in (None, of[p])}
+    family = lambda p: p.split(" ")[-1]
+    score, before = {e: float(e[2] is not None) for e in graph}, None
+    while True:
+        now = {p: min(1.0, sum(score[e] * n for e, n in graph.items() if e[0] == p) / total[p]) for p in of}
+        rounds -= 1
+        if not rounds or before and max((abs(now[p] - before[p]) for p in of), default=0) <= pii.SETTLED:
+            return {p: c for p, c in now.items() if not p.startswith("\0")}
+        before = now
+        for p, i, k in graph:
+            if k is None:
+                miss = 1.0
+                for q, j, kind in graph:
+                    if j == i and kind is None and of[q] == of[p] and family(q) != family(p):
+                        miss *= max(1e-9, 1 - now[q])
+                score[p, i, k] = 1 - miss
+
+
+def secret_rows():
+    draw = random.Random(9)
+    value = lambda i: f"{i * 104729:010x}" * 4
+    rows = [f'w{draw.randint(0, 9)} words token = "{value(i)}"{draw.choice(["", "###", ";", " #"])} more {draw.choice(["a1b2c", "x"])} words' for i in range(1, 61)]
+    return rows + [f'version = {i}77.b and the = "v{i}"' for i in range(30)] + [None, "", rows[0], rows[0]], value
+
+
+def test_scores_are_those_of_a_plain_graph(spark):
+    rows, _ = secret_rows()
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(3)
+    want = scores(rows)
+    got = {r.pattern: r.confidence for r in pii.Extractor(spark, confidence=-1.0).induce(docs).collect()}
+    assert set(got) == set(want) and "token =" in got
+    assert all(abs(got[p] - want[p]) < 1e-6 for p in got), (got, want)
+
+
+def test_unseen_values_are_discovered_and_end_where_they_end(spark):
+    """Half of the documents hold no seed; their values are found all the same."""
+    rows, value = secret_rows()
+    unseen = [i for i, t in enumerate(rows[:60]) if not pii.secret_seeds(t, [])]
+    assert 20 <= len(unseen) <= 40
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    got = {r.doc_id: [rows[r.doc_id][s.start : s.stop] for s in r.found.spans] for r in pii.Extractor(spark).find(docs).collect()}
+    assert all(got[i] == [value(i + 1)] for i in unseen)
+    assert all(got[i] == [value(i + 1)] for i in range(60)) and not any(got[i] for i in range(60, 92))
+
+
+def test_candidates_end_at_quotes_and_punctuation():
+    found = lambda text: [text[a:b] for a, b in pii.candidates(text, [])]
+    assert found('k = "ab12cd34"### x') == ["ab12cd34"] and found("k = 'ab12cd34'zz9 x") == ["ab12cd34"]
+    assert found("$ab12cd=% #12345_&") == ["ab12cd=", "12345_"] and found('"12345') == ["12345"]
+    assert pii.shape('"ab12"', 1, 5) == "\0qh4" and pii.shape("AB1z_", 0, 5) == "\0b5" and pii.shape("12345", 0, 5) == "\0d5"

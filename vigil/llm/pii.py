@@ -5,11 +5,15 @@ check (address parts, Luhn sum, digit count) that drops a match for good.
 
 Bootstrapping: the base spans are the seed entities. A fifth kind, secret, has
 seeds but no base spans: quoted values of 20 characters or more behind a
-credential's name and = or : (SECRET), which count only where an induced
-pattern finds them. The words before a seed (one, and the last two) are its
-lexical patterns; opening quotes and brackets before the seed belong to its own
-token. Candidates are identifier-like tokens: five characters or more with a
-digit, without edge punctuation, outside base spans. Spark
+credential's name and = or : (SECRET), taken from one half of the documents only
+(by a hash of the text); the values of the other half, and of other forms, are for
+the method to discover, and secrets count only where an induced pattern finds
+them. The words before a seed (one, and the last two) are its lexical patterns;
+opening quotes and brackets before the seed belong to its own token. Candidates
+are identifier-like tokens: five characters or more with a digit, without
+punctuation at either edge, up to a closing quote if a quote opens them, outside
+base spans. The shape of a token (quoted or not, its class of characters, its
+length) is a pattern as well: it lends evidence, but discovers nothing. Spark
 scores the bipartite graph of patterns and instances (seeds and candidates)
 iteratively: a pattern's confidence is the sum of the scores of the instances
 it precedes over the number of all tokens it precedes in the corpus, so common
@@ -17,7 +21,8 @@ words, which precede everything, earn nothing; an instance's score is
 1 - product(1 - confidence) over its patterns, seeds staying at 1. What a
 pattern itself (or one that ends with the same word) lends to an instance
 doesn't count for that pattern, so patterns can't confirm themselves. Rounds
-end when no confidence moves by more than SETTLED. Patterns that reach
+end when no confidence moves by more than SETTLED; if that takes more than
+ROUNDS, the last round's confidences count. Patterns that reach
 ``confidence`` and precede at least ``support`` distinct seeds of one kind
 discover further spans of that kind: candidates that follow them.
 
@@ -35,6 +40,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -71,7 +77,11 @@ _secrets = re.compile(SECRET).finditer
 _blank = re.compile(r"[\x20\x09-\x0D]").search
 _digit = re.compile(r"[0-9]").search
 _BLANK = " \t\n\x0b\x0c\r"
-_edge = ".,;:!?\"'()[]{}<>"
+_QUOTES = "\"'"
+#: What shape patterns begin with; no word of a text holds it next to a shape's own form.
+_SHAPE = "\x00"
+#: Punctuation that ends a token; the rest ("+/=_-@") occurs at the ends of values.
+_edge = "!\"#$%&'()*,.:;<>?[\\]^`{|}~"
 
 
 def luhn(digits: str) -> bool:
@@ -130,8 +140,9 @@ def _hash(text: str) -> int:
 
 
 def secret_seeds(text: str, spans: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
-    """Values that credentials' names introduce, outside the spans and with a digit."""
-    if '"' not in text and "'" not in text:
+    """Values that credentials' names introduce, outside the spans and with a
+    digit; none in documents of the half that is left for discovery."""
+    if '"' not in text and "'" not in text or zlib.crc32(text.encode("utf-8", "surrogatepass")) & 1:
         return []
     found = [m.span(1) for m in _secrets(text) if _digit(m.group(1))]
     return [(a, b, "secret") for a, b in found if not any(s[0] < b and a < s[1] for s in spans)]
@@ -151,6 +162,8 @@ def candidates(text: str, spans: list[tuple[int, int, str]]) -> list[tuple[int,
         b = end = stop.start() if stop else len(text)
         while a < b and text[a] in _edge:
             a += 1
+        if a and text[a - 1] in _QUOTES and (close := text.find(text[a - 1], a, b)) >= 0:
+            b = close
         while b > a and text[b - 1] in _edge:
             b -= 1
         while at < len(spans) and spans[at][1] <= a:
@@ -203,7 +216,7 @@ def graph_edges(docs: DataFrame, text: str) -> DataFrame:
                 seeds = sorted(spans)
                 for a, b, kind in seeds + [(a, b, None) for a, b in candidates(body, seeds)]:
                     instance = _hash(body[a:b].lower())
-                    for pattern in contexts(body, a):
+                    for pattern in (*contexts(body, a), shape(body, a, b)):
                         key = (pattern, instance, kind)
                         found[key] = found.get(key, 0) + 1
             if found:
@@ -238,6 +251,15 @@ def contexts(text: str, start: int) -> list[str]:
     return [" ".join(before[-n:]) for n in (1, 2) if len(before) >= n]
 
 
+_CLASSES = (("d", re.compile(r"[0-9]+")), ("h", re.compile(r"[0-9a-f]+|[0-9A-F]+")), ("a", re.compile(r"[0-9A-Za-z]+")), ("b", re.compile(r"[0-9A-Za-z_+/=-]+")))
+
+
+def shape(text: str, start: int, end: int) -> str:
+    """The pattern of a token's own form."""
+    kind = next((k for k, fits in _CLASSES if fits.fullmatch(text, start, end)), "o")
+    return f"{_SHAPE}{'q' if start and text[start - 1] in _QUOTES else ''}{kind}{end - start}"
+
+
 def pattern_totals(spark: SparkSession, docs: DataFrame, text: str, patterns: DataFrame) -> DataFrame:
     """(code, total): how many tokens follow each one- or two-word context,
     for those in ``patterns`` (column code) and a few others."""
@@ -310,12 +332,16 @@ class Extractor:
                 codes = [_pattern_code(p) for p in batch.column(0).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(codes, pa.int64())], [*batch.schema.names, "code"])
 
-        patterns = materialize(spark, best.mapInArrow(coded, "pattern string, kind string, seeds long, code long"), "patterns")
+        is_shape = F.startswith("pattern", F.lit(_SHAPE))
         known = "pattern string, kind string, confidence double"
+        patterns = materialize(spark, best.where(~is_shape).mapInArrow(coded, "pattern string, kind string, seeds long, code long"), "patterns")
         if patterns.isEmpty():
             return spark.createDataFrame([], known)
         totals = pattern_totals(spark, docs, text, patterns).join(patterns.select("code"), "code")
-        patterns = materialize(spark, patterns.join(totals, "code").select("pattern", F.col("kind").alias("of"), "seeds", "total"), "patterns")
+        contexts_ = patterns.join(totals, "code").select("pattern", F.col("kind").alias("of"), "seeds", "total")
+        # All tokens of a shape with a digit are in the graph themselves.
+        shapes = best.where(is_shape).join(edges.groupBy("pattern").agg(F.sum("n").alias("total")), "pattern").select("pattern", F.col("kind").alias("of"), "seeds", "total")
+        patterns = materialize(spark, contexts_.unionByName(shapes), "patterns")
         graph = materialize(spark, edges.join(patterns.select("pattern", "of", "total"), "pattern").where("kind is null or kind = of"), "graph")
         score = F.when(F.col("kind").isNotNull(), 1.0).otherwise(0.0)
         scored = graph.select("pattern", "of", "total", "instance", "kind", "n", score.alias("score"))
@@ -336,7 +362,7 @@ class Extractor:
             scored = graph.withColumn("family", _family()).join(others, ["instance", "of", "family"], "left").select(
                 "pattern", "of", "total", "instance", "kind", "n", F.when(F.col("kind").isNotNull(), 1.0).otherwise(F.coalesce("found", F.lit(0.0))).alias("score")
             )
-        return confidence.where(F.col("confidence") >= self.confidence).select("pattern", F.col("of").alias("kind"), "confidence")
+        return confidence.where((F.col("confidence") >= self.confidence) & ~is_shape).select("pattern", F.col("of").alias("kind"), "confidence")
 
     def _patterns(self, docs: DataFrame, text: str) -> list:
         """Broadcasts of {pattern: (words, confidence, kind)}, streamed in blocks."""
