@@ -150,8 +150,9 @@ class BytePairs:
         """(ids, bounds) of many pre-tokens, none of them empty, by one rank queue
         over all of them. A bucket's entries, sorted and with stale ones left out,
         are merged at once: of pairs that overlap every other one from the left.
-        That is the order of ``merge`` as long as no merge can make a pair of a lower
-        rank; a pre-token in which one could is merged again by itself."""
+        Where a merge could make a pair of a lower rank, which would come next,
+        only the first entry of each pre-token is merged and the others go back,
+        so the order is that of ``merge``."""
         single, two, keys, values, lower = self.pairs
         count = len(self.low) << _SHIFT
         factor = max(self.ranks.values()) + 1
@@ -159,6 +160,7 @@ class BytePairs:
         start = np.cumsum(size) - size
         raw = np.frombuffer(b"".join(pieces), np.uint8)
         n = len(raw)
+        owner = np.repeat(np.arange(len(pieces), dtype=np.int32), size)
         # Place n stands for none.
         token = np.append(single[raw], 0)
         after, before = np.arange(1, n + 2), np.arange(-1, n)
@@ -189,7 +191,6 @@ class BytePairs:
 
         first = np.flatnonzero(rank >= 0)
         top |= push(first, rank[first])
-        again: list[np.ndarray] = []
         while top:
             high = (top & -top).bit_length() - 1
             word = low[high]
@@ -200,7 +201,14 @@ class BytePairs:
             held = buckets.pop(r)
             place = held[0] if len(held) == 1 else np.unique(np.concatenate(held))
             place = place[rank[place] == r]  # others are stale
-            if len(place) > 1:
+            if len(place) > 1 and lower[r]:
+                first = np.append(True, owner[place[1:]] != owner[place[:-1]])
+                if not first.all():
+                    buckets[r] = [place[~first]]
+                    low[high] |= _BIT[r & _MASK]
+                    top |= 1 << high
+                    place = place[first]
+            elif len(place) > 1:
                 linked = place[1:] == after[place[:-1]]
                 if linked.any():
                     fresh = np.append(True, ~linked)
@@ -208,8 +216,6 @@ class BytePairs:
                     place = place[(number - np.maximum.accumulate(np.where(fresh, number, 0))) % 2 == 0]
             if not len(place):
                 continue
-            if lower[r]:
-                again.append(place)
             gone = after[place]
             end = after[gone]
             after[place] = end
@@ -237,12 +243,6 @@ class BytePairs:
             alive[at] = True
         kept = np.flatnonzero(alive)
         ids, bounds = token[kept], np.searchsorted(kept, np.append(start, n))
-        if again:
-            which = np.unique(np.searchsorted(start, np.concatenate(again), "right") - 1)
-            parts = np.split(ids, bounds[1:-1])
-            for k in which.tolist():
-                parts[k] = np.array(self.merge(pieces[k]), np.int64)
-            ids, bounds = np.concatenate(parts), np.concatenate(([0], np.cumsum([len(x) for x in parts])))
         return ids, bounds
 
     def decode(self, ids) -> bytes:
