@@ -79,8 +79,10 @@ def test_tables(spark, monkeypatch):
     rows = [(1, f"Some words, {item.upper()}! and more", "x"), (2, None, "x"), (3, "", "x"), (1, f"Some words, {item.upper()}! and more", "x"), (4, "p " * 400_000 + item, None), (5, "solo", "x")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, leaks string").repartition(3)
     items = spark.createDataFrame([("b", item, "z"), ("a", "so " + item, "z"), (None, "SOLO", "z"), ("c", None, "z"), ("b", item, "z")], "item_id string, text string, leaks string")
-    for limit in (decontaminate.BLOCK_BYTES, 10):  # a block for every item
-        monkeypatch.setattr(decontaminate.blocks, "__defaults__", (limit,))
+    # All in one block; a block for every item, all together, or two and two.
+    for limit, group in ((decontaminate.BLOCK_BYTES, decontaminate.GROUP_BYTES), (10, 1000), (10, 20)):
+        monkeypatch.setattr(decontaminate, "BLOCK_BYTES", limit)
+        monkeypatch.setattr(decontaminate, "GROUP_BYTES", group)
         got = sorted(decontaminate.find_passages(spark, docs, items).collect(), key=lambda r: r.doc_id)
         assert [(r.doc_id, r.leaks.n_words, [(s.word, s.word_end) for s in r.leaks.hits], r.leaks["items"]) for r in got] == [
             (1, 14, [(2, 12)], ["a", "b"]), (1, 14, [(2, 12)], ["a", "b"]), (2, 0, [], []), (3, 0, [], []), (4, 400_010, [(400_000, 400_010)], ["a", "b"]), (5, 1, [(0, 1)], []),

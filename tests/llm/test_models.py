@@ -106,7 +106,7 @@ def test_languages_in_blocks_and_odd_rows(spark):
     rows.append((999, make("l03", 40).replace("a", "ø") + " " + "øre æble " * 40_000, "rare"))  # one long text is all there is
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     model = ppm.LanguageIdentifier.fit(spark, docs, "doc_id", sample_bytes=3_000)
-    assert [m.languages[0] for m in model.models] == sorted([*words, "rare"])
+    assert [m.value.languages[0] for m, _ in model.models] == sorted([*words, "rare"])
     probes = [(i, make(k, 15), k) for i, k in enumerate(sorted(words))] + [(50, "øre æble " * 5, "rare"), (51, make("l07", 60_000), "l07")]
     probe = spark.createDataFrame([(*p, "x", "y") for p in probes + probes[:2]], "id long, text string, want string, language string, _Best string")
     whole, blocks = (sorted(map(tuple, model.predict(probe, block_bytes=b).collect())) for b in (1 << 30, 1))
@@ -121,7 +121,7 @@ def test_a_tree_does_not_depend_on_other_languages(spark):
     rows = [(i, "kaksi kolme neljä viisi", "fi") for i in range(50)]
     more = [(100 + i, f"word{i} of another {k}", f"x{k}") for k in range(30) for i in range(5)]
     few, many = (ppm.LanguageIdentifier.fit(spark, spark.createDataFrame(r, "doc_id long, text string, lang string"), "doc_id", max_cells=400) for r in (rows, rows + more))
-    assert len(many.models) == 31 and np.array_equal(few.models[0].bits, many.models[0].bits)
+    assert len(many.models) == 31 and np.array_equal(few.models[0][0].value.bits, many.models[0][0].value.bits)
 
 
 def test_class_prior_and_scores():

@@ -8,9 +8,11 @@ documents into shards of bounded size, maps words to the phrases' vocabulary
 over the shard, searches all phrases backwards through wavelet-tree ranks,
 locates occurrences by sampled suffix positions, and merges them to spans.
 
-Documents are never shuffled, and their words are cut once. The benchmark
-reaches the executors in blocks of bounded size, each with a vocabulary and
-hence an FM-index of its own.
+Documents are never shuffled, and their words are cut once for each group of
+blocks. The benchmark reaches the executors in blocks of bounded size, each with a
+vocabulary and hence an FM-index of its own; tasks hold the blocks of GROUP_BYTES
+at a time, and with a larger benchmark a table between groups keeps what was
+found so far, so memory doesn't grow with it.
 
 Null texts have no words; null texts or texts without words of benchmark items
 are no phrases; items without an item_id cause hits but are not listed; items
@@ -22,6 +24,7 @@ column named like ``out`` is replaced, other columns stay as they are.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,10 +32,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vigil.llm.kernels import ALNUM, shards, text_buffers, words
-from vigil.session import ship_package
+from vigil.session import materialize, ship_package
 
 #: Bytes of benchmark text in one broadcast block (a longer item is a block of its own).
 BLOCK_BYTES = 8 << 20
+#: Bytes of benchmark text in the blocks that are broadcast together.
+GROUP_BYTES = 64 << 20
 
 KIND = "struct<n_words:bigint,hits:array<struct<word:int,word_end:int,byte:bigint,byte_end:bigint>>,items:array<string>>"
 ARROW_KIND = pa.struct(
@@ -138,13 +143,19 @@ def search_shard(code: np.ndarray, at: np.ndarray, phrases: Phrases):
     return covered, pairs
 
 
-def _annotated(texts: pa.Array, blocks: list[Phrases]) -> Iterator[dict]:
-    """KIND of each text, shard by shard."""
-    for part in shards(pa.record_batch([texts], ["text"])):
+def _annotated(texts: pa.Array, blocks: list[Phrases], before: pa.Array | None = None) -> Iterator[dict]:
+    """KIND of each text, shard by shard, with what was found ``before``."""
+    columns = {"text": texts} | ({} if before is None else {"before": before})
+    for part in shards(pa.record_batch(list(columns.values()), list(columns))):
         raw, bounds = text_buffers(part.column(0))
         start, end, code, at = words(raw, bounds, ALNUM)
         out = [{"n_words": int(n), "hits": [], "items": []} for n in np.diff(at)]
         covered = np.zeros(len(code), bool)
+        if before is not None:
+            for t, old in enumerate(part.column(1).to_pylist()):
+                out[t]["items"] += old["items"]
+                for s in old["hits"]:
+                    covered[at[t] + s["word"] : at[t] + s["word_end"]] = True
         for phrases in blocks:
             some, pairs = search_shard(code, at, phrases)
             covered |= some
@@ -169,9 +180,20 @@ def annotate(texts: pa.Array, *blocks: Phrases) -> pa.Array:
     return pa.array(list(_annotated(texts, list(blocks))), ARROW_KIND)
 
 
-def _broadcast(spark: SparkSession, items: DataFrame, width: int, item_id: str, item_text: str) -> list:
+def _groups(spark: SparkSession, items: DataFrame, width: int, item_id: str, item_text: str) -> Iterator[list]:
+    """Broadcasts of the benchmark's blocks, those of one group together; one
+    group at least."""
     ship_package(spark)
-    return [spark.sparkContext.broadcast(found) for found in blocks(items, item_id, item_text, width)]
+    held: list = []
+    some = False
+    for found in blocks(items, item_id, item_text, width, BLOCK_BYTES):
+        held.append(spark.sparkContext.broadcast(found))
+        some = True
+        if len(held) * BLOCK_BYTES >= GROUP_BYTES:
+            yield held
+            held = []
+    if held or not some:
+        yield held
 
 
 def find_passages(
@@ -179,8 +201,28 @@ def find_passages(
 ) -> DataFrame:
     """``docs`` with a column ``out`` of KIND: its words, the merged spans of
     hit words (also in UTF-8 bytes, ends exclusive), and the items' ids, sorted."""
-    sent = _broadcast(spark, items, width, item_id, item_text)
-    return docs.withColumn(out, F.arrow_udf(lambda t: annotate(t, *[x.value for x in sent]), KIND)(F.col(text).cast("string")))
+    groups = _groups(spark, items, width, item_id, item_text)
+    return _found(spark, docs, next(groups), groups, text, out)
+
+
+def _found(spark: SparkSession, docs: DataFrame, first: list, groups: Iterator[list], text: str, out: str) -> DataFrame:
+    body = F.col(text).cast("string")
+    found = docs.withColumn(out, _first_hits(first)(body))
+    for sent in groups:
+        found = materialize(spark, found, "passages")
+        found = found.withColumn(out, _more_hits(sent)(body, F.col(out)))
+    return found
+
+
+def _first_hits(sent: list):
+    return F.arrow_udf(lambda t: annotate(t, *[x.value for x in sent]), KIND)
+
+
+def _more_hits(sent: list):
+    def more(texts: pa.Array, before: pa.Array) -> pa.Array:
+        return pa.array(list(_annotated(texts, [x.value for x in sent], before)), ARROW_KIND)
+
+    return F.arrow_udf(more, KIND)
 
 
 def _cut(text: str, hits: list[dict]) -> str:
@@ -194,10 +236,15 @@ def _cut(text: str, hits: list[dict]) -> str:
 def remove_passages(spark: SparkSession, docs: DataFrame, items: DataFrame, width: int = 10, text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """``docs`` without the words of benchmark passages: each merged span gives
     way to a line break. Texts without hits stay as they are."""
-    sent = _broadcast(spark, items, width, item_id, item_text)
-
-    def clean(texts: pa.Array) -> pa.Array:
-        rows = zip(texts, _annotated(texts, [x.value for x in sent]))
-        return pa.array([_cut(value.as_py(), row["hits"]) if row["hits"] else value.as_py() for value, row in rows], pa.string())
-
-    return docs.withColumn(text, F.arrow_udf(clean, "string")(F.col(text).cast("string"))).select(*docs.columns)
+    groups = _groups(spark, items, width, item_id, item_text)
+    first, second = next(groups), next(groups, None)
+    cut = lambda texts, rows: pa.array([_cut(t.as_py(), hits) if hits else t.as_py() for t, hits in zip(texts, rows)], pa.string())
+    if second is None:  # one pass finds and cuts
+        clean = F.arrow_udf(lambda t: cut(t, (row["hits"] for row in _annotated(t, [x.value for x in first]))), "string")
+        return docs.withColumn(text, clean(F.col(text).cast("string"))).select(*docs.columns)
+    name = "_hits"
+    while name in docs.columns:
+        name += "_"
+    found = _found(spark, docs, first, chain([second], groups), text, name)
+    clean = F.arrow_udf(lambda t, h: cut(t, h.to_pylist()), "string")
+    return found.withColumn(text, clean(F.col(text).cast("string"), F.col(f"{name}.hits"))).select(*docs.columns)

@@ -4,7 +4,9 @@ Each language has a tree of byte contexts up to ``depth`` bytes long. A byte
 is predicted in the deepest context of the tree; a byte not seen there costs
 an escape and is predicted one context further up, without the bytes already
 excluded (method C), down to a uniform choice. Statistics are frozen after
-training, so the code length of a text is a sum over its bytes and is exact.
+training, so the code length of a text is a sum over its bytes and is exact (but
+for bytes rarer than LEAST, which cost as much as that). Contexts that occur fewer
+than MIN_COUNT times in training are left out of a tree.
 
 Because they are frozen, all escapes can be worked out beforehand: for each
 context of a language's tree there is one row with the bits every byte costs.
@@ -15,8 +17,8 @@ The model is fitted on a documented, bounded sample: about ``sample_bytes`` of
 text for each language, whole texts chosen by a hash, one at least. Every
 language has a tree of its own of at most ``max_cells`` table cells (and a map of
 4 bytes for each way ``depth`` of its bytes can follow each other), so other
-languages, however many, take nothing from it. Trees are broadcast in blocks of
-``BLOCK_BYTES``; a table between blocks keeps each text's best language so
+languages, however many, take nothing from it. Trees go to Spark's broadcasts one
+by one, and tasks hold those of ``BLOCK_BYTES`` at a time; a table between blocks keeps each text's best language so
 far. Every text is scored whole, and blocks don't change results.
 
 A text that is null or has no letter gets ``und`` and score 0. An empty
@@ -27,7 +29,7 @@ replaced by it; others pass through under their own names.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -52,6 +54,8 @@ BROADCAST_LANGUAGES = 10_000
 BEST = "struct<lang:string,bits:double,rest:double>"
 #: Training counts below this don't make a context.
 MIN_COUNT = 3
+#: Probabilities below this cost as much as it.
+LEAST = 2.0**-40
 
 
 def count_contexts(spark: SparkSession, rows: DataFrame, lang: str, text: str, depth: int) -> DataFrame:
@@ -152,7 +156,7 @@ class Model:
             used += len(keep)
         probability = np.concatenate(tables)
         probability[:, :, 0] /= unseen
-        bits = -np.log2(np.maximum(probability, 2.0**-40)).transpose(0, 2, 1)
+        bits = -np.log2(np.maximum(probability, LEAST)).transpose(0, 2, 1)
         return cls(languages, symbol, node, np.ascontiguousarray(bits.reshape(-1, many), np.float32), depth)
 
     @property
@@ -188,9 +192,12 @@ def _heaviest(weight: np.ndarray, good: np.ndarray, room: int) -> np.ndarray:
 class LanguageIdentifier:
     """Fit on labelled rows, predict on texts."""
 
-    def __init__(self, spark: SparkSession, models: list[Model]):
-        """models: one for each language, by name."""
-        self.spark, self.models = spark, models
+    def __init__(self, spark: SparkSession, models: Iterable[Model]):
+        """models: one for each language, by name. Each is handed to Spark's
+        broadcasts, which keep it on disk where memory is short, before the
+        next is made; the driver keeps none."""
+        self.spark = spark
+        self.models = [(spark.sparkContext.broadcast(model), model.size) for model in models]
 
     @classmethod
     def fit(
@@ -213,25 +220,28 @@ class LanguageIdentifier:
         counts = count_contexts(spark, sample, "lang", "body", depth)
         if len(languages) > FITTED_TOGETHER:
             counts = materialize(spark, counts, "contexts")
-        models = []
-        for i in range(0, len(languages), FITTED_TOGETHER):
-            names = languages[i : i + FITTED_TOGETHER]
-            found = counts.where(F.col("lang").isin(names)).toArrow() if len(languages) > FITTED_TOGETHER else counts.toArrow()
-            for name in names:
-                own = found.filter(pa.compute.equal(found.column("lang"), name))
-                gram, n = own.column("gram").to_numpy(), own.column("n").to_numpy().astype(np.float64)
-                if len(gram):  # else all its texts are empty
-                    models.append(Model.fit([name], np.zeros(len(gram), np.int64), gram, n, depth, max_cells))
-        return cls(spark, models)
-
-    def _blocks(self, block_bytes: int) -> list[list[Model]]:
+
+        def models() -> Iterator[Model]:
+            for i in range(0, len(languages), FITTED_TOGETHER):
+                names = languages[i : i + FITTED_TOGETHER]
+                found = counts.where(F.col("lang").isin(names)).toArrow() if len(languages) > FITTED_TOGETHER else counts.toArrow()
+                for name in names:
+                    own = found.filter(pa.compute.equal(found.column("lang"), name))
+                    gram, n = own.column("gram").to_numpy(), own.column("n").to_numpy().astype(np.float64)
+                    if len(gram):  # else all its texts are empty
+                        yield Model.fit([name], np.zeros(len(gram), np.int64), gram, n, depth, max_cells)
+
+        return cls(spark, models())
+
+    def _blocks(self, block_bytes: int) -> list[list]:
+        """Broadcasts of models, those of a block together."""
         blocks, size = [[]], 0
-        for model in self.models:
-            if blocks[-1] and size + model.size > block_bytes:
+        for model, own in self.models:
+            if blocks[-1] and size + own > block_bytes:
                 blocks.append([])
                 size = 0
             blocks[-1].append(model)
-            size += model.size
+            size += own
         return blocks
 
     def predict(self, df: DataFrame, text: str = "text", out: str = "language", block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -243,7 +253,7 @@ class LanguageIdentifier:
         df = df.withColumn(best, F.lit(None).cast(BEST))
         blocks = self._blocks(block_bytes)
         for i, models in enumerate(blocks):
-            scored = F.arrow_udf(_better(self.spark.sparkContext.broadcast(models)), BEST)(F.col(text).cast("string"), F.col(best))
+            scored = F.arrow_udf(_better(models), BEST)(F.col(text).cast("string"), F.col(best))
             df = df.withColumn(best, scored)
             if i + 1 < len(blocks):  # the next block needs its memory
                 df = materialize(self.spark, df, "languages")
@@ -260,7 +270,7 @@ def _better(sent):
     def better(column: pa.Array, before: pa.Array) -> pa.Array:
         import regex
 
-        models, letter = sent.value, regex.compile(r"\p{L}").search
+        models, letter = [x.value for x in sent], regex.compile(r"\p{L}").search
         out = []
         for part in shards(pa.record_batch([column, before], ["text", "before"])):
             texts, earlier = part.column(0), part.column(1).to_pylist()
