@@ -167,3 +167,17 @@ def test_gate_judges_every_row_by_itself(spark):
     gated = gate(spark.createDataFrame(rows, "key long, command string"))
     assert sorted((r.key, r.command or "", r.allowed) for r in gated.collect()) == sorted((k, c or "", a) for (k, c), a in zip(rows, (True, False, True, True, False)))
     assert "Exchange" not in gated._jdf.queryExecution().executedPlan().toString()
+
+
+def test_sweep_keeps_what_no_span_covers(spark, monkeypatch):
+    """Overlapping, nested and repeated spans, spans over many blocks, files
+    without any, and lines whose numbers have gaps."""
+    monkeypatch.setattr(lines, "BLOCK", 8)
+    draw = random.Random(2)
+    rows = [(f, n, f"{f}{n}") for f in "abc" for n in sorted(draw.sample(range(1, 200), 80))]
+    spans = [(draw.choice("ab"), a, a + draw.choice((0, 1, 5, 60))) for a in draw.sample(range(1, 200), 12)]
+    spans += [spans[0], ("a", 10**9, 2 * 10**9)]
+    left = fix.remaining_lines(spark.createDataFrame(rows, "file string, line long, raw string"), spark.createDataFrame(spans, "file string, span_start long, span_end long"))
+    assert left.columns == ["file", "line", "raw"]
+    want = [r for r in rows if not any(r[0] == f and a <= r[1] <= b for f, a, b in spans)]
+    assert sorted(map(tuple, left.collect())) == sorted(want) and 80 < len(want) < 240

@@ -69,10 +69,20 @@ def removal_candidates(findings: DataFrame, spans: DataFrame) -> DataFrame:
 
 
 def remaining_lines(lines: DataFrame, spans: DataFrame) -> DataFrame:
-    """Lines of no span. Spans are unrolled to their lines, which makes the
-    range an equi-anti-join that shuffles by (file, line)."""
-    gone = spans.select("file", F.explode(F.sequence("span_start", "span_end")).alias("line"))
-    return lines.join(gone, ["file", "line"], "left_anti")
+    """Lines of no span, by a sweep: lines and the edges of spans in one order,
+    where a running sum says how many spans are open. It runs within blocks of
+    line numbers; what is open at a block's start comes from one row a block, so
+    neither a long file nor a long span is one task or one array."""
+    edge = lambda at, change: F.struct(at.alias("line"), F.lit(change).alias("_change"))
+    edges = spans.select("file", F.inline(F.array(edge(F.col("span_start").cast("long"), 1), edge(F.col("span_end").cast("long") + 1, -1))))
+    rows = lines.select("file", F.col("line").cast("long").alias("line"), F.lit(0).alias("_change"), F.struct(*lines.columns).alias("_row"))
+    rows = rows.unionByName(edges, allowMissingColumns=True).withColumn("_block", block_of("line"))
+    above = Window.partitionBy("file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    carried = rows.groupBy("file", "_block").agg(F.sum("_change").alias("_sum"))
+    carried = carried.select("file", "_block", F.coalesce(F.sum("_sum").over(above), F.lit(0)).alias("_carried"))
+    within = Window.partitionBy("file", "_block").orderBy("line", F.col("_row").isNotNull()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    swept = rows.withColumn("_open", F.sum("_change").over(within)).where("_row IS NOT NULL").join(carried, ["file", "_block"])
+    return swept.where(F.col("_open") + F.col("_carried") <= 0).select("_row.*")
 
 
 @dataclass(frozen=True)

@@ -236,14 +236,16 @@ _PREFIX_VALUES = "(VALUES " + ", ".join(f"({i}, '{p}')" for i, p in enumerate(_P
 
 @query(
     f"""WITH {BASE_CTE}, runs AS (
-  SELECT key, unnest(regexp_extract_all(command, '(?:^|[^A-Za-z0-9_-])((?:hvb\\.)?[A-Za-z0-9_-]+)', 1)) AS token FROM live
+  SELECT key, unnest(list_concat(regexp_extract_all(command, '(?:^|[^A-Za-z0-9_-])([A-Za-z0-9_-]+)', 1), regexp_extract_all(command, '(?:^|[^A-Za-z0-9_-])(hvb\\.[A-Za-z0-9_-]+)', 1))) AS token FROM live
 ) SELECT key, token, prefix FROM runs JOIN {_PREFIX_VALUES} ON starts_with(token, prefix) AND length(token) >= length(prefix) + 8"""
 )
 def known_token_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Runs of token characters joined with the provider prefixes, by their
-    first character and then by the whole prefix."""
+    first character and then by the whole prefix. A prefix that ends with a dot
+    reaches over two runs, which also count each for itself."""
     known = R.hint_table(spark).where("key_kind = 'prefix'").select(F.col("key").alias("prefix"), F.left("key", F.lit(1)).alias("initial"))
-    runs = F.regexp_extract_all("command", F.lit(rf"(?<![{D.NAME}])(?:hvb\.)?[{D.NAME}]+"), F.lit(0))
+    parts = [rf"(?<![{D.NAME}])[{D.NAME}]+", *[rf"(?<![{D.NAME}]){D.quoted(p)}[{D.NAME}]+" for p, _ in fixed.PREFIX_HINTS if p.endswith(".")]]
+    runs = F.concat(*[F.regexp_extract_all("command", F.lit(p), F.lit(0)) for p in parts])
     found = _live(spark, sf_dir).select("key", F.explode(runs).alias("token")).withColumn("first", F.left("token", F.lit(1)))
     # The prefix table is a fixed list of the package.
     fit = (F.col("first") == F.col("initial")) & F.startswith("token", F.col("prefix")) & (F.length("token") >= F.length("prefix") + fixed.MIN_TAIL)
@@ -418,7 +420,6 @@ def fix_anti_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines that stay when every span with a line divisible by 11 goes."""
     rows = over(spark, sf_dir, _CONTINUED)
     spans = fix.shell_spans(rows).where("line % 11 = 0").select("file", "span_start", "span_end").distinct()
-    # Spans hold lines of one file only, so lines between them are unrolled.
     return fix.remaining_lines(rows, spans).select("file", "line", "raw")
 
 
