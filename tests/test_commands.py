@@ -95,6 +95,25 @@ def test_options(spark, home):
     assert run(spark, env, "version")[0] == 0
 
 
+def test_reports_into_a_folder(spark, home):
+    """The lines of --json, in the same order, and no second time."""
+    folder, env = home
+    for n in range(5):
+        (folder / f".h{n}").write_text("".join(f"echo {SECRET} {i}\n" for i in range(20)))
+    paths = [x for n in range(5) for x in ("-p", f"{folder}/.h{n}")]
+    printed = run(spark, env, "history", "--json", *paths)[1].splitlines()
+    code, text = run(spark, env, "history", "--out", f"{folder}/out", *paths)
+    names = sorted(n for n in os.listdir(folder / "out") if n.startswith("part-"))
+    assert code == 1 and "100 finding(s)" in text and SECRET not in text
+    assert [x for n in names for x in (folder / "out" / n).read_text().splitlines()] == printed
+    assert run(spark, env, "history", "--out", f"{folder}/out", *paths)[0] == 2
+    (folder / ".claude/projects/a").mkdir(parents=True)
+    (folder / ".claude/projects/a/s.jsonl").write_text(json.dumps({"type": "user", "message": {"content": SECRET}}) + "\n")
+    assert run(spark, env, "deep", "--out", f"{folder}/deep")[0] == 1
+    held = [n for n in os.listdir(folder / "deep") if n.startswith("part-")]
+    assert json.loads("".join((folder / "deep" / n).read_text() for n in held))["det_type"] == "known_token"
+
+
 def test_deep_report(spark, home, capsys):
     folder, env = home
     for name, text in (("a", f"use {SECRET} and {SECRET}"), ("b", "nothing")):

@@ -47,6 +47,7 @@ def parser() -> argparse.ArgumentParser:
 
     for name in ("scan", "history", "env"):
         p = command(name, "json", "one-line", "summary", path=name != "env")
+        p.add_argument("--out", help="a new folder for the JSON lines, which Spark's tasks write")
         p.add_argument("--entropy-threshold", "--entropy", dest="entropy", type=float, default=ENTROPY_THRESHOLD)
         _switch(p, "redacted", True)
         p.add_argument("--no-redact", dest="redacted", action="store_false")
@@ -56,7 +57,8 @@ def parser() -> argparse.ArgumentParser:
             _switch(p, "env", True)
             _switch(p, "hist", True)
     for name in ("deep", "agents"):
-        command(name, "json", "all-content", "thorough", "counts")
+        p = command(name, "json", "all-content", "thorough", "counts")
+        p.add_argument("--out", help="a new folder for the JSON lines, which Spark's tasks write")
     p = command("fix", "dry-run", "redacted")
     p.add_argument("--redact", dest="redacted", action="store_true")
     _switch(p, "yes", False, "-y")
@@ -98,7 +100,9 @@ def run_scan(spark, args, rules, env, out) -> int:
     for line in sorted(told.get["unread"]):  # one for each file that couldn't be read
         print(f"cannot read {line}", file=sys.stderr)
     counts = severity_counts(found).first()
-    if not args.summary:
+    if args.out:
+        sinks.write_lines(sinks.json_lines(sinks.in_order(found), args.redacted), args.out)
+    elif not args.summary:
         make = sinks.json_lines if args.json else sinks.short_lines if args.one_line else sinks.long_lines
         for line in sinks.printed(make(sinks.in_order(found), args.redacted)):
             print(line, file=out)
@@ -118,7 +122,10 @@ def run_deep(spark, args, rules, env, out) -> int:
     malformed = pieces.groupBy("file").agg(F.sum("malformed").alias("n")).where("n > 0").collect()
     texts = pieces.where(F.col("text").isNotNull()).select("file", "line", "piece_seq", "source", "text")
     groups = materialize(spark, deep.deep_groups(deep.deep_findings(texts, rules, args.level, args.all_content, args.thorough)), "groups")
-    if args.json:
+    if args.out:
+        count = groups.count()
+        sinks.write_lines(sinks.group_json_lines(deep.ordered(groups)), args.out)
+    elif args.json:
         count = 0
         for line in sinks.printed(sinks.group_json_lines(deep.ordered(groups))):
             count += 1
