@@ -90,3 +90,13 @@ def test_very_long_payload(spark):
     rows = [(1, "u", "é" * 1_500_000), (2, "u", "é" * 1_500_000)]
     got = {r.page_id: (r.record_type, r.payload_bytes) for r in warc.archive_round_trip(spark, spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert got == {1: ("revisit", 3_000_000), 2: ("response", 3_000_000)}
+
+
+def test_round_trip_leaves_no_table_and_finds_long_headers(spark):
+    from vigil.llm.warc import archive_round_trip
+
+    before = {t.name for t in spark.catalog.listTables()}
+    rows = [(1, "http://h/" + "u" * 70_000, "x" * 2000), (2, "http://h", "x" * 2000), (3, None, None)]
+    got = {r.page_id: (r.record_type, r.refers_to, r.payload_bytes) for r in archive_round_trip(spark, spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {1: ("revisit", 2, 2000), 2: ("response", None, 2000), 3: ("response", None, 0)}
+    assert {t.name for t in spark.catalog.listTables()} == before

@@ -30,12 +30,14 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigil.session import new_path
+from vigil.session import materialize, new_path
 
 #: From this size on, a repeated payload is written as a revisit.
 REVISIT_BYTES = 1000
 #: Records of one payload that a task joins at most.
 HOT = 10_000
+#: Bytes of a record that are looked at first for its header's end.
+HEAD_BYTES = 1 << 16
 _CRLF = "\r\n"
 
 
@@ -150,8 +152,10 @@ def read_records(spark: SparkSession, path: str, table: str | None = None) -> Da
     the digest that its header states ends the job; a revisit's header must
     state the digest of the payload that the join gave."""
     found = _restored(spark, path, table)
-    # One character a byte; the first blank line ends the header.
-    found = found.withColumn("size", F.locate("\r\n\r\n", F.decode("record", "ISO-8859-1")) + 3)
+    # One character a byte; the first blank line ends the header, which is seldom long.
+    blank = lambda part: F.locate("\r\n\r\n", F.decode(part, "ISO-8859-1"))
+    near = blank(F.substring("record", F.lit(1), F.lit(HEAD_BYTES)))
+    found = found.withColumn("size", F.when(near > 0, near).otherwise(blank(F.col("record"))) + 3)
     found = found.select(
         "seq", "sha256", "payload", F.substring("record", F.lit(1), F.col("size")).alias("header"),
         F.substring("record", F.col("size") + 1, F.octet_length("record") - F.col("size") - 4).alias("block"),
@@ -191,8 +195,13 @@ def import_records(spark: SparkSession, files: DataFrame, path: str, record: str
 
 
 def archive_round_trip(spark: SparkSession, pages: DataFrame) -> DataFrame:
-    """Write ``pages`` to a new archive in the shared folder and read it back."""
+    """Write ``pages`` to a new archive in the shared folder and read it back.
+    The table that names the payloads in this session goes once the rows are
+    read; the archive stays."""
     path = new_path(spark, "warc")
     table = f"vigil_warc_{path.rsplit('-', 1)[-1]}"
     write_archive(spark, pages, path, table=table)
-    return read_records(spark, path, table)
+    try:
+        return materialize(spark, read_records(spark, path, table), "warc-rows")
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {table}")
