@@ -36,7 +36,7 @@ MAX_VOCABULARY_BYTES = 64 << 20
 _SHIFT, _MASK = 8, 255
 _BIT = [1 << i for i in range(256)]
 #: Bytes of texts whose pre-tokens share a rank queue, and the fewest new pre-tokens that do.
-SLICE_BYTES, QUEUED = 16 << 20, 64
+SLICE_BYTES, QUEUED = 2 << 20, 64
 
 
 class BytePairs:
@@ -263,6 +263,13 @@ class _Worker:
         decode = self.pairs.decode
         self.decoded = Remembered(lambda ids: decode(map(int, ids.split(","))))
 
+    def forget(self) -> None:
+        """Give the memory of results back at the end of a task, as a worker that
+        waits for other work keeps what it holds."""
+        for known in (self.packed, self.decimal, self.decoded):
+            known.clear()
+            known.used = 0
+
     @classmethod
     def get(cls, vocabulary: bytes, pattern: str) -> _Worker:
         key = (hashlib.md5(vocabulary).hexdigest(), pattern)
@@ -333,13 +340,15 @@ class ByteBPE:
         """Put the ids (array<int>) in column ``out``, replacing one of that name."""
         vocabulary, pattern = self.vocabulary, self.pattern
 
-        def encode(column: pa.Array) -> pa.Array:
+        def encode(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
             worker = _Worker.get(vocabulary.value, pattern)
-            ids, ends = bytearray(), [0]
-            for own in worker.encode(column):
-                ids += own
-                ends.append(len(ids) // 4)
-            return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.Array.from_buffers(pa.int32(), ends[-1], [None, pa.py_buffer(ids)]))
+            for column in columns:
+                ids, ends = bytearray(), [0]
+                for own in worker.encode(column):
+                    ids += own
+                    ends.append(len(ids) // 4)
+                yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.Array.from_buffers(pa.int32(), ends[-1], [None, pa.py_buffer(ids)]))
+            worker.forget()
 
         return df.withColumn(out, F.arrow_udf(encode, "array<int>")(F.col(text).cast("string")))
 
@@ -359,9 +368,11 @@ class ByteBPE:
         vocabulary, pattern = self.vocabulary, self.pattern
         kind = pa.struct([("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
 
-        def digests(column: pa.Array) -> pa.Array:
+        def digests(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
             worker = _Worker.get(vocabulary.value, pattern)
-            rows = [worker.round_trip(pieces) for pieces in worker.split(column, worker.decimal, lambda ids: ",".join(map(str, ids)))]
-            return pa.array([dict(zip(("n_tokens", "ids_sha256", "decoded_sha256"), r)) for r in rows], kind)
+            for column in columns:
+                rows = [worker.round_trip(pieces) for pieces in worker.split(column, worker.decimal, lambda ids: ",".join(map(str, ids)))]
+                yield pa.array([dict(zip(("n_tokens", "ids_sha256", "decoded_sha256"), r)) for r in rows], kind)
+            worker.forget()
 
         return df.withColumn(out, F.arrow_udf(digests, "n_tokens long, ids_sha256 string, decoded_sha256 string")(F.col(text).cast("string")))

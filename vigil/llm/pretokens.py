@@ -42,7 +42,7 @@ class Remembered(dict):
     when BUDGET is reached the older half is forgotten."""
 
     #: Bytes of keys and results, with ROOM for the objects and their table slot.
-    BUDGET, ROOM, LONGEST = 64 << 20, 208, 64
+    BUDGET, ROOM, LONGEST = 32 << 20, 208, 64
 
     def __init__(self, make: Callable):
         self.make, self.used = make, 0
