@@ -48,6 +48,13 @@ FROM pages
 """
 
 
+#: A rule for each customer: whole commands, beginnings and parts of digests.
+RULES = """
+SELECT c_custkey AS ord, CASE c_custkey % 3 WHEN 0 THEN 'exact' WHEN 1 THEN 'prefix' ELSE 'substring' END AS match_kind,
+  CASE c_custkey % 3 WHEN 0 THEN 'git status --short ' || m WHEN 1 THEN 'echo ghp_' || left(m, 3) ELSE left(m, 5) END AS pattern
+FROM (SELECT c_custkey, md5(CAST(c_custkey AS STRING)) AS m FROM customer) c
+"""
+
 #: A message's text with what JSON must escape.
 TEXT = "coalesce(text, '') || chr(34) || chr(92) || chr(10) || chr(9) || turn"
 
@@ -61,7 +68,7 @@ def quoted_json(sql: str, spark: bool) -> str:
 def over(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     """Run SQL over the tables it names, without registering views that last."""
     sql = quoted_json(sql, spark=True)
-    names = ("orders", "conversations", "pages", "documents", "events")
+    names = ("orders", "conversations", "pages", "documents", "events", "customer")
     used = {n: spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in names if f"FROM {n}" in sql}
     text = sql.replace("{", "{{").replace("}", "}}")
     for n in used:
