@@ -29,11 +29,13 @@ SELECT o_orderkey AS key, CASE o_orderkey % 16
 FROM (SELECT o_orderkey, md5(CAST(o_orderkey AS STRING)) AS m FROM orders) o
 """
 
-#: Conversations as transcripts; every fifth turn carries one of seven tokens.
+#: Conversations as transcripts; every fifth turn carries one of seven tokens, of
+#: three providers, and every tenth a token twice.
 PIECES = """
 SELECT CAST(conv_id AS STRING) AS file, turn + 1 AS line, CAST(0 AS BIGINT) AS piece_seq,
   CASE role WHEN 'user' THEN 'user_input' WHEN 'assistant' THEN 'assistant' ELSE 'stored_context' END AS source,
-  CASE WHEN (conv_id + turn) % 5 = 0 THEN coalesce(text, '') || ' ghp_' || md5(CAST(conv_id % 7 AS STRING)) ELSE coalesce(text, '') END AS text
+  CASE WHEN (conv_id + turn) % 5 = 0 THEN coalesce(text, '') || CASE conv_id % 3 WHEN 0 THEN ' ghp_' WHEN 1 THEN ' glpat-' ELSE ' npm_' END || md5(CAST(conv_id % 7 AS STRING))
+    || CASE WHEN (conv_id + turn) % 10 = 0 THEN ' npm_' || md5(CAST(turn % 3 AS STRING)) || ' and npm_' || md5(CAST(turn % 3 AS STRING)) ELSE '' END ELSE coalesce(text, '') END AS text
 FROM conversations
 """
 

@@ -564,7 +564,7 @@ def malformed_count(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _TOKENS = f"""WITH p AS ({PIECES}), t AS (
-  SELECT file, line, source, unnest(regexp_extract_all(text, '(?:^|[^A-Za-z0-9_-])(ghp_[A-Za-z0-9_-]{{8,}})', 1)) AS token FROM p WHERE source <> 'assistant'
+  SELECT file, line, source, unnest(regexp_extract_all(text, '(?:^|[^A-Za-z0-9_-])((?:ghp_|glpat-|npm_)[A-Za-z0-9_-]{{8,}})', 1)) AS token FROM p WHERE source <> 'assistant'
 ), s AS (SELECT DISTINCT file, line, source, token, 4 + 2 + 3 * CAST(list_entropy(string_split(token, '')) >= 3.5 - 1e-9 AS INT) AS score FROM t)"""
 
 
