@@ -5,12 +5,14 @@ from __future__ import annotations
 from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vigil.functions import fixed
-from vigil.functions.automaton import matching, matching_any, rule_blocks
+from vigil.functions.automaton import matching_any, rule_blocks
+from vigil.functions.literals import Literals
 from vigil.functions.text import table
 from vigil.schema import HINT, RULE
 from vigil.session import materialize, ship_package
@@ -20,7 +22,7 @@ KINDS = ("ignore", "check", "path", "deep_ignore", "deep_check", "deep_path")
 MATCH_KINDS = {"exact:": "exact", "prefix:": "prefix", "substr:": "substring"}
 #: Up to this many rules are a branch of the plan each; more are automata.
 FOLDED = 32
-#: Cells of the automata that one pass over the texts walks; further rules take further passes.
+#: Bytes of the patterns and hashes that one pass over the texts looks for; further rules take further passes.
 PASS_CELLS = 64 << 20
 _TRIM = " \t\r\n"
 
@@ -98,60 +100,93 @@ def matches_any(text: Column, rules: list[tuple[str, str]]) -> Column:
     return reduce(lambda a, b: a | b, [matches(text, m, p) for m, p in rules], F.lit(False))
 
 
-def _passes(rules: DataFrame, columns: list[str]) -> Iterator[list]:
-    """Rows of a rule table in order, streamed to the driver in parts that one
-    pass over the texts can walk."""
-    held, cells = [], 0
-    for row in rules.select("match_kind", "pattern", *columns).orderBy(*columns, "match_kind", "pattern").toLocalIterator():
-        held.append(row)
-        cells += (len(row["pattern"].encode()) + 1) * 128
-        if cells >= PASS_CELLS:
-            yield held
-            held, cells = [], 0
-    if held:
-        yield held
+def _usable(rules: DataFrame, *columns: str) -> tuple[DataFrame, DataFrame]:
+    """Rules without null, those of whole texts apart."""
+    usable = rules.where("match_kind IS NOT NULL AND pattern IS NOT NULL").select("match_kind", "pattern", *columns)
+    return usable.where("match_kind = 'exact'"), usable.where("match_kind <> 'exact'")
+
+
+def _passes(rules: DataFrame, kept: bool) -> Iterator[pa.Table]:
+    """Distinct patterns of a rule table, with ``kept`` also the numbers of the
+    rules that have them, in parts that one pass over the texts can look for."""
+    own = F.octet_length("pattern") + 32
+    weight, wrong = rules.agg(F.sum(own), F.min(F.when(~F.col("match_kind").isin("prefix", "substring"), F.col("match_kind")))).first()
+    if wrong is not None:
+        raise ValueError(f"{wrong} is no kind of rule")
+    parts = -(-(weight or 0) // PASS_CELLS)
+    for n in range(parts):
+        part = rules.where(F.pmod(F.xxhash64("match_kind", "pattern"), F.lit(parts)) == n).groupBy("match_kind", "pattern")
+        part = part.agg(F.sort_array(F.collect_list("rule_ord")).alias("rule_ords")) if kept else part.agg(F.count("*").alias("n"))
+        found = part.toArrow()
+        if found.num_rows:
+            yield found
+
+
+def _sent(spark: SparkSession, part: pa.Table):
+    ship_package(spark)
+    part = part.combine_chunks()
+    return spark.sparkContext.broadcast((Literals(*(pa.concat_arrays(part[c].chunks) for c in ("match_kind", "pattern"))), part))
+
+
+def _hit(text: Column, part: pa.Table) -> Column:
+    """Whether any pattern of the part occurs."""
+    sent = _sent(SparkSession.active(), part)
+
+    def hit(texts: pa.Array) -> pa.Array:
+        out = np.zeros(len(texts), bool)
+        for text, _ in sent.value[0].matching(texts):
+            out[text] = True
+        return pa.array(out)
+
+    return F.arrow_udf(hit, "boolean")(text)
 
 
 def anti_match(entries: DataFrame, rules: DataFrame, text: str = "command") -> DataFrame:
-    """Entries that no rule of the table matches; null texts stay. The rules
-    become automata, which are broadcast and walked over the texts; where they
-    are too many for one pass, what is left goes through the next."""
+    """Entries that no rule of the table matches; null texts stay. Rules of
+    whole texts are joined. The others' patterns are broadcast, each once, and
+    looked for by their hashes; where they are too many for one pass, what is
+    left goes through the next."""
     spark = entries.sparkSession
-    usable = rules.where("match_kind IS NOT NULL AND pattern IS NOT NULL").select("match_kind", "pattern").distinct()
-    for n, part in enumerate(_passes(usable, [])):
+    whole, parts = _usable(rules)
+    for n, part in enumerate(_passes(parts, False)):
         if n:
             entries = materialize(spark, entries, "unmatched")
-        hit = _walked(F.col(text), [(r["match_kind"], r["pattern"]) for r in part])
-        entries = entries.where(~F.coalesce(hit, F.lit(False)))
-    return entries
+        entries = entries.where(~_hit(F.col(text), part))
+    return entries.join(whole.select(F.col("pattern").alias("_whole")).distinct(), F.col(text) == F.col("_whole"), "left_anti")
 
 
-def _rows_hit(text: Column, rules: list) -> Column:
-    """The rules (match_kind, pattern, rule_ord) that match, in order."""
-    spark = SparkSession.active()
-    ship_package(spark)
-    columns = [pa.array([r[c] for r in rules], k) for c, k in (("match_kind", pa.string()), ("pattern", pa.string()), ("rule_ord", pa.int64()))]
-    table = pa.StructArray.from_arrays(columns, ["match_kind", "pattern", "rule_ord"])
-    sent = spark.sparkContext.broadcast((list(rule_blocks([(r["match_kind"], r["pattern"]) for r in rules])), table))
+_HITS = "array<struct<match_kind:string,pattern:string,rule_ords:array<long>>>"
+
+
+def _rows_hit(text: Column, part: pa.Table) -> Column:
+    """The patterns of the part that occur, with the numbers of their rules."""
+    sent = _sent(SparkSession.active(), part)
 
     def hits(texts: pa.Array) -> pa.Array:
-        blocks, table = sent.value
-        numbers = matching(texts, blocks)
-        return pa.ListArray.from_arrays(numbers.offsets, table.take(numbers.values), mask=numbers.is_null())
+        literals, table = sent.value
+        found = list(literals.matching(texts))
+        text, rule = (np.concatenate([np.zeros(0, np.int64), *[f[i] for f in found]]) for i in (0, 1))
+        rows = table.take(pa.array(rule)).combine_chunks().to_struct_array()
+        rows = pa.concat_arrays(rows.chunks) if rows.num_chunks else pa.array([], rows.type)
+        return pa.ListArray.from_arrays(pa.array(np.searchsorted(text, np.arange(len(texts) + 1)).astype(np.int32)), rows)
 
-    return F.arrow_udf(hits, "array<struct<match_kind:string,pattern:string,rule_ord:long>>").asNondeterministic()(text)
+    return F.arrow_udf(hits, _HITS).asNondeterministic()(text)
 
 
 def match_table(entries: DataFrame, rules: DataFrame, text: str = "command") -> DataFrame:
-    """Each entry with each rule (match_kind, pattern, rule_ord) that it matches."""
-    spark = entries.sparkSession
+    """Each entry with each rule (match_kind, pattern, rule_ord) that it
+    matches, and the ``token`` grown around the pattern."""
     own = entries.columns
-    found = None
-    usable = rules.where("match_kind IS NOT NULL AND pattern IS NOT NULL")
-    for part in _passes(usable, ["rule_ord"]):
+    whole, parts = _usable(rules, "rule_ord")
+    whole = whole.select(F.col("match_kind").alias("_kind"), F.col("pattern").alias("_whole"), F.col("rule_ord").alias("_ord"))
+    joined = entries.join(whole, F.col(text) == F.col("_whole"))
+    found = joined.select(*own, F.col("_kind").alias("match_kind"), F.col("_whole").alias("pattern"), F.col("_ord").alias("rule_ord"), rule_token(F.col(text), F.col("_kind"), F.col("_whole")).alias("token"))
+    for part in _passes(parts, True):
         each = entries.withColumn("_hits", _rows_hit(F.col(text), part)).select(*own, F.inline("_hits"))
-        found = each if found is None else materialize(spark, found, "matched").unionByName(each)
-    return found if found is not None else entries.select(*own, F.lit("").alias("match_kind"), F.lit("").alias("pattern"), F.lit(0).cast("long").alias("rule_ord")).where(F.lit(False))
+        # A pattern's token is made once for all rules that have it.
+        each = each.withColumn("token", rule_token(F.col(text), F.col("match_kind"), F.col("pattern")))
+        found = found.unionByName(each.withColumn("rule_ord", F.explode("rule_ords")).drop("rule_ords"))
+    return found
 
 
 _TOKEN = r"^[A-Za-z0-9._/\-]*"
