@@ -43,3 +43,17 @@ def test_a_rule_takes_few_bytes():
     names = list(dict.fromkeys(hashlib.md5(str(draw.random()).encode()).hexdigest()[:12] for _ in range(100_000)))
     kinds = ["prefix" if i % 2 else "substring" for i in range(len(names))]
     assert len(pickle.dumps(L.Literals(pa.array(kinds), pa.array(names)))) < 64 * len(names)
+
+
+def test_a_large_rule_table_is_one_pass(spark):
+    """Sixty thousand rules took three passes, each over what the last had left."""
+    from pyspark.sql import functions as F
+
+    from vigil.operators import rules as R
+
+    digest = F.md5(F.col("id").cast("string"))
+    kind = F.element_at(F.array(*map(F.lit, ("exact", "prefix", "substring"))), (F.col("id") % 3 + 1).cast("int"))
+    rules = spark.range(60_000).select(kind.alias("match_kind"), digest.alias("pattern"))
+    assert [p.num_rows for p in R._passes(rules.where("match_kind <> 'exact'"), False)] == [40_000]
+    texts = spark.range(59_990, 60_010).select("id", F.when(F.col("id") != 60_009, digest).alias("command"))
+    assert sorted(r.id for r in R.anti_match(texts, rules).collect()) == list(range(60_000, 60_010))
