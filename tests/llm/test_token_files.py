@@ -82,3 +82,18 @@ def test_readers_look_up_in_parts(spark, monkeypatch):
     docs = spark.createDataFrame([(i, "a b " * i) for i in range(10)] + [(None, "x")], "doc_id long, text string").repartition(1)
     got = tf.token_files(spark, docs, public_tokenizers.path("byte_bpe_50k.json"), 2).collect()
     assert sorted(map(tuple, got), key=lambda r: r[1]) == expected([tuple(r) for r in docs.collect()])
+
+
+def test_pieces_give_what_whole_texts_give():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from vigil.llm.token_files import _Encoder
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    encoder = _Encoder(open(path, "rb").read())
+    whole = Tokenizer.from_file(path)
+    whole.encode_special_tokens = True
+    texts = ["", "a  b\n\n c's it's 'x \t", "<|endoftext|> x", "naïve 日本 12 34!!?", "  "]
+    for _ in range(2):  # new pieces, then known ones
+        assert [x.tolist() for x in encoder.batch(texts)] == [whole.encode(t, add_special_tokens=False).ids for t in texts]

@@ -25,6 +25,7 @@ import hashlib
 import json
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -207,11 +208,13 @@ class _Encoder:
         if self.used > REMEMBERED:
             self.pieces, self.used = {}, 0
         pieces = self.pieces
-        new = list({p for c in cut if c for p in c if p not in pieces})
+        # Set operations on whole lists, as most pieces are known.
+        new = list(set().union(*[c for c in cut if c]).difference(pieces))
         if new:
+            code = "H" if self.id_bytes == 2 else "I"
             for p, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-                pieces[p] = np.array(e.ids, kind).tobytes()
-                self.used += len(p) + len(pieces[p]) + Remembered.ROOM
+                pieces[p] = ids = array(code, e.ids).tobytes()
+                self.used += len(p) + len(ids) + Remembered.ROOM
         out = []
         for text, c in zip(texts, cut):
             if c is None:
