@@ -26,7 +26,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigil.llm.pretokens import Remembered, splitter
+from vigil.llm.pretokens import Remembered, give_back, splitter
 from vigil.session import ship_package
 
 #: A vocabulary is broadcast, so its file may not be larger than this.
@@ -162,8 +162,8 @@ class BytePairs:
         n = len(raw)
         owner = np.repeat(np.arange(len(pieces), dtype=np.int32), size)
         # Place n stands for none.
-        token = np.append(single[raw], 0)
-        after, before = np.arange(1, n + 2), np.arange(-1, n)
+        token = np.append(single[raw], 0).astype(np.int32)
+        after, before = np.arange(1, n + 2, dtype=np.int32), np.arange(-1, n, dtype=np.int32)
         after[start + size - 1] = n
         before[start] = n
         rank = np.full(n + 1, -1, np.int32)
@@ -224,7 +224,7 @@ class BytePairs:
             token[place] = r
             left = before[place]
             own = np.concatenate((left, place))
-            key = token[own] * factor + token[np.concatenate((place, end))]
+            key = token[own].astype(np.int64) * factor + token[np.concatenate((place, end))]
             at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
             fresh = np.where(keys[at] == key, values[at], -1)
             fresh[own == n] = -1
@@ -269,6 +269,7 @@ class _Worker:
         for known in (self.packed, self.decimal, self.decoded):
             known.clear()
             known.used = 0
+        give_back()
 
     @classmethod
     def get(cls, vocabulary: bytes, pattern: str) -> _Worker:
@@ -341,6 +342,7 @@ class ByteBPE:
         vocabulary, pattern = self.vocabulary, self.pattern
 
         def encode(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            give_back()  # of what other work has left in this process
             worker = _Worker.get(vocabulary.value, pattern)
             for column in columns:
                 ids, ends = bytearray(), [0]
@@ -369,6 +371,7 @@ class ByteBPE:
         kind = pa.struct([("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
 
         def digests(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            give_back()  # of what other work has left in this process
             worker = _Worker.get(vocabulary.value, pattern)
             for column in columns:
                 rows = [worker.round_trip(pieces) for pieces in worker.split(column, worker.decimal, lambda ids: ",".join(map(str, ids)))]

@@ -2,16 +2,28 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import unicodedata
 from collections.abc import Callable
 from itertools import islice
 
+import pyarrow as pa
+
 #: Below this code point the letter, number and space classes are the same in
 #: every Unicode version, so one set of character ranges serves all engines.
 _STABLE = 0x250
 
 
+def give_back() -> None:
+    """Return freed memory to the system, which Arrow's pool and the C library
+    keep for a process's next use; a worker waits beside the JVM meanwhile."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim:
+        trim(0)
+
+
 def _members(test: Callable[[str], bool]) -> str:
     return "".join(re.escape(c) for c in map(chr, range(_STABLE)) if test(c))
 
