@@ -2,9 +2,8 @@
 
 An automaton's states take some thousand bytes a pattern; here a pattern takes
 its own bytes and a hash. Hashes of all windows of one length come from one
-running sum over a batch's bytes, a bitmap drops most windows, a binary search
-finds those that have a pattern's hash, and the bytes themselves are compared
-then. Patterns of several lengths share the test of their first bytes.
+running sum over a batch's bytes, a bitmap drops most windows, buckets tell
+those that have a pattern's hash, and the bytes themselves are compared then. Patterns of several lengths share the test of their first bytes.
 """
 
 from __future__ import annotations
@@ -46,37 +45,58 @@ def _hashed(raw: np.ndarray, begin: np.ndarray, length: int) -> np.ndarray:
     return np.concatenate(parts) if parts else np.zeros(0, np.uint64)
 
 
+def _owner(bounds: np.ndarray, start: int, end: int) -> np.ndarray:
+    """The text that each byte from ``start`` to ``end`` belongs to."""
+    low, high = int(np.searchsorted(bounds, start, "right")) - 1, int(np.searchsorted(bounds, end, "left"))
+    return np.repeat(np.arange(low, high), np.diff(np.clip(bounds[low : high + 1], start, end)))
+
+
 class Hashes:
-    """A set of hashes; those in doubt are told apart by a bitmap first."""
+    """A set of hashes; those in doubt are told apart by a bitmap first, the
+    others are looked up in buckets of one hash or two."""
 
     def __init__(self, hashes: np.ndarray):
-        self.sorted = np.sort(hashes)
-        bits = max(8, (8 * len(hashes)).bit_length())
+        mixed = hashes * _MIX
+        self.sorted = np.sort(mixed)
+        bits, self.bits = max(8, (8 * len(hashes)).bit_length()), max(1, len(hashes).bit_length())
         self.shift = np.uint64(64 - bits)
         self.there = np.zeros(1 << bits, bool)
-        self.there[hashes * _MIX >> self.shift] = True
+        self.there[mixed >> self.shift] = True
+        self.begin = np.cumsum(np.append(0, np.bincount(self._bucket(mixed), minlength=1 << self.bits)), dtype=np.int32)
+
+    def _bucket(self, mixed: np.ndarray) -> np.ndarray:
+        return (mixed >> np.uint64(64 - self.bits)).astype(np.int64)
 
     def maybe(self, hashes: np.ndarray) -> np.ndarray:
         return np.flatnonzero(self.there[hashes * _MIX >> self.shift])
 
+    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(index into ``hashes``, place in the sorted order) of equal ones,
+        where several may be equal."""
+        mixed = hashes * _MIX
+        bucket = self._bucket(mixed)
+        low, many = self.begin[bucket], self.begin[bucket + 1] - self.begin[bucket]
+        each = np.repeat(low - np.cumsum(many) + many, many) + np.arange(many.sum())
+        at = np.repeat(np.arange(len(hashes)), many)
+        same = self.sorted[each] == mixed[at]
+        return at[same], each[same]
+
 
 class Sized:
     """Distinct patterns of one length, numbered as the caller does."""
 
     def __init__(self, raw: np.ndarray, begin: np.ndarray, length: int, number: np.ndarray):
         hashes = _hashed(raw, begin, length)
-        way = np.argsort(hashes, kind="stable")
+        way = np.argsort(hashes * _MIX, kind="stable")
         self.length, self.number = length, number[way]
         self.hashes, self.bytes = Hashes(hashes), _matrix(raw, begin[way], length).copy()
 
     def find(self, raw: np.ndarray, begin: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(index into ``begin``, pattern's number) of windows that are patterns."""
-        at = self.hashes.maybe(hashes)
-        # Patterns with one hash stand side by side, so all of them are compared.
-        low, high = (np.searchsorted(self.hashes.sorted, hashes[at], side) for side in ("left", "right"))
-        many = high - low
-        each = np.repeat(low - np.cumsum(many) + many, many) + np.arange(many.sum())
-        at = np.repeat(at, many)
+        maybe = self.hashes.maybe(hashes)
+        # All patterns with one hash are compared.
+        at, each = self.hashes.find(hashes[maybe])
+        at = maybe[at]
         same, rows = np.zeros(len(at), bool), max(1, COMPARED // self.length)
         for i in range(0, len(at), rows):
             part = slice(i, i + rows)
@@ -109,7 +129,9 @@ class Literals:
             self.inner.append((1 << k, lead, groups))
         self.longest = max((g.length for *_, groups in self.inner for g in groups), default=0)
 
-    def _anywhere(self, raw: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def _spots(self, raw: np.ndarray) -> Iterator[tuple[Sized, np.ndarray, int, np.ndarray, np.ndarray]]:
+        """(group, bytes, their place, windows in them, hashes of those) of the
+        windows that begin like a pattern of the group."""
         part = max(PART, 4 * self.longest)
         powers, back = (_powers(b, part + self.longest) for b in (_BASE, _INVERSE))
         for start in range(0, len(raw) if self.longest else 0, part):
@@ -125,21 +147,55 @@ class Literals:
                     spots = spots[lead.maybe((sums[spots + first] - sums[spots]) * back[spots])]
                 for group in groups:
                     at = spots[: np.searchsorted(spots, len(own) - group.length, "right")]
-                    hashes = (sums[at + group.length] - sums[at]) * back[at]
-                    found, number = group.find(own, at, hashes)
-                    place = start + at[found]
-                    text = np.searchsorted(bounds, place, "right") - 1
-                    within = place + group.length <= bounds[text + 1]
-                    yield text[within], number[within]
+                    yield group, own, start, at, (sums[at + group.length] - sums[at]) * back[at]
+
+    def _anywhere(self, raw: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for group, own, start, at, hashes in self._spots(raw):
+            found, number = group.find(own, at, hashes)
+            place = start + at[found]
+            text = np.searchsorted(bounds, place, "right") - 1
+            within = place + group.length <= bounds[text + 1]
+            yield text[within], number[within]
+
+    def _begun(self, raw: np.ndarray, bounds: np.ndarray, texts: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for group in self.prefixes:
+            long = texts[np.diff(bounds)[texts] >= group.length]
+            at, number = group.find(raw, bounds[long], _hashed(raw, bounds[long], group.length))
+            yield long[at], number
+
+    def hit(self, raw: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+        """Whether any rule matches, by text. A text's windows that may be
+        patterns are looked up one, two, four and so on at a time until one is,
+        so the work doesn't grow with the number of rules that match."""
+        out = np.full(len(bounds) - 1, len(self.empty) > 0)
+        for text, _ in self._begun(raw, bounds, np.flatnonzero(~out)):
+            out[text] = True
+        known = -1
+        for group, own, start, at, hashes in self._spots(raw):
+            if start != known:
+                known, owner = start, _owner(bounds, start, start + len(own))
+            maybe = group.hashes.maybe(hashes)
+            at, hashes = at[maybe], hashes[maybe]
+            text = owner[at]
+            real = ~out[text] & (text == owner[at + group.length - 1])
+            at, hashes, text = at[real], hashes[real], text[real]
+            few = 1
+            while len(at):
+                begin = np.flatnonzero(np.diff(text, prepend=-1))
+                nth = np.arange(len(at)) - np.repeat(begin, np.diff(begin, append=len(at)))
+                now = nth < few
+                found, _ = group.find(own, at[now], hashes[now])
+                out[text[now][found]] = True
+                left = ~now & ~out[text]
+                at, hashes, text = at[left], hashes[left], text[left]
+                few *= 2
+        return out
 
     def matches(self, raw: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Distinct (text, rule) that match, texts and then rules in order."""
         size = np.diff(bounds)
         found = list(self._anywhere(raw, bounds))
-        for group in self.prefixes:
-            long = np.flatnonzero(size >= group.length)
-            at, number = group.find(raw, bounds[long], _hashed(raw, bounds[long], group.length))
-            found.append((long[at], number))
+        found += self._begun(raw, bounds, np.arange(len(size)))
         found += [(np.arange(len(size)), np.full(len(size), rule)) for rule in self.empty.tolist()]
         if not found:
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -157,3 +213,8 @@ class Literals:
             real = np.asarray(part.is_valid())[text]
             yield text[real] + start, rule[real]
             start += len(part)
+
+    def hitting(self, column: pa.Array) -> np.ndarray:
+        """``hit`` of a column slice by slice; null texts match nothing."""
+        found = [self.hit(raw, bounds) & np.asarray(part.is_valid()) for part, raw, bounds in slices(column)]
+        return np.concatenate(found) if found else np.zeros(0, bool)

@@ -15,7 +15,7 @@ from vigil.functions.automaton import matching_any, rule_blocks
 from vigil.functions.literals import Literals
 from vigil.functions.text import table
 from vigil.schema import HINT, RULE
-from vigil.session import materialize, ship_package
+from vigil.session import materialize, new_path, ship_package
 
 #: Groups in the order in which they are compiled.
 KINDS = ("ignore", "check", "path", "deep_ignore", "deep_check", "deep_path")
@@ -108,44 +108,45 @@ def _usable(rules: DataFrame, *columns: str) -> tuple[DataFrame, DataFrame]:
 
 def _passes(rules: DataFrame, kept: bool) -> Iterator[pa.Table]:
     """Distinct patterns of a rule table, with ``kept`` also the numbers of the
-    rules that have them, in parts that one pass over the texts can look for."""
-    own = F.octet_length("pattern") + 32
-    weight, wrong = rules.agg(F.sum(own), F.min(F.when(~F.col("match_kind").isin("prefix", "substring"), F.col("match_kind")))).first()
+    rules that have them, in parts that one pass over the texts can look for.
+    Only what differs counts: rules that repeat a pattern need no further pass."""
+    found = rules.groupBy("match_kind", "pattern").agg(F.sort_array(F.collect_list("rule_ord")).alias("rule_ords") if kept else F.count("*").alias("n"))
+    own = F.octet_length("pattern") + 32 + (8 * F.size("rule_ords") if kept else 0)
+    weight, wrong = found.agg(F.sum(own), F.min(F.when(~F.col("match_kind").isin("prefix", "substring"), F.col("match_kind")))).first()
     if wrong is not None:
         raise ValueError(f"{wrong} is no kind of rule")
     parts = -(-(weight or 0) // PASS_CELLS)
+    if parts > 1:  # written once, so that a part reads its own rows only
+        path, found = new_path(rules.sparkSession, "patterns"), found.withColumn("part", F.pmod(F.xxhash64("match_kind", "pattern"), F.lit(parts)))
+        found.write.partitionBy("part").parquet(path)
+        found = rules.sparkSession.read.schema(found.schema).parquet(path)
     for n in range(parts):
-        part = rules.where(F.pmod(F.xxhash64("match_kind", "pattern"), F.lit(parts)) == n).groupBy("match_kind", "pattern")
-        part = part.agg(F.sort_array(F.collect_list("rule_ord")).alias("rule_ords")) if kept else part.agg(F.count("*").alias("n"))
-        found = part.toArrow()
-        if found.num_rows:
-            yield found
+        part = (found.where(F.col("part") == n).drop("part") if parts > 1 else found).toArrow()
+        if part.num_rows:
+            yield part
 
 
-def _sent(spark: SparkSession, part: pa.Table):
+def _sent(spark: SparkSession, part: pa.Table, kept: bool):
+    """The part's literals, with ``kept`` also its rows, on all executors."""
     ship_package(spark)
     part = part.combine_chunks()
-    return spark.sparkContext.broadcast((Literals(*(pa.concat_arrays(part[c].chunks) for c in ("match_kind", "pattern"))), part))
+    literals = Literals(*(pa.concat_arrays(part[c].chunks) for c in ("match_kind", "pattern")))
+    return spark.sparkContext.broadcast((literals, part if kept else None))
 
 
 def _hit(text: Column, part: pa.Table) -> Column:
-    """Whether any pattern of the part occurs."""
-    sent = _sent(SparkSession.active(), part)
-
-    def hit(texts: pa.Array) -> pa.Array:
-        out = np.zeros(len(texts), bool)
-        for text, _ in sent.value[0].matching(texts):
-            out[text] = True
-        return pa.array(out)
-
-    return F.arrow_udf(hit, "boolean")(text)
+    """Whether any pattern of the part occurs. As a plain function it would be
+    pushed below the shuffle that deals the texts, into the few tasks that read
+    the table."""
+    sent = _sent(SparkSession.active(), part, False)
+    return F.arrow_udf(lambda texts: pa.array(sent.value[0].hitting(texts)), "boolean").asNondeterministic()(text)
 
 
 def anti_match(entries: DataFrame, rules: DataFrame, text: str = "command") -> DataFrame:
     """Entries that no rule of the table matches; null texts stay. Rules of
     whole texts are joined. The others' patterns are broadcast, each once, and
-    looked for by their hashes; where they are too many for one pass, what is
-    left goes through the next."""
+    looked for by their hashes until a text has one; where they are too many for
+    one pass, what is left goes through the next."""
     spark = entries.sparkSession
     whole, parts = _usable(rules)
     for n, part in enumerate(_passes(parts, False)):
@@ -160,7 +161,7 @@ _HITS = "array<struct<match_kind:string,pattern:string,rule_ords:array<long>>>"
 
 def _rows_hit(text: Column, part: pa.Table) -> Column:
     """The patterns of the part that occur, with the numbers of their rules."""
-    sent = _sent(SparkSession.active(), part)
+    sent = _sent(SparkSession.active(), part, True)
 
     def hits(texts: pa.Array) -> pa.Array:
         literals, table = sent.value

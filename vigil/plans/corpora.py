@@ -88,14 +88,27 @@ def spread(df: DataFrame, rows: int = 0) -> DataFrame:
     return df.repartition(tasks) if df.rdd.getNumPartitions() < tasks else df
 
 
+def _keyed(spark: SparkSession, sf_dir: str, sql: str, table: str, key: str) -> DataFrame:
+    """Rows that SQL makes of a table's keys. Parquet's footers know the number
+    of rows; only keys move, and rows are made after that, once each: conditions
+    on them don't pass the inline, or they would make a row for every test in
+    them, and do it before the shuffle in the few tasks that read the table."""
+    read = spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    keys = spread(read.select(key), read.count())
+    rows = spark.sql(sql.replace("{", "{{").replace("}", "}}").replace(f"FROM {table}", f"FROM {{{table}}}"), **{table: keys})
+    return rows.select(F.inline(F.array(F.struct(*rows.columns))))
+
+
 def commands(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Entries of the command corpus."""
-    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
-    # Parquet's footers know the number of rows. Only keys move, and commands are made after that.
-    rows = spread(orders.select("o_orderkey"), orders.count())
-    rows = spark.sql(COMMANDS.replace("{", "{{").replace("}", "}}").replace("FROM orders", "FROM {orders}"), orders=rows)
+    rows = _keyed(spark, sf_dir, COMMANDS, "orders", "o_orderkey")
     return rows.select("key", F.lit("orders").alias("file"), (F.col("key") + 1).alias("line"), F.lit(0).cast("long").alias("entry_seq"), F.lit(None).cast("long").alias("ts"), "command")
 
 
+def rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A rule table that grows with the data."""
+    return _keyed(spark, sf_dir, RULES, "customer", "c_custkey")
+
+
 def pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return over(spark, sf_dir, PIECES)

@@ -17,6 +17,7 @@ from vigil.operators import deep, fix, lines
 from vigil.operators import rules as R
 from vigil.operators.scan import match_rules as match_with
 from vigil.operators.scan import scan, severity_counts, visible
+from vigil.plans import corpora
 from vigil.plans.corpora import COMMANDS, PATHS, PIECES, RULES, TEXT, commands, over, pieces, quoted_json
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -237,21 +238,17 @@ _MANY = f"""WITH {BASE_CTE}, rules AS MATERIALIZED ({RULES}), hit AS MATERIALIZE
 )"""
 
 
-def _rule_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return over(spark, sf_dir, RULES)
-
-
 @query(f"{_MANY} SELECT key, rule_ord, regexp_extract(substr(command, 1, place - 1), '{_CHARS}$') || pattern || regexp_extract(substr(command, place + length(pattern)), '^{_CHARS}') AS token FROM hit")
 def match_rule_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A row for each command and matching rule of a table that grows with the
     data, a rule for each customer."""
-    return match_with(_live(spark, sf_dir), _rule_table(spark, sf_dir)).select("key", "rule_ord", "token")
+    return match_with(_live(spark, sf_dir), corpora.rules(spark, sf_dir)).select("key", "rule_ord", "token")
 
 
 @query(f"{_MANY} SELECT key, command FROM live WHERE key NOT IN (SELECT key FROM hit)")
 def anti_rule_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Commands that no rule of that table matches."""
-    return R.anti_match(_live(spark, sf_dir), _rule_table(spark, sf_dir)).select("key", "command")
+    return R.anti_match(_live(spark, sf_dir), corpora.rules(spark, sf_dir)).select("key", "command")
 
 
 _PREFIX_VALUES = "(VALUES " + ", ".join(f"({i}, '{p}')" for i, p in enumerate(_PREFIXES)) + ") p(ord, prefix)"
